@@ -792,6 +792,16 @@ SELECT c.*, p.*, a.* FROM
     count(*) FILTER (WHERE conversion_score >= 0.7::DOUBLE) AS hot_conversions FROM ml_predictions) p,
  (SELECT count(*) FILTER (WHERE status = 'executed') AS actions_executed, count(*) FILTER (WHERE status = 'pending') AS actions_pending
   FROM agent_actions) a""")
+
+
+def short_money(x: str) -> str:
+    return (f"CASE WHEN {x} >= 1e6 THEN '$' || {fixed(f'{x} / 1e6::DOUBLE', 2)} || 'M'"
+            f" WHEN {x} >= 1e3 THEN '$' || {fixed(f'{x} / 1e3::DOUBLE', 1)} || 'K' ELSE '$' || {whole(x)} END")
+
+
+twin("kpi_texts", "customers ml_predictions", f"""
+SELECT (SELECT {short_money("mrr")} FROM (SELECT {rnd('sum(mrr)', 2)} AS mrr FROM customers WHERE is_churned = 0)) AS mrr,
+  (SELECT {short_money("ltv")} FROM (SELECT {rnd('sum(ltv_estimate)', 2)} AS ltv FROM ml_predictions)) AS ltv""")
 twin("segment_counts", "ml_predictions", f"""
 SELECT segment, count(*) AS customers, {rnd('avg(churn_score)', 2)} AS avg_churn,
   {rnd('count(*)::DOUBLE * 100::DOUBLE / (SELECT count(*) FROM ml_predictions)::DOUBLE', 2)} AS share_pct

@@ -8,6 +8,7 @@ from clientele.functions.text import (
     literal_map,
     money_text,
     percent_text,
+    short_money,
     strip_text,
     whole_text,
 )
@@ -15,6 +16,6 @@ from clientele.functions.time import as_timestamp, days_before, hours_before, wh
 
 __all__ = [
     "as_timestamp", "clamp", "days_before", "discount_code", "first_word", "fixed_text",
-    "half_even", "hours_before", "literal_map", "money_text", "percent_text", "stable_sum",
-    "strip_text", "whole_days", "whole_text",
+    "half_even", "hours_before", "literal_map", "money_text", "percent_text", "short_money",
+    "stable_sum", "strip_text", "whole_days", "whole_text",
 ]

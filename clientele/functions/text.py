@@ -28,6 +28,15 @@ def money_text(x: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(half_even(x), 0))
 
 
+def short_money(x: Column) -> Column:
+    """Dollars as a report shows them: $1.83M, $76.1K, $950."""
+    return (
+        F.when(x >= 1e6, F.concat(F.lit("$"), fixed_text(x / 1e6, 2), F.lit("M")))
+        .when(x >= 1e3, F.concat(F.lit("$"), fixed_text(x / 1e3, 1), F.lit("K")))
+        .otherwise(F.concat(F.lit("$"), whole_text(x)))
+    )
+
+
 def strip_text(x: Column) -> Column:
     """Remove blank characters of any kind from both ends."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")

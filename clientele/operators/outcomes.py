@@ -60,7 +60,7 @@ def execution_batch(
     if action_ids is not None:
         pending = pending.filter(F.col("action_id").isin(list(action_ids)))
     batch = pending_queue(pending, limit)
-    context = action_context(tables, batch, as_of)
+    context = action_context(tables, batch, as_of, one_page=True)
     messages = render_messages(batch, tables["customers"], tables["ml_predictions"], context)
     known = outcomes.select("action_id", F.col("outcome").alias("given"))
     label = F.coalesce("given", F.lit("completed"))

@@ -10,12 +10,12 @@ from clientele.operators.queue import build_queue
 from clientele.operators.rules import enrich, fire_rules
 from clientele.operators.scoring import one_row
 from clientele.plans.planner import fired_sets, resolve_plans
-from clientele.session import scratch_path
+from clientele.session import stored
 
 
 @dataclass(frozen=True)
 class Cycle:
-    """The frames of one cycle, all lazy."""
+    """The frames of one cycle."""
 
     customers: DataFrame
     sets: DataFrame
@@ -28,7 +28,7 @@ def decision_cycle(
     as_of,
     responses: DataFrame | None = None,
     budget: int = 20,
-    materialise: bool = False,
+    materialise: bool = True,
 ) -> Cycle:
     """From the tables to the queue.
 
@@ -40,10 +40,7 @@ def decision_cycle(
     features = build_customer_features(tables, as_of)
     sets = fired_sets(fire_rules(enrich(features, tables["ml_predictions"])))
     if materialise:
-        spark = sets.sparkSession
-        path = scratch_path(spark, "fired-sets")
-        sets.write.parquet(path)
-        sets = spark.read.parquet(path)
+        sets = stored(sets, "fired-sets")
     plans = resolve_plans(sets, responses, budget)
     queue = build_queue(plans, tables["agent_actions"], as_of)
     return Cycle(tables["customers"], sets, plans, queue)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientele.functions import as_timestamp, discount_code, half_even
+from clientele.functions import discount_code, half_even, short_money
 from clientele.operators import features as feat
 from clientele.operators import feedback as fb
 from clientele.operators import outcomes as out
@@ -28,7 +28,7 @@ from clientele.plans import planner as pln
 from clientele.plans.cycle import Cycle, cycle_summary, decision_cycle
 from clientele.plans.inference import Models, run_inference, stored_features
 from clientele.schemas import TABLES
-from clientele.session import scratch_path, shared_dir
+from clientele.session import scratch_path, shared_dir, stored
 from clientele.sources import sinks
 from clientele.sources.constraints import check_constraints
 from clientele.sources.driver_tables import (
@@ -85,6 +85,12 @@ def _sets(spark, sf_dir):
     return pln.fired_sets(rul.fire_rules(_enriched(spark, sf_dir)))
 
 
+def _resolved(spark, sf_dir):
+    """Plans guided by the outside decisions; the sets are stored, as the review reads them too."""
+    sets = stored(_sets(spark, sf_dir), "fired-sets")
+    return pln.resolve_plans(sets, decision_responses(spark, sf_dir), BUDGET)
+
+
 def _actions(spark, sf_dir):
     return crm_table(spark, sf_dir, "agent_actions")
 
@@ -507,7 +513,7 @@ def review_candidates(spark, sf_dir):
 
 @query
 def decision_prompts(spark, sf_dir):
-    fired = rul.fire_rules(_enriched(spark, sf_dir))
+    fired = stored(rul.fire_rules(_enriched(spark, sf_dir)), "fired")
     return pln.decision_prompts(fired, pln.review_candidates(pln.fired_sets(fired), BUDGET))
 
 
@@ -529,12 +535,12 @@ def validated_decisions(spark, sf_dir):
 
 @query
 def resolved_plans(spark, sf_dir):
-    return _plan_view(pln.resolve_plans(_sets(spark, sf_dir), decision_responses(spark, sf_dir), BUDGET))
+    return _plan_view(_resolved(spark, sf_dir))
 
 
 @query
 def plan_summary(spark, sf_dir):
-    return pln.plan_summary(pln.resolve_plans(_sets(spark, sf_dir), decision_responses(spark, sf_dir), BUDGET))
+    return pln.plan_summary(_resolved(spark, sf_dir))
 
 
 # ── queue ────────────────────────────────────────────────────────────────────
@@ -685,6 +691,12 @@ def kpi_summary(spark, sf_dir):
     return rep.kpi_summary(_people(spark, sf_dir), _scores(spark, sf_dir), _actions(spark, sf_dir))
 
 
+@query
+def kpi_texts(spark, sf_dir):
+    row = rep.kpi_summary(_people(spark, sf_dir), _scores(spark, sf_dir), _actions(spark, sf_dir))
+    return row.select(short_money(F.col("total_mrr")).alias("mrr"), short_money(F.col("total_ltv")).alias("ltv"))
+
+
 @query
 def segment_counts(spark, sf_dir):
     return rep.segment_counts(_scores(spark, sf_dir))
@@ -811,6 +823,11 @@ def conversion_scores(spark, sf_dir):
     return trn.predict_conversion(_model(spark, sf_dir, "conversion"), _stored(spark, sf_dir))
 
 
+@query
+def segment_model_report(spark, sf_dir):
+    return seg.segment_report(_clustering(spark, sf_dir), _stored(spark, sf_dir))
+
+
 @query
 def segment_scores(spark, sf_dir):
     return seg.predict_segments(_clustering(spark, sf_dir), _stored(spark, sf_dir))

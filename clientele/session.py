@@ -4,7 +4,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", name: str = "clientele", **conf: str) -> SparkSession:
@@ -45,6 +45,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    Readers share the one computation, and lost executors do not bring it back.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Give reliable checkpoints a folder unless the cluster already has set one."""
     if spark.sparkContext.getCheckpointDir() is None:

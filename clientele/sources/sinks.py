@@ -6,6 +6,7 @@ only ever grows by appends, and the small pending part is rewritten on its own.
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clientele.schemas import TABLES
 from clientele.sources.tables import conform
@@ -41,6 +42,21 @@ def write_pending(queue: DataFrame, path: str) -> None:
     _without_status(queue).write.mode("overwrite").parquet(_action_part(path, "pending"))
 
 
+def _not_stored(rows: DataFrame, stored: DataFrame, key: str, time: str) -> DataFrame:
+    """Rows whose key is not stored yet.
+
+    An earlier attempt wrote the same rows at the same times, so only that time range
+    is searched, which skips the other files; the stored keys are probed with those
+    of the batch rather than shuffled against it.
+    """
+    span = rows.agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
+    if span["low"] is None:
+        return rows
+    near = stored.filter(F.col(time).between(F.lit(span["low"]), F.lit(span["high"])))
+    seen = near.select(key).join(rows.select(key), key, "left_semi")
+    return rows.join(seen, key, "left_anti").select(*rows.columns)
+
+
 def commit_outcomes(spark: SparkSession, path: str, executed: DataFrame, staging: str) -> None:
     """Move executed rows out of the pending part.
 
@@ -50,8 +66,8 @@ def commit_outcomes(spark: SparkSession, path: str, executed: DataFrame, staging
     """
     _without_status(executed).write.mode("overwrite").parquet(f"{staging}/batch")
     batch = spark.read.parquet(f"{staging}/batch")
-    done = read_actions(spark, path).filter("status = 'executed'").select("action_id")
-    batch.join(done, "action_id", "left_anti").select(*batch.columns).write.mode("append").parquet(
+    done = read_actions(spark, path).filter("status = 'executed'")
+    _not_stored(batch, done, "action_id", "executed_at").write.mode("append").parquet(
         _action_part(path, "executed")
     )
     pending = read_actions(spark, path).filter("status = 'pending'")
@@ -66,11 +82,8 @@ def append_email_log(spark: SparkSession, emails: DataFrame, path: str) -> None:
     """Append the log rows whose id is not there yet."""
     rows = conform(emails, TABLES["email_log"])
     try:
-        logged = spark.read.parquet(path).select("email_id")
+        rows = _not_stored(rows, spark.read.parquet(path), "email_id", "sent_at")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        logged = None
-    if logged is not None:
-        rows = rows.join(logged, "email_id", "left_anti").select(*TABLES["email_log"].names)
     rows.write.mode("append").parquet(path)
