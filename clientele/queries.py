@@ -73,12 +73,16 @@ def query(function: Query) -> Query:
     return function
 
 
+FEATURE_TABLES = ("customers", "transactions", "engagement_events", "support_tickets", "email_log")
+
+
 def _features(spark, sf_dir):
-    return feat.build_customer_features(crm_tables(spark, sf_dir), AS_OF)
+    return feat.build_customer_features(crm_tables(spark, sf_dir, FEATURE_TABLES), AS_OF)
 
 
 def _enriched(spark, sf_dir):
-    return rul.enrich(_features(spark, sf_dir), crm_table(spark, sf_dir, "ml_predictions"))
+    tables = crm_tables(spark, sf_dir, (*FEATURE_TABLES, "ml_predictions"))
+    return rul.enrich(feat.build_customer_features(tables, AS_OF), tables["ml_predictions"])
 
 
 def _sets(spark, sf_dir):
@@ -95,6 +99,11 @@ def _actions(spark, sf_dir):
     return crm_table(spark, sf_dir, "agent_actions")
 
 
+def _people_and_scores(spark, sf_dir):
+    tables = crm_tables(spark, sf_dir, ("customers", "ml_predictions"))
+    return tables["customers"], tables["ml_predictions"]
+
+
 def _people(spark, sf_dir):
     return crm_table(spark, sf_dir, "customers")
 
@@ -325,7 +334,7 @@ def feature_profile(spark, sf_dir):
 
 @query
 def action_context(spark, sf_dir):
-    tables = crm_tables(spark, sf_dir)
+    tables = crm_tables(spark, sf_dir, ("customers", "engagement_events", "support_tickets", "agent_actions"))
     return feat.action_context(tables, tables["agent_actions"], AS_OF)
 
 
@@ -686,14 +695,19 @@ def feedback_signals(spark, sf_dir):
 # ── reports ──────────────────────────────────────────────────────────────────
 
 
+def _kpis(spark, sf_dir):
+    tables = crm_tables(spark, sf_dir, ("customers", "ml_predictions", "agent_actions"))
+    return rep.kpi_summary(*tables.values())
+
+
 @query
 def kpi_summary(spark, sf_dir):
-    return rep.kpi_summary(_people(spark, sf_dir), _scores(spark, sf_dir), _actions(spark, sf_dir))
+    return _kpis(spark, sf_dir)
 
 
 @query
 def kpi_texts(spark, sf_dir):
-    row = rep.kpi_summary(_people(spark, sf_dir), _scores(spark, sf_dir), _actions(spark, sf_dir))
+    row = _kpis(spark, sf_dir)
     return row.select(short_money(F.col("total_mrr")).alias("mrr"), short_money(F.col("total_ltv")).alias("ltv"))
 
 
@@ -704,25 +718,25 @@ def segment_counts(spark, sf_dir):
 
 @query
 def customer_list(spark, sf_dir):
-    return rep.list_customers(_people(spark, sf_dir), _scores(spark, sf_dir))
+    return rep.list_customers(*_people_and_scores(spark, sf_dir))
 
 
 @query
 def customer_list_filtered(spark, sf_dir):
     return rep.list_customers(
-        _people(spark, sf_dir), _scores(spark, sf_dir), plan="Starter", segment="Loyal",
+        *_people_and_scores(spark, sf_dir), plan="Starter", segment="Loyal",
         min_churn=0.2, max_churn=0.9, limit=20, offset=5,
     )
 
 
 @query
 def risk_profiles(spark, sf_dir):
-    return rep.risk_profiles(_people(spark, sf_dir), _scores(spark, sf_dir))
+    return rep.risk_profiles(*_people_and_scores(spark, sf_dir))
 
 
 @query
 def customer_risk(spark, sf_dir):
-    return rep.customer_risk(_people(spark, sf_dir), _scores(spark, sf_dir), ONE_CUSTOMER)
+    return rep.customer_risk(*_people_and_scores(spark, sf_dir), ONE_CUSTOMER)
 
 
 @query
@@ -732,17 +746,17 @@ def customer_actions(spark, sf_dir):
 
 @query
 def churn_ranking(spark, sf_dir):
-    return rep.churn_ranking(_people(spark, sf_dir), _scores(spark, sf_dir), 0.1, 50, labels=True)
+    return rep.churn_ranking(*_people_and_scores(spark, sf_dir), 0.1, 50, labels=True)
 
 
 @query
 def conversion_ranking(spark, sf_dir):
-    return rep.conversion_ranking(_people(spark, sf_dir), _scores(spark, sf_dir))
+    return rep.conversion_ranking(*_people_and_scores(spark, sf_dir))
 
 
 @query
 def segment_metrics(spark, sf_dir):
-    return rep.segment_metrics(_people(spark, sf_dir), _scores(spark, sf_dir))
+    return rep.segment_metrics(*_people_and_scores(spark, sf_dir))
 
 
 @query
@@ -762,7 +776,7 @@ def latest_executed(spark, sf_dir):
 
 @query
 def data_summary(spark, sf_dir):
-    return rep.data_summary(crm_tables(spark, sf_dir))
+    return rep.data_summary(crm_tables(spark, sf_dir, FEATURE_TABLES))
 
 
 @query
@@ -784,7 +798,7 @@ _CLUSTERED: dict[tuple[str, str], seg.SegmentModel] = {}
 def _stored(spark, sf_dir) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        _STORED[key] = stored_features(crm_tables(spark, sf_dir), AS_OF)
+        _STORED[key] = stored_features(crm_tables(spark, sf_dir, FEATURE_TABLES), AS_OF)
     return _STORED[key]
 
 

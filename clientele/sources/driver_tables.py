@@ -3,22 +3,20 @@
 The mapping is written down in FIXTURES.md; the SQL twin is in ``checks/oracle_sql.py``.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.functions import as_timestamp, days_before, half_even
-from clientele.schemas import (
-    ACTIONABLE_TYPES, CLICKED_OUTCOMES, HEALTH_DELTAS, PLANS, SEGMENTS, TABLES,
-)
+from clientele.schemas import ACTIONABLE_TYPES, HEALTH_DELTAS, TABLES
 from clientele.sources.tables import conform
 
 AS_OF = "2024-02-10 00:00:00"
 ACTIONS_AS_OF = "2024-01-31 00:00:00"
-SHIFT_DAYS = 8200
 
 # Fixed values of the mapping.
+SHIFT = "INTERVAL '8200' DAY"
 INDUSTRY_SIZES = (1, 5, 10, 25, 50, 100, 250, 500, 1000)
-PLAN_PRICES = {"Free": 0.0, "Starter": 49.0, "Pro": 199.0, "Enterprise": 999.0}
 CHANNELS = ("Email", "SMS", "Push", "In-App", "Sales Call")
 TOPICS = ("billing", "technical", "onboarding", "feature_request", "cancellation")
 EMAIL_TYPES = ("welcome", "nurture", "re_engagement", "upsell", "retention")
@@ -27,205 +25,185 @@ FIXTURE_SEGMENTS = ("Champion", "Loyal", "At-Risk", "Prospect", "Lost")
 OUTCOME_SLOTS = (*HEALTH_DELTAS, "completed", None)
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+def _cid(key: str) -> str:
+    return f"concat('C', lpad(cast({key} AS string), 7, '0'))"
 
-def _cid(key: Column) -> Column:
-    return F.concat(F.lit("C"), F.lpad(key.cast("string"), 7, "0"))
 
-
-def _pick(values, index: Column) -> Column:
+def _pick(values: Iterable, index: str) -> str:
     """Element of a constant list at a 0-based index."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
-
-
-def _plan(key: Column) -> Column:
-    slot = key % 20
-    return (
-        F.when(slot < 6, PLANS[0]).when(slot < 13, PLANS[1]).when(slot < 18, PLANS[2]).otherwise(PLANS[3])
-    )
-
-
-def _mrr(key: Column) -> Column:
-    slot = key % 20
-    base = (
-        F.when(slot < 6, PLAN_PRICES["Free"]).when(slot < 13, PLAN_PRICES["Starter"])
-        .when(slot < 18, PLAN_PRICES["Pro"]).otherwise(PLAN_PRICES["Enterprise"])
-    )
-    return base * (F.lit(0.9) + (key % 51).cast("double") / F.lit(100.0))
-
-
-def _score(key: Column, factor: int) -> Column:
-    return half_even((key * factor % 10007).cast("double") / F.lit(10007.0), 4)
-
-
-def _churn(key: Column) -> Column:
-    return _score(key, 7919)
-
-
-def _customers(spark, sf_dir):
-    k = F.col("c_custkey")
-    rows = _read(spark, sf_dir, "customer").join(
-        _read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
-    )
-    churned = (k % 5 == 0).cast("int")
-    return rows.select(
-        _cid(k).alias("customer_id"),
-        F.col("c_name").alias("name"),
-        F.concat(F.lit("customer"), k.cast("string"), F.lit("@example.com")).alias("email"),
-        F.concat(F.lit("Company "), k.cast("string")).alias("company"),
-        F.col("c_mktsegment").alias("industry"),
-        _plan(k).alias("plan"),
-        _mrr(k).alias("mrr"),
-        (as_timestamp(AS_OF) - F.make_dt_interval(days=(30 + (k * 37) % 701).cast("int"))).alias("signup_date"),
-        F.col("n_name").alias("country"),
-        _pick(INDUSTRY_SIZES, k % 9).alias("employee_count"),
-        F.least(F.greatest((F.col("c_acctbal") + 1000.0) / F.lit(110.0), F.lit(0.0)), F.lit(100.0)).alias("health_score"),
-        ((k * 13) % 201 - 100).cast("int").alias("nps_score"),
-        churned.alias("is_churned"),
-        F.when(churned == 1, days_before(AS_OF, 10)).alias("churn_date"),
-        as_timestamp(AS_OF).alias("created_at"),
-    )
-
-
-def _transactions(spark, sf_dir):
-    slot = F.col("o_orderkey") % 20
-    amount = F.col("o_totalprice") / F.lit(1000.0)
-    return _read(spark, sf_dir, "orders").select(
-        F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("txn_id"),
-        _cid(F.col("o_custkey")).alias("customer_id"),
-        F.when(slot < 19, amount).otherwise(-amount).alias("amount"),
-        F.lit("USD").alias("currency"),
-        F.when(slot < 8, "purchase").when(slot < 16, "renewal").when(slot < 19, "upgrade")
-        .otherwise("refund").alias("txn_type"),
-        F.concat(F.lit("P"), (F.col("o_orderkey") % 30).cast("string")).alias("product_id"),
-        F.when(F.col("o_orderstatus") != "P", "completed")
-        .when(F.col("o_orderpriority") == "1-URGENT", "refunded").otherwise("failed").alias("status"),
-        (F.col("o_orderdate") + F.make_dt_interval(days=F.lit(SHIFT_DAYS))).alias("txn_date"),
-    )
-
-
-def _event_customer() -> Column:
-    user, event = F.col("user_id"), F.col("event_id")
-    early = ((F.dayofmonth("ts") <= 10) & (event % 2 == 0)).cast("int")
-    return _cid(user * 10 + (user % 5) * 2 + early)
-
-
-def _engagement_events(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("int")
-    return _read(spark, sf_dir, "events").select(
-        F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("event_id"),
-        _event_customer().alias("customer_id"),
-        "event_type",
-        _pick(CHANNELS, k % 5).alias("channel"),
-        (30 + F.floor(F.col("value") * 10.0)).cast("int").alias("session_duration"),
-        F.col("ts").alias("event_date"),
-        F.col("props").alias("metadata"),
+    items = ", ".join(
+        "NULL" if v is None else str(v) if isinstance(v, int) else "r'" + v + "'" for v in values
     )
+    return f"element_at(array({items}), cast({index} AS int) + 1)"
 
 
-def _line_id(prefix: str) -> Column:
-    keys = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    return F.concat(F.lit(prefix), F.concat_ws("-", *keys))
-
-
-def _shipped() -> Column:
-    return F.col("l_shipdate") + F.make_dt_interval(days=F.lit(SHIFT_DAYS))
-
+_PLAN = (
+    "CASE WHEN c_custkey % 20 < 6 THEN 'Free' WHEN c_custkey % 20 < 13 THEN 'Starter'"
+    " WHEN c_custkey % 20 < 18 THEN 'Pro' ELSE 'Enterprise' END"
+)
+_MRR = (
+    "(CASE WHEN c_custkey % 20 < 6 THEN 0D WHEN c_custkey % 20 < 13 THEN 49D"
+    " WHEN c_custkey % 20 < 18 THEN 199D ELSE 999D END) * (0.9D + cast(c_custkey % 51 AS double) / 100D)"
+)
 
-def _lines(spark, sf_dir, condition: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "lineitem").filter(condition)
-    orders = _read(spark, sf_dir, "orders")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
+def _score(factor: int) -> str:
+    return f"rint(cast(c_custkey * {factor} % 10007 AS double) / 10007D * 10000D) / 10000D"
 
-def _support_tickets(spark, sf_dir):
-    slot = F.col("l_suppkey") % 20
-    status = (
-        F.when(slot < 3, "open").when(slot < 5, "in_progress").when(slot < 18, "resolved").otherwise("escalated")
-    )
-    rows = _lines(spark, sf_dir, "l_returnflag = 'R' AND l_discount >= 0.09D")
-    return rows.select(
-        _line_id("TK").alias("ticket_id"),
-        _cid(F.col("o_custkey")).alias("customer_id"),
-        _pick(TOPICS, F.col("l_partkey") % 5).alias("topic"),
-        status.alias("status"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "critical").when(F.col("o_orderpriority") == "2-HIGH", "high")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "medium").otherwise("low").alias("priority"),
-        (1.0 - F.col("l_tax") * 25.0).alias("sentiment_score"),
-        _shipped().alias("opened_at"),
-        F.when(status == "resolved", _shipped() + F.make_dt_interval(days=F.lit(3))).alias("resolved_at"),
-    )
-
-
-def _email_log(spark, sf_dir):
-    opened = F.col("l_quantity") <= 17
-    kind = _pick(EMAIL_TYPES, F.col("l_partkey") % 5)
-    rows = _lines(spark, sf_dir, "l_returnflag = 'A' AND l_discount <= 0.01D")
-    return rows.select(
-        _line_id("EM").alias("email_id"),
-        _cid(F.col("o_custkey")).alias("customer_id"),
-        kind.alias("email_type"),
-        kind.alias("subject"),
-        opened.cast("int").alias("opened"),
-        (opened & (F.col("l_linenumber") == 1)).cast("int").alias("clicked"),
-        _shipped().alias("sent_at"),
-    )
 
+_EVENT_CUSTOMER = _cid(
+    "(user_id * 10 + 2 * (user_id % 5) + CASE WHEN day(ts) <= 10 AND event_id % 2 = 0 THEN 1 ELSE 0 END)"
+)
+_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_TICKET_STATUS = (
+    "CASE WHEN l_suppkey % 20 < 3 THEN 'open' WHEN l_suppkey % 20 < 5 THEN 'in_progress'"
+    " WHEN l_suppkey % 20 < 18 THEN 'resolved' ELSE 'escalated' END"
+)
+_NOW = f"TIMESTAMP_NTZ '{AS_OF}'"
+
+# Source files (with their join condition), filter, and the columns of each table.
+_MAPPING: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
+    "customers": (
+        ("customer", "nation", "c_nationkey = n_nationkey"),
+        "true",
+        (
+            f"{_cid('c_custkey')} AS customer_id",
+            "c_name AS name",
+            "concat('customer', c_custkey, '@example.com') AS email",
+            "concat('Company ', c_custkey) AS company",
+            "c_mktsegment AS industry",
+            f"{_PLAN} AS plan",
+            f"{_MRR} AS mrr",
+            f"{_NOW} - make_dt_interval(cast(30 + c_custkey * 37 % 701 AS int)) AS signup_date",
+            "n_name AS country",
+            f"{_pick(INDUSTRY_SIZES, 'c_custkey % 9')} AS employee_count",
+            "least(greatest((c_acctbal + 1000D) / 110D, 0D), 100D) AS health_score",
+            "cast(c_custkey * 13 % 201 - 100 AS int) AS nps_score",
+            "cast(c_custkey % 5 = 0 AS int) AS is_churned",
+            f"CASE WHEN c_custkey % 5 = 0 THEN {_NOW} - INTERVAL '10' DAY END AS churn_date",
+            f"{_NOW} AS created_at",
+        ),
+    ),
+    "transactions": (
+        ("orders",),
+        "true",
+        (
+            "concat('T', o_orderkey) AS txn_id",
+            f"{_cid('o_custkey')} AS customer_id",
+            "CASE WHEN o_orderkey % 20 < 19 THEN o_totalprice / 1000D ELSE -(o_totalprice / 1000D) END AS amount",
+            "'USD' AS currency",
+            "CASE WHEN o_orderkey % 20 < 8 THEN 'purchase' WHEN o_orderkey % 20 < 16 THEN 'renewal'"
+            " WHEN o_orderkey % 20 < 19 THEN 'upgrade' ELSE 'refund' END AS txn_type",
+            "concat('P', o_orderkey % 30) AS product_id",
+            "CASE WHEN o_orderstatus <> 'P' THEN 'completed' WHEN o_orderpriority = '1-URGENT' THEN 'refunded'"
+            " ELSE 'failed' END AS status",
+            f"o_orderdate + {SHIFT} AS txn_date",
+        ),
+    ),
+    "engagement_events": (
+        ("events",),
+        "true",
+        (
+            "concat('E', event_id) AS event_id",
+            f"{_EVENT_CUSTOMER} AS customer_id",
+            "event_type",
+            f"{_pick(CHANNELS, "cast(get_json_object(props, '$.k') AS int) % 5")} AS channel",
+            "cast(30 + floor(value * 10D) AS int) AS session_duration",
+            "ts AS event_date",
+            "props AS metadata",
+        ),
+    ),
+    "support_tickets": (
+        ("lineitem", "orders", "l_orderkey = o_orderkey"),
+        "l_returnflag = 'R' AND l_discount >= 0.09D",
+        (
+            f"concat('TK', {_LINE_ID}) AS ticket_id",
+            f"{_cid('o_custkey')} AS customer_id",
+            f"{_pick(TOPICS, 'l_partkey % 5')} AS topic",
+            f"{_TICKET_STATUS} AS status",
+            "CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high'"
+            " WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS priority",
+            "1D - l_tax * 25D AS sentiment_score",
+            f"l_shipdate + {SHIFT} AS opened_at",
+            f"CASE WHEN {_TICKET_STATUS} = 'resolved' THEN l_shipdate + {SHIFT} + INTERVAL '3' DAY END AS resolved_at",
+        ),
+    ),
+    "email_log": (
+        ("lineitem", "orders", "l_orderkey = o_orderkey"),
+        "l_returnflag = 'A' AND l_discount <= 0.01D",
+        (
+            f"concat('EM', {_LINE_ID}) AS email_id",
+            f"{_cid('o_custkey')} AS customer_id",
+            f"{_pick(EMAIL_TYPES, 'l_partkey % 5')} AS email_type",
+            f"{_pick(EMAIL_TYPES, 'l_partkey % 5')} AS subject",
+            "cast(l_quantity <= 17 AS int) AS opened",
+            "cast(l_quantity <= 17 AND l_linenumber = 1 AS int) AS clicked",
+            f"l_shipdate + {SHIFT} AS sent_at",
+        ),
+    ),
+    "agent_actions": (
+        ("events",),
+        "true",
+        (
+            "concat('A', event_id) AS action_id",
+            f"{_EVENT_CUSTOMER} AS customer_id",
+            f"{_pick(ACTIONABLE_TYPES, 'event_id % 8')} AS action_type",
+            "'fixture' AS reason",
+            "cast(event_id % 5 + 1 AS int) AS priority",
+            "CASE WHEN event_id % 3 <> 0 THEN 'executed' ELSE 'pending' END AS status",
+            f"CASE WHEN event_id % 3 <> 0 THEN {_pick(OUTCOME_SLOTS, 'event_id div 8 % 24')} END AS outcome",
+            "ts - INTERVAL '1' HOUR AS created_at",
+            "CASE WHEN event_id % 3 <> 0 THEN ts - make_dt_interval(0, 0, 0,"
+            " cast(extract(SECOND FROM ts) % 1 AS decimal(8, 6))) END AS executed_at",
+            """CASE WHEN event_id % 7 = 0 THEN '{"context":{"suggested_plan":"Pro"}}'"""
+            " WHEN event_id % 7 = 1 THEN '{not json' END AS metadata",
+            "cast(event_id % 5 + 1 AS double) * 3D + 1.05D + cast(event_id % 200 AS double) / 100D AS urgency_score",
+            "CASE WHEN event_id % 3 <> 0 AND event_id % 5 = 0 THEN ts END AS feedback_applied_at",
+        ),
+    ),
+    "ml_predictions": (
+        ("customer",),
+        "true",
+        (
+            "concat('PR', c_custkey) AS prediction_id",
+            f"{_cid('c_custkey')} AS customer_id",
+            f"{_score(7919)} AS churn_score",
+            f"CASE WHEN c_custkey % 20 >= 18 THEN 1D ELSE {_score(3571)} END AS conversion_score",
+            f"{_pick(FIXTURE_SEGMENTS, 'c_custkey % 7 % 5')} AS segment",
+            f"rint({_MRR} * (1D - {_score(7919)}) * 24D * 100D) / 100D AS ltv_estimate",
+            f"{_NOW} AS predicted_at",
+        ),
+    ),
+}
 
-def _agent_actions(spark, sf_dir):
-    event, ts = F.col("event_id"), F.col("ts")
-    executed = event % 3 != 0
-    fraction = F.extract(F.lit("SECOND"), ts) - F.floor(F.extract(F.lit("SECOND"), ts))
-    priority = (event % 5 + 1).cast("int")
-    return _read(spark, sf_dir, "events").select(
-        F.concat(F.lit("A"), event.cast("string")).alias("action_id"),
-        _event_customer().alias("customer_id"),
-        _pick(ACTIONABLE_TYPES, event % 8).alias("action_type"),
-        F.lit("fixture").alias("reason"),
-        priority.alias("priority"),
-        F.when(executed, "executed").otherwise("pending").alias("status"),
-        F.when(executed, _pick(OUTCOME_SLOTS, F.floor(event / 8) % 24)).alias("outcome"),
-        (ts - F.make_dt_interval(hours=F.lit(1))).alias("created_at"),
-        F.when(executed, ts - F.make_dt_interval(secs=fraction.cast("decimal(8,6)"))).alias("executed_at"),
-        F.when(event % 7 == 0, '{"context":{"suggested_plan":"Pro"}}').when(event % 7 == 1, "{not json").alias("metadata"),
-        (priority * 3.0 + 1.05 + (event % 200).cast("double") / F.lit(100.0)).alias("urgency_score"),
-        F.when(executed & (event % 5 == 0), ts).alias("feedback_applied_at"),
-    )
 
+class _Sources:
+    """The driver's files, each opened once."""
 
-def _ml_predictions(spark, sf_dir):
-    k = F.col("c_custkey")
-    churn = _churn(k)
-    return _read(spark, sf_dir, "customer").select(
-        F.concat(F.lit("PR"), k.cast("string")).alias("prediction_id"),
-        _cid(k).alias("customer_id"),
-        churn.alias("churn_score"),
-        F.when(k % 20 >= 18, 1.0).otherwise(_score(k, 3571)).alias("conversion_score"),
-        _pick(FIXTURE_SEGMENTS, k % 7 % 5).alias("segment"),
-        half_even(_mrr(k) * (1.0 - churn) * 24.0, 2).alias("ltv_estimate"),
-        as_timestamp(AS_OF).alias("predicted_at"),
-    )
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.opened = spark, sf_dir, {}
 
+    def read(self, name: str) -> DataFrame:
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.opened[name]
 
-_BUILDERS = {
-    "customers": _customers,
-    "transactions": _transactions,
-    "engagement_events": _engagement_events,
-    "support_tickets": _support_tickets,
-    "email_log": _email_log,
-    "agent_actions": _agent_actions,
-    "ml_predictions": _ml_predictions,
-}
+    def table(self, name: str) -> DataFrame:
+        """One table; Catalyst pushes the filter and the column choice into the scans."""
+        files, condition, columns = _MAPPING[name]
+        rows = self.read(files[0])
+        if len(files) > 1:
+            rows = rows.join(self.read(files[1]), F.expr(files[2]))
+        return conform(rows.filter(condition).selectExpr(*columns), TABLES[name])
 
 
 def crm_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return conform(_BUILDERS[name](spark, sf_dir), TABLES[name])
+    return _Sources(spark, sf_dir).table(name)
 
 
-def crm_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: crm_table(spark, sf_dir, name) for name in TABLES}
+def crm_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] = TABLES) -> dict[str, DataFrame]:
+    sources = _Sources(spark, sf_dir)
+    return {name: sources.table(name) for name in names}
 
 
 # One response text per kind of answer.
@@ -246,8 +224,5 @@ RESPONSES = (
 
 def decision_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outside answers for every eleventh customer, in seven kinds."""
-    k = F.col("c_custkey")
-    return (
-        _read(spark, sf_dir, "customer").filter(k % 11 == 0)
-        .select(_cid(k).alias("customer_id"), _pick(RESPONSES, k % 7).alias("response"))
-    )
+    rows = _Sources(spark, sf_dir).read("customer").filter("c_custkey % 11 = 0")
+    return rows.selectExpr(f"{_cid('c_custkey')} AS customer_id", f"{_pick(RESPONSES, 'c_custkey % 7')} AS response")

@@ -38,10 +38,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
     Running it again changes nothing; columns outside the schema stay at the end.
     """
-    have = set(df.columns)
-    declared = [
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+    have = {f.name: f.dataType for f in df.schema.fields}
+    wanted = [
+        F.col(f.name) if have.get(f.name) == f.dataType
+        else (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ]
-    extra = [F.col(c) for c in df.columns if c not in schema.names]
-    return df.select(*declared, *extra)
+    extra = [F.col(name) for name in have if name not in schema.names]
+    return df.select(*wanted, *extra)
