@@ -773,6 +773,8 @@ twin("marked_actions", "agent_actions batch", f"""
 SELECT action_id, status, {stamp(f"CASE WHEN action_id IN (SELECT action_id FROM batch) THEN {ACTIONS_AS_OF} ELSE feedback_applied_at END")}
   AS feedback_applied_at FROM agent_actions""")
 twin("feedback_after_marking", "batch", "SELECT count(*) - count(*) AS left_over FROM batch")
+twin("feedback_logged", "batch", f"""
+SELECT action_id, {stamp('executed_at')} AS executed_at, {stamp(ACTIONS_AS_OF)} AS feedback_applied_at FROM batch""")
 twin("feedback_summary", "batch", f"""
 SELECT count(*) AS executions_processed, count(*) FILTER (WHERE {DELTA} <> 0) AS health_updates,
   count(*) FILTER (WHERE {DELTA} > 0) AS positive_outcomes, count(*) FILTER (WHERE {DELTA} < 0) AS negative_outcomes,
@@ -844,6 +846,7 @@ _METRICS = {
     "customers": ("count(*)", "customers"), "churned": ("count(*) FILTER (WHERE is_churned = 1)", "customers"),
     "active": ("count(*) FILTER (WHERE is_churned = 0)", "customers"),
     "active_mrr": (rnd("sum(mrr) FILTER (WHERE is_churned = 0)", 2), "customers"),
+    "churn_rate": (rnd("avg(is_churned)", 4), "customers"),
     **{f"plan_{p}": (f"count(*) FILTER (WHERE plan = '{p}')", "customers") for p in ("Free", "Starter", "Pro", "Enterprise")},
     **{t: ("count(*)", t) for t in ("transactions", "engagement_events", "support_tickets", "email_log")},
 }

@@ -25,6 +25,11 @@ def pending_feedback(actions: DataFrame, as_of, hours: int = 24) -> DataFrame:
     )
 
 
+def without_logged(batch: DataFrame, log: DataFrame) -> DataFrame:
+    """The batch without the actions that a feedback log notes as applied."""
+    return batch.join(log.select("action_id"), "action_id", "left_anti").select(*batch.columns)
+
+
 def health_delta(outcome: Column) -> Column:
     """Health change of an outcome; unknown labels and none change nothing."""
     return F.coalesce(literal_map(HEALTH_DELTAS, outcome), F.lit(0.0))

@@ -175,6 +175,7 @@ def data_summary(tables: dict[str, DataFrame]) -> DataFrame:
         _count_if(F.col("is_churned") == 1).alias("churned"),
         _count_if(active).alias("active"),
         _total(F.when(active, F.col("mrr"))).alias("active_mrr"),
+        half_even(F.avg("is_churned"), 4).alias("churn_rate"),
         *[_count_if(F.col("plan") == plan).alias(f"plan_{plan}") for plan in PLANS],
     )
     facts = [

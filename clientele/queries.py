@@ -24,6 +24,7 @@ from clientele.operators import scoring as sco
 from clientele.operators import segments as seg
 from clientele.operators import training as trn
 from clientele.operators.messages import render_messages, suggested_plan
+from clientele.operators.model_store import load_or_train
 from clientele.plans import planner as pln
 from clientele.plans.cycle import Cycle, cycle_summary, decision_cycle
 from clientele.plans.inference import Models, run_inference, stored_features
@@ -682,6 +683,17 @@ def feedback_after_marking(spark, sf_dir):
     return left.agg(F.count(F.lit(1)).alias("left_over"))
 
 
+@query
+def feedback_logged(spark, sf_dir):
+    """Applied actions kept in a log of their own; a second run finds nothing to apply."""
+    path = scratch_path(spark, "applied")
+    actions = _actions(spark, sf_dir)
+    for _ in range(2):
+        batch = fb.without_logged(fb.pending_feedback(actions, ACTIONS_AS_OF, FEEDBACK_HOURS), sinks.read_feedback_log(spark, path))
+        sinks.append_feedback_log(spark, batch, ACTIONS_AS_OF, path)
+    return sinks.read_feedback_log(spark, path)
+
+
 @query
 def feedback_summary(spark, sf_dir):
     return fb.feedback_summary(_batch(spark, sf_dir))
@@ -792,7 +804,6 @@ def outcome_distribution(spark, sf_dir):
 # ── models ───────────────────────────────────────────────────────────────────
 
 _STORED: dict[tuple[str, str], DataFrame] = {}
-_CLUSTERED: dict[tuple[str, str], seg.SegmentModel] = {}
 
 
 def _stored(spark, sf_dir) -> DataFrame:
@@ -802,19 +813,19 @@ def _stored(spark, sf_dir) -> DataFrame:
     return _STORED[key]
 
 
-def _model(spark, sf_dir, task: str) -> trn.Trained:
+_TRAINERS = {
+    "churn": (trn.Trained, trn.train_churn),
+    "conversion": (trn.Trained, trn.train_conversion),
+    "segments": (seg.SegmentModel, seg.train_segments),
+}
+
+
+def _model(spark, sf_dir, task: str):
     """Trained once per application and folder, then read from where it was saved."""
     place = os.path.basename(sf_dir.rstrip("/"))
     path = f"{shared_dir(spark)}/models-{spark.sparkContext.applicationId}/{place}-{task}"
-    train = trn.train_churn if task == "churn" else trn.train_conversion
-    return trn.load_or_train(path, lambda: train(_stored(spark, sf_dir)))
-
-
-def _clustering(spark, sf_dir) -> seg.SegmentModel:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CLUSTERED:
-        _CLUSTERED[key] = seg.train_segments(_stored(spark, sf_dir))
-    return _CLUSTERED[key]
+    kind, train = _TRAINERS[task]
+    return load_or_train(kind, path, lambda: train(_stored(spark, sf_dir)))
 
 
 @query
@@ -839,19 +850,17 @@ def conversion_scores(spark, sf_dir):
 
 @query
 def segment_model_report(spark, sf_dir):
-    return seg.segment_report(_clustering(spark, sf_dir), _stored(spark, sf_dir))
+    return seg.segment_report(_model(spark, sf_dir, "segments"), _stored(spark, sf_dir))
 
 
 @query
 def segment_scores(spark, sf_dir):
-    return seg.predict_segments(_clustering(spark, sf_dir), _stored(spark, sf_dir))
+    return seg.predict_segments(_model(spark, sf_dir, "segments"), _stored(spark, sf_dir))
 
 
 @query
 def model_predictions(spark, sf_dir):
-    models = Models(
-        _model(spark, sf_dir, "churn"), _model(spark, sf_dir, "conversion"), _clustering(spark, sf_dir)
-    )
+    models = Models(*(_model(spark, sf_dir, task) for task in _TRAINERS))
     return run_inference(models, _stored(spark, sf_dir), AS_OF)
 
 

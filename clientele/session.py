@@ -19,6 +19,8 @@ def local_session(cores: str = "8", name: str = "clientele", **conf: str) -> Spa
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Longer generated methods are never compiled by HotSpot; better not to fuse those stages.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():

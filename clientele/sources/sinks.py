@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientele.functions import as_timestamp
 from clientele.schemas import TABLES
 from clientele.sources.tables import conform
 
@@ -78,6 +79,24 @@ def commit_outcomes(spark: SparkSession, path: str, executed: DataFrame, staging
     )
 
 
+def read_feedback_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log of applied actions, empty before its first batch."""
+    schema = "action_id string, executed_at timestamp_ntz, feedback_applied_at timestamp_ntz"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_feedback_log(spark: SparkSession, batch: DataFrame, applied_at, path: str) -> None:
+    """Note the batch as applied, instead of rewriting the executed part of the action table."""
+    rows = batch.select("action_id", "executed_at", as_timestamp(applied_at).alias("feedback_applied_at"))
+    log = read_feedback_log(spark, path)
+    _not_stored(rows, log, "action_id", "executed_at").write.mode("append").parquet(path)
+
+
 def append_email_log(spark: SparkSession, emails: DataFrame, path: str) -> None:
     """Append the log rows whose id is not there yet."""
     rows = conform(emails, TABLES["email_log"])

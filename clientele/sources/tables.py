@@ -14,8 +14,11 @@ def load_table(
 
     Text formats are parsed with the declared schema. Columnar files carry their
     own, so they are read as they are and conformed; pruning still reaches the scan.
+    With ``jdbc`` the table is named in the database that ``options`` describe.
     """
     reader = spark.read.format(fmt).options(**options)
+    if fmt == "jdbc":
+        return conform(reader.option("dbtable", name).load(), TABLES[name])
     if fmt in ("csv", "json"):
         return reader.schema(TABLES[name]).load(f"{folder}/{name}")
     return conform(reader.load(f"{folder}/{name}"), TABLES[name])
