@@ -241,8 +241,8 @@ def action_context(tables: dict[str, DataFrame], ids: DataFrame, as_of, one_page
         (stable_sum(F.col("sentiment_score")) / F.nullif(F.count("sentiment_score"), F.lit(0))).alias("sentiment"),
     )
     rows = (
-        tables["customers"].select("customer_id", "signup_date")
-        .join(wanted, "customer_id", "left_semi")
+        tables["customers"].join(wanted, "customer_id", "left_semi")
+        .select("customer_id", "signup_date")
         .join(last, "customer_id", "left")
         .join(open_now, "customer_id", "left")
     )

@@ -60,8 +60,13 @@ def execution_batch(
     if action_ids is not None:
         pending = pending.filter(F.col("action_id").isin(list(action_ids)))
     batch = pending_queue(pending, limit)
+    # A page has 500 ids at most: broadcast, they filter the large tables at their scan.
+    ids = F.broadcast(batch.select("customer_id").distinct())
+    people, scores = (
+        tables[name].join(ids, "customer_id", "left_semi") for name in ("customers", "ml_predictions")
+    )
     context = action_context(tables, batch, as_of, one_page=True)
-    messages = render_messages(batch, tables["customers"], tables["ml_predictions"], context)
+    messages = render_messages(batch, people, scores, context)
     known = outcomes.select("action_id", F.col("outcome").alias("given"))
     label = F.coalesce("given", F.lit("completed"))
     return (
