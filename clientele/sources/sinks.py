@@ -53,7 +53,7 @@ def _not_stored(rows: DataFrame, stored: DataFrame, key: str, time: str) -> Data
     span = rows.agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
     if span["low"] is None:
         return rows
-    near = stored.filter(F.col(time).between(F.lit(span["low"]), F.lit(span["high"])))
+    near = stored.filter(F.col(time).between(as_timestamp(span["low"]), as_timestamp(span["high"])))
     seen = near.select(key).join(rows.select(key), key, "left_semi")
     return rows.join(seen, key, "left_anti").select(*rows.columns)
 

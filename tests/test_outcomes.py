@@ -40,7 +40,15 @@ def test_batch_is_a_dry_run_with_messages(spark, tables):
     assert out.execution_batch(tables, given(spark), NOW, 10, ["2"]).count() == 1
 
 
-def test_committing_a_batch(spark, tables, tmp_path):
+@pytest.fixture(params=["UTC", "America/New_York", "Asia/Tokyo"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_committing_a_batch(spark, tables, tmp_path, zone):
     path, log, staging = (str(tmp_path / n) for n in ("actions", "log", "staging"))
     sinks.write_actions(tables["agent_actions"], path)
     batch = out.execution_batch(tables, given(spark), NOW, 1)
