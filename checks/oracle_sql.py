@@ -769,6 +769,16 @@ FROM customers c LEFT JOIN (SELECT customer_id, list({DELTA} ORDER BY {order}) A
 twin("updated_health", "customers agent_actions", _folded(
     f"(SELECT * FROM agent_actions WHERE status = 'executed' AND executed_at >= {ACTIONS_AS_OF} - INTERVAL 744 HOUR AND feedback_applied_at IS NULL)",
     "executed_at, action_id"))
+twin("feedback_run_health", "customers batch", _folded("batch", "executed_at, action_id"))
+stage("page", "agent_actions given", f"""
+SELECT b.action_id, b.action_type, coalesce(g.new_outcome, 'completed') AS outcome
+FROM (SELECT * FROM agent_actions WHERE status = 'pending' {_URGENT_FIRST} LIMIT 100) b LEFT JOIN given g USING (action_id)""")
+twin("execution_run", "agent_actions page", f"""
+SELECT a.action_id, CASE WHEN p.action_id IS NULL THEN a.status ELSE 'executed' END AS status,
+  CASE WHEN p.action_id IS NULL THEN a.outcome ELSE p.outcome END AS outcome,
+  CASE WHEN p.action_type LIKE 'send_%' THEN {OPENED.replace('outcome', 'p.outcome')} END AS opened,
+  CASE WHEN p.action_type LIKE 'send_%' THEN {CLICKED.replace('outcome', 'p.outcome')} END AS clicked
+FROM agent_actions a LEFT JOIN page p USING (action_id)""")
 twin("marked_actions", "agent_actions batch", f"""
 SELECT action_id, status, {stamp(f"CASE WHEN action_id IN (SELECT action_id FROM batch) THEN {ACTIONS_AS_OF} ELSE feedback_applied_at END")}
   AS feedback_applied_at FROM agent_actions""")

@@ -27,6 +27,7 @@ from clientele.operators.messages import render_messages, suggested_plan
 from clientele.operators.model_store import load_or_train
 from clientele.plans import planner as pln
 from clientele.plans.cycle import Cycle, cycle_summary, decision_cycle
+from clientele.plans.execution import run_execution, run_feedback
 from clientele.plans.inference import Models, run_inference, stored_features
 from clientele.schemas import TABLES
 from clientele.session import scratch_path, shared_dir, stored
@@ -683,15 +684,41 @@ def feedback_after_marking(spark, sf_dir):
     return left.agg(F.count(F.lit(1)).alias("left_over"))
 
 
+def _feedback_run(spark, sf_dir, log: str, staging: str):
+    tables = crm_tables(spark, sf_dir, ("customers", "agent_actions"))
+    return run_feedback(
+        spark, tables["customers"], tables["agent_actions"], ACTIONS_AS_OF, log, staging, FEEDBACK_HOURS
+    )
+
+
 @query
 def feedback_logged(spark, sf_dir):
-    """Applied actions kept in a log of their own; a second run finds nothing to apply."""
-    path = scratch_path(spark, "applied")
-    actions = _actions(spark, sf_dir)
+    """Applied actions are kept in a log of their own; a second run finds nothing to apply."""
+    log = scratch_path(spark, "applied")
+    for _ in range(2):
+        _feedback_run(spark, sf_dir, log, scratch_path(spark, "staging"))
+    return sinks.read_feedback_log(spark, log)
+
+
+@query
+def feedback_run_health(spark, sf_dir):
+    """Customers after a feedback run of which the first attempt is repeated."""
+    log, staging = scratch_path(spark, "applied"), scratch_path(spark, "staging")
+    _feedback_run(spark, sf_dir, log, staging)
+    people = _feedback_run(spark, sf_dir, log, staging).customers
+    return people.select("customer_id", half_even(F.col("health_score"), 6).alias("health_score"))
+
+
+@query
+def execution_run(spark, sf_dir):
+    """A page of the stored queue executed and committed, with the attempt repeated."""
+    actions, mails, staging = (scratch_path(spark, n) for n in ("actions", "mails", "staging"))
+    tables = crm_tables(spark, sf_dir)
+    sinks.write_actions(tables["agent_actions"], actions)
     for _ in range(2):
-        batch = fb.without_logged(fb.pending_feedback(actions, ACTIONS_AS_OF, FEEDBACK_HOURS), sinks.read_feedback_log(spark, path))
-        sinks.append_feedback_log(spark, batch, ACTIONS_AS_OF, path)
-    return sinks.read_feedback_log(spark, path)
+        run_execution(spark, tables, _given_outcomes(spark, sf_dir), AS_OF, actions, mails, staging, 100)
+    logged = spark.read.parquet(mails).select(F.col("email_id").substr(5, 64).alias("action_id"), "opened", "clicked")
+    return sinks.read_actions(spark, actions).select("action_id", "status", "outcome").join(logged, "action_id", "left")
 
 
 @query

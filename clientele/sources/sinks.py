@@ -1,4 +1,4 @@
-"""Writers. Each can be run again after a failure without doubling rows.
+"""Writers. Each can be run again after a failure without doubling or losing rows.
 
 The action table is a folder partitioned by ``status``: the large executed part
 only ever grows by appends, and the small pending part is rewritten on its own.
@@ -12,35 +12,34 @@ from clientele.functions import as_timestamp
 from clientele.schemas import TABLES
 from clientele.sources.tables import conform
 
-_ACTION_FILES = TABLES["agent_actions"].names
+_ACTION_FILES = [c for c in TABLES["agent_actions"].names if c != "status"]
+_FEEDBACK_LOG = "action_id string, executed_at timestamp_ntz, feedback_applied_at timestamp_ntz"
 
 
-def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Replace all predictions. ``path`` must not be among the inputs of the frame."""
-    conform(predictions, TABLES["ml_predictions"]).write.mode("overwrite").parquet(path)
-
-
-def _action_part(path: str, status: str) -> str:
-    return f"{path}/status={status}"
-
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
 
-def _without_status(rows: DataFrame) -> DataFrame:
-    return rows.select(*[c for c in _ACTION_FILES if c != "status"])
 
-
-def read_actions(spark: SparkSession, path: str) -> DataFrame:
-    """The action table; a filter on ``status`` prunes to that part's files."""
-    return conform(spark.read.parquet(path), TABLES["agent_actions"])
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    try:
+        return spark.read.schema("id bigint").parquet(f"{path}-complete").count() > 0
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        return False
 
 
-def write_actions(actions: DataFrame, path: str) -> None:
-    """Write the whole action table to a new folder."""
-    conform(actions, TABLES["agent_actions"]).write.partitionBy("status").parquet(path)
+def _complete(spark: SparkSession, path: str) -> None:
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}-complete")
 
 
-def write_pending(queue: DataFrame, path: str) -> None:
-    """Replace the pending part only. An empty queue clears it; history stays as it is."""
-    _without_status(queue).write.mode("overwrite").parquet(_action_part(path, "pending"))
+def write_once(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, written from ``df`` unless an earlier attempt completed it."""
+    spark = df.sparkSession
+    if not _is_complete(spark, path):
+        df.write.mode("overwrite").parquet(path)
+        _complete(spark, path)
+    return spark.read.parquet(path)
 
 
 def _not_stored(rows: DataFrame, stored: DataFrame, key: str, time: str) -> DataFrame:
@@ -58,36 +57,70 @@ def _not_stored(rows: DataFrame, stored: DataFrame, key: str, time: str) -> Data
     return rows.join(seen, key, "left_anti").select(*rows.columns)
 
 
-def commit_outcomes(spark: SparkSession, path: str, executed: DataFrame, staging: str) -> None:
-    """Move executed rows out of the pending part.
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Replace all predictions. ``path`` must not be among the inputs of the frame."""
+    conform(predictions, TABLES["ml_predictions"]).write.mode("overwrite").parquet(path)
+
+
+def _action_part(path: str, status: str) -> str:
+    return f"{path}/status={status}"
+
+
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """The action table; a filter on ``status`` prunes to that part's files."""
+    return conform(spark.read.parquet(path), TABLES["agent_actions"])
+
+
+def write_actions(actions: DataFrame, path: str) -> None:
+    """Write the whole action table to a new folder."""
+    conform(actions, TABLES["agent_actions"]).write.partitionBy("status").parquet(path)
+
+
+def write_pending(queue: DataFrame, path: str) -> None:
+    """Replace the pending part only. An empty queue clears it; history stays as it is."""
+    queue.select(*_ACTION_FILES).write.mode("overwrite").parquet(_action_part(path, "pending"))
+
 
-    The batch is written to ``staging`` first, so both later steps read the same
-    rows; rows already in the executed part are skipped, so a second run after a
-    failure between the steps completes the move.
+def commit_outcomes(spark: SparkSession, path: str, executed: DataFrame, staging: str) -> DataFrame:
+    """Move executed rows out of the pending part, and return them as they were committed.
+
+    ``staging`` belongs to this one batch. The batch and the remaining pending rows
+    are kept there before anything is changed, so an attempt that fails between the
+    steps is finished by the next one, and an attempt after the end does nothing.
     """
-    _without_status(executed).write.mode("overwrite").parquet(f"{staging}/batch")
-    batch = spark.read.parquet(f"{staging}/batch")
+    batch = write_once(executed, f"{staging}/batch")
+    if _is_complete(spark, f"{staging}/commit"):
+        return batch
     done = read_actions(spark, path).filter("status = 'executed'")
-    _not_stored(batch, done, "action_id", "executed_at").write.mode("append").parquet(
+    _not_stored(batch.select(*_ACTION_FILES), done, "action_id", "executed_at").write.mode("append").parquet(
         _action_part(path, "executed")
     )
     pending = read_actions(spark, path).filter("status = 'pending'")
     remaining = pending.join(batch.select("action_id"), "action_id", "left_anti")
-    _without_status(remaining).write.mode("overwrite").parquet(f"{staging}/pending")
-    spark.read.parquet(f"{staging}/pending").write.mode("overwrite").parquet(
-        _action_part(path, "pending")
-    )
+    write_pending(write_once(remaining, f"{staging}/pending"), path)
+    _complete(spark, f"{staging}/commit")
+    return batch
+
+
+def append_email_log(spark: SparkSession, emails: DataFrame, path: str) -> None:
+    """Append the log rows whose id is not there yet."""
+    rows = conform(emails, TABLES["email_log"])
+    try:
+        rows = _not_stored(rows, spark.read.parquet(path), "email_id", "sent_at")
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+    rows.write.mode("append").parquet(path)
 
 
 def read_feedback_log(spark: SparkSession, path: str) -> DataFrame:
     """The log of applied actions, empty before its first batch."""
-    schema = "action_id string, executed_at timestamp_ntz, feedback_applied_at timestamp_ntz"
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(_FEEDBACK_LOG).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if not _missing(error):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _FEEDBACK_LOG)
 
 
 def append_feedback_log(spark: SparkSession, batch: DataFrame, applied_at, path: str) -> None:
@@ -95,14 +128,3 @@ def append_feedback_log(spark: SparkSession, batch: DataFrame, applied_at, path:
     rows = batch.select("action_id", "executed_at", as_timestamp(applied_at).alias("feedback_applied_at"))
     log = read_feedback_log(spark, path)
     _not_stored(rows, log, "action_id", "executed_at").write.mode("append").parquet(path)
-
-
-def append_email_log(spark: SparkSession, emails: DataFrame, path: str) -> None:
-    """Append the log rows whose id is not there yet."""
-    rows = conform(emails, TABLES["email_log"])
-    try:
-        rows = _not_stored(rows, spark.read.parquet(path), "email_id", "sent_at")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    rows.write.mode("append").parquet(path)

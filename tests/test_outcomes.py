@@ -62,6 +62,31 @@ def test_committing_a_batch(spark, tables, tmp_path, zone):
     assert [(r["email_id"], r["opened"], r["clicked"]) for r in logged] == [("ACT-1", 1, 1)]
 
 
+def test_commit_recovers_from_a_lost_pending_part(spark, tables, tmp_path):
+    """The attempt died while the pending part was being replaced: its files are gone, the staged rows are not."""
+    path, staging = str(tmp_path / "actions"), str(tmp_path / "staging")
+    sinks.write_actions(tables["agent_actions"], path)
+    batch = sinks.write_once(out.execution_batch(tables, given(spark), NOW, 1), f"{staging}/batch")
+    pending = sinks.read_actions(spark, path).filter("status = 'pending'")
+    sinks.write_once(pending.join(batch.select("action_id"), "action_id", "left_anti"), f"{staging}/pending")
+    sinks.write_pending(pending.limit(0), path)
+    now = {**tables, "agent_actions": sinks.read_actions(spark, path)}
+    sinks.commit_outcomes(spark, path, out.execution_batch(now, given(spark), NOW, 1), staging)
+    rows = {r["action_id"]: r["status"] for r in sinks.read_actions(spark, path).collect()}
+    assert rows == {"1": "executed", "2": "pending", "3": "executed"}
+
+
+def test_commit_after_the_end_leaves_a_newer_queue_alone(spark, tables, frame, tmp_path):
+    path, staging = str(tmp_path / "actions"), str(tmp_path / "staging")
+    sinks.write_actions(tables["agent_actions"], path)
+    batch = out.execution_batch(tables, given(spark), NOW, 1)
+    sinks.commit_outcomes(spark, path, batch, staging)
+    sinks.write_pending(frame("agent_actions", [dict(action_id="9", status="pending")]), path)
+    sinks.commit_outcomes(spark, path, batch, staging)
+    rows = {r["action_id"]: r["status"] for r in sinks.read_actions(spark, path).collect()}
+    assert rows == {"1": "executed", "3": "executed", "9": "pending"}
+
+
 def test_outcomes_touch_pending_rows_only(spark, tables):
     rows = {r["action_id"]: r for r in out.apply_outcomes(tables["agent_actions"], given(spark), NOW).collect()}
     assert rows["1"]["status"] == "executed" and rows["3"]["outcome"] == "bounced" and rows["2"]["status"] == "pending"
