@@ -57,6 +57,17 @@ def _not_stored(rows: DataFrame, stored: DataFrame, key: str, time: str) -> Data
     return rows.join(seen, key, "left_anti").select(*rows.columns)
 
 
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Rebuild all tables in ``folder``, which must not be where the frames are read from.
+
+    Tables without a frame are written empty, so that no rows of an older build remain.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    for name, schema in TABLES.items():
+        rows = tables[name] if name in tables else spark.createDataFrame([], schema)
+        conform(rows, schema).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """Replace all predictions. ``path`` must not be among the inputs of the frame."""
     conform(predictions, TABLES["ml_predictions"]).write.mode("overwrite").parquet(path)

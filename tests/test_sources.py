@@ -57,6 +57,14 @@ def test_files_round_trip(spark, tmp_path):
             assert read[name].schema.names == TABLES[name].names and read[name].count() == df.count()
 
 
+def test_rebuild_leaves_no_old_rows(spark, frame, tmp_path):
+    folder = str(tmp_path)
+    sinks.write_tables(crm_tables(spark, SF_DIR, ["customers", "email_log"]), folder)
+    sinks.write_tables({"customers": frame("customers", [dict(customer_id="A")])}, folder)
+    read = load_tables(spark, folder)
+    assert {n: df.count() for n, df in read.items()} == {n: int(n == "customers") for n in TABLES}
+
+
 def test_pruning_reaches_the_scan(spark):
     plan = crm_tables(spark, SF_DIR)["support_tickets"].select("customer_id", "sentiment_score")._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "PushedFilters: [IsNotNull(l_returnflag)" in plan
