@@ -105,7 +105,7 @@ def apply_steps(customers: DataFrame, steps: DataFrame) -> DataFrame:
 
 def mark_applied(actions: DataFrame, batch: DataFrame, applied_at) -> DataFrame:
     """The action table with every row of the batch marked, also those that changed nothing."""
-    done = batch.select("action_id", F.lit(True).alias("done"))
+    done = batch.select("action_id").distinct().withColumn("done", F.lit(True))
     joined = actions.join(done, "action_id", "left")
     stamp = F.when(F.col("done"), as_timestamp(applied_at)).otherwise(F.col("feedback_applied_at"))
     return joined.select(

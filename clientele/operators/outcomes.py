@@ -27,13 +27,17 @@ def email_flags(outcome: Column) -> tuple[Column, Column]:
     return opened, clicked
 
 
+def one_per_action(outcomes: DataFrame) -> DataFrame:
+    """One outcome per action id, however many copies arrive; they merge map-side."""
+    return outcomes.groupBy("action_id").agg(F.max("outcome").alias("outcome"))
+
+
 def apply_outcomes(actions: DataFrame, outcomes: DataFrame, executed_at) -> DataFrame:
     """The action table after pending actions received their outcomes.
 
     Actions that are not pending, and outcomes of unknown actions, change nothing.
-    ``outcomes`` has one row per action id.
     """
-    new = outcomes.select("action_id", F.col("outcome").alias("new_outcome"), F.lit(True).alias("has_outcome"))
+    new = one_per_action(outcomes).select("action_id", F.col("outcome").alias("new_outcome"), F.lit(True).alias("has_outcome"))
     joined = actions.join(new, "action_id", "left")
     hit = F.col("has_outcome") & (F.col("status") == "pending")
     changed = {
@@ -66,8 +70,8 @@ def execution_batch(
         tables[name].join(ids, "customer_id", "left_semi") for name in ("customers", "ml_predictions")
     )
     context = action_context(tables, batch, as_of, one_page=True)
-    messages = render_messages(batch, people, scores, context)
-    known = outcomes.select("action_id", F.col("outcome").alias("given"))
+    messages = render_messages(batch, people, scores, context, one_page=True)
+    known = one_per_action(outcomes).select("action_id", F.col("outcome").alias("given"))
     label = F.coalesce("given", F.lit("completed"))
     return (
         messages.join(known, "action_id", "left")

@@ -25,6 +25,7 @@ from clientele.operators import segments as seg
 from clientele.operators import training as trn
 from clientele.operators.messages import render_messages, suggested_plan
 from clientele.operators.model_store import load_or_train
+from clientele.operators.skew import join_profiles
 from clientele.plans import planner as pln
 from clientele.plans.cycle import Cycle, cycle_summary, decision_cycle
 from clientele.plans.execution import run_execution, run_feedback
@@ -633,7 +634,8 @@ def discount_codes(spark, sf_dir):
 
 @query
 def suggested_plans(spark, sf_dir):
-    rows = _actions(spark, sf_dir).join(_people(spark, sf_dir).select("customer_id", "plan"), "customer_id", "left")
+    plans = _people(spark, sf_dir).select("customer_id", "plan")
+    rows = join_profiles(_actions(spark, sf_dir), plans, "customer_id", "action_id", hot_rows=50)
     return rows.select("action_id", suggested_plan(F.col("metadata"), F.col("plan")).alias("suggested_plan"))
 
 

@@ -151,3 +151,9 @@ def test_every_outcome_has_a_delta(spark):
     df = spark.createDataFrame([(k,) for k in HEALTH_DELTAS], "outcome string")
     got = {r[0]: r[1] for r in df.select("outcome", fb.health_delta(F.col("outcome"))).collect()}
     assert got == HEALTH_DELTAS
+
+
+def test_copies_of_an_outcome_change_one_action(spark, tables):
+    copies = given(spark).unionByName(given(spark))
+    assert out.apply_outcomes(tables["agent_actions"], copies, NOW).count() == 3
+    assert out.execution_batch(tables, copies, NOW, 10).count() == 2
