@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def last_per_key(rows: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
-    """The row with the greatest ``order_by`` for each key.
+    """The row with the greatest ``order_by`` for each key; equal ones are decided by the other columns.
 
     An aggregate with map-side partials rather than a window: a key that holds a
     large part of the rows shrinks to one row per task before the shuffle.
     """
-    payload = F.struct(*[F.col(c) for c in rows.columns])
-    picked = rows.groupBy(*keys).agg(F.max_by(payload, F.col(order_by)).alias("row"))
-    return picked.select("row.*")
+    ranked = F.struct(order_by, *[c for c in rows.columns if c != order_by])
+    picked = rows.groupBy(*keys).agg(F.max(ranked).alias("row"))
+    return picked.select(*[F.col(f"row.{c}").alias(c) for c in rows.columns])
 
 
 def upsert_by_key(base: DataFrame, incoming: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:

@@ -16,17 +16,18 @@ _ACTION_FILES = [c for c in TABLES["agent_actions"].names if c != "status"]
 _FEEDBACK_LOG = "action_id string, executed_at timestamp_ntz, feedback_applied_at timestamp_ntz"
 
 
-def _missing(error: AnalysisException) -> bool:
-    return error.getCondition() == "PATH_NOT_FOUND"
-
-
-def _is_complete(spark: SparkSession, path: str) -> bool:
+def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``, without rows where nothing has been written yet."""
     try:
-        return spark.read.schema("id bigint").parquet(f"{path}-complete").count() > 0
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if not _missing(error):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return False
+        return spark.createDataFrame([], schema)
+
+
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    return _read_or_empty(spark, f"{path}-complete", "id bigint").count() > 0
 
 
 def _complete(spark: SparkSession, path: str) -> None:
@@ -116,22 +117,13 @@ def commit_outcomes(spark: SparkSession, path: str, executed: DataFrame, staging
 def append_email_log(spark: SparkSession, emails: DataFrame, path: str) -> None:
     """Append the log rows whose id is not there yet."""
     rows = conform(emails, TABLES["email_log"])
-    try:
-        rows = _not_stored(rows, spark.read.parquet(path), "email_id", "sent_at")
-    except AnalysisException as error:
-        if not _missing(error):
-            raise
-    rows.write.mode("append").parquet(path)
+    log = _read_or_empty(spark, path, TABLES["email_log"])
+    _not_stored(rows, log, "email_id", "sent_at").write.mode("append").parquet(path)
 
 
 def read_feedback_log(spark: SparkSession, path: str) -> DataFrame:
     """The log of applied actions, empty before its first batch."""
-    try:
-        return spark.read.schema(_FEEDBACK_LOG).parquet(path)
-    except AnalysisException as error:
-        if not _missing(error):
-            raise
-        return spark.createDataFrame([], _FEEDBACK_LOG)
+    return _read_or_empty(spark, path, _FEEDBACK_LOG)
 
 
 def append_feedback_log(spark: SparkSession, batch: DataFrame, applied_at, path: str) -> None:

@@ -42,6 +42,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     Running it again changes nothing; columns outside the schema stay at the end.
     """
     have = {f.name: f.dataType for f in df.schema.fields}
+    if list(have.items()) == [(f.name, f.dataType) for f in schema.fields]:
+        return df
     wanted = [
         F.col(f.name) if have.get(f.name) == f.dataType
         else (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
