@@ -194,6 +194,7 @@ def evaluate_python_rule(
 
     ``rule`` sees one row as a dict of ``columns`` and returns ``action_type``,
     ``reason`` and optionally ``triggered_by`` and ``context`` as JSON text, or None.
+    The workers must be able to import its module, unless it is a local function.
     A row on which it fails becomes an output row with ``error`` set and no action.
     """
     names = ["customer_id", *[n for n in columns if n != "customer_id"]]

@@ -467,18 +467,18 @@ def priority_mismatches(spark, sf_dir):
     return rul.priority_mismatches(rul.evaluate_rules(_enriched(spark, sf_dir), changed), changed)
 
 
-def _python_rule(row: dict) -> dict | None:
-    if row["plan"] == "Pro" and row["nps_score"] < -50:
-        if row["nps_score"] < -90:
-            raise ValueError("nps out of range")
-        return {"action_type": "send_health_checkin", "reason": f"NPS {row['nps_score']}"}
-    return None
-
-
 @query
 def python_rule_candidates(spark, sf_dir):
-    people = _people(spark, sf_dir)
-    rows = rul.evaluate_python_rule(people, "PY-001", 2, _python_rule, ["plan", "nps_score"])
+    """The rule is a local function, so it travels to workers that do not have this package."""
+
+    def unhappy(row):
+        if row["plan"] == "Pro" and row["nps_score"] < -50:
+            if row["nps_score"] < -90:
+                raise ValueError("nps out of range")
+            return {"action_type": "send_health_checkin", "reason": f"NPS {row['nps_score']}"}
+        return None
+
+    rows = rul.evaluate_python_rule(_people(spark, sf_dir), "PY-001", 2, unhappy, ["plan", "nps_score"])
     return rows.select("customer_id", "action_type", "reason", "priority", "rule_id", "error")
 
 
