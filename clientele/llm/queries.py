@@ -2,25 +2,41 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clientele.llm import mixing, quality, warc
+from clientele.llm import html, mixing, quality, simhash, toxicity, warc
 from clientele.llm.frames import documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "lang", "text")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir, "doc_id", "lang", "source", "text"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
+    "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op9_html": op9_html,
     "op10_quality": op10_quality,
 }
