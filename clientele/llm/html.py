@@ -71,6 +71,7 @@ class Page:
         self.hash: list[int | None] = [None]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         self._open: list[int] = [0]
+        self._count: Counter = Counter()  # open elements by tag
         self._marks: list[list[str]] = [[]]  # what the open elements hold so far
         self.first_main: int | None = None
         self._read(source)
@@ -125,7 +126,7 @@ class Page:
         if "=" in attributes:
             named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
         place = len(self.tag)
-        inside = any(self.tag[k] in MAIN for k in self._open)
+        inside = self._count["article"] + self._count["main"] > 0
         self.tag.append(tag)
         self.parent.append(self._open[-1])
         self.hash.append(None)
@@ -149,11 +150,14 @@ class Page:
             self._marks[-1].append(f"<{tag}>")
             return
         self._open.append(place)
+        self._count[tag] += 1
         self._marks.append([f"<{tag} {named.get('class', '')}>"])
 
     def _end_open(self, tag: str, border) -> None:
         """End the innermost open ``tag`` unless an element of ``border`` lies inside it."""
-        for k in reversed(self._open[1:]):
+        if not self._count[tag]:
+            return None
+        for k in reversed(self._open):
             if self.tag[k] == tag:
                 while self._open[-1] != k:
                     self._close()
@@ -168,6 +172,7 @@ class Page:
 
     def _close(self) -> None:
         place, marks = self._open.pop(), self._marks.pop()
+        self._count[self.tag[place]] -= 1
         self.hash[place] = xxhash.xxh64_intdigest("\x00".join(marks).encode("utf-8", "surrogatepass")) >> 1
         self._marks[-1].append(f"{self.hash[place]:x}")
         if self.tag[place] in BLOCKS:
