@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clientele.llm import html, mixing, quality, simhash, toxicity, warc
+from clientele.llm import html, mixing, ngrams, quality, simhash, toxicity, warc
 from clientele.llm.frames import documents
 
 
@@ -24,6 +24,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op8_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.bigram_scores(documents(spark, sf_dir, "doc_id", "text")).drop("perplexity")
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op8_ngrams": op8_ngrams,
     "op9_html": op9_html,
     "op10_quality": op10_quality,
 }
