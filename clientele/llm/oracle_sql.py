@@ -63,4 +63,17 @@ WHERE edge IS NULL OR part <> edge
 """
 
 
-ORACLE_SQL = {"op2_warc": OP2, "op5_mixing": _mix()}
+OP7 = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM d WHERE len(words) >= 20),
+h AS (SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS passage FROM w),
+r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY passage ORDER BY doc_id, start) > 1 AS repeat FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM r WHERE repeat),
+p AS (SELECT doc_id, list(place) AS places FROM c GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(words) AS n, array_to_string(list_filter(words, lambda x, i: NOT list_contains(places, i)), ' ') AS kept, len(places) AS gone
+      FROM d JOIN p USING (doc_id)
+      UNION ALL SELECT doc_id, len(words), array_to_string(words, ' '), 0 FROM d WHERE doc_id NOT IN (SELECT doc_id FROM p))
+SELECT doc_id, n::BIGINT AS n_words, gone::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+"""
+
+ORACLE_SQL = {"op2_warc": OP2, "op5_mixing": _mix(), "op7_repeats": OP7}

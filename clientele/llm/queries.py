@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, each over its whole table with production parameters."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clientele.llm import html, mixing, ngrams, quality, simhash, toxicity, warc
+from clientele.llm import html, mixing, ngrams, quality, repeats, simhash, toxicity, warc
 from clientele.llm.frames import documents
 
 
@@ -24,6 +25,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.bigram_scores(documents(spark, sf_dir, "doc_id", "text")).drop("perplexity")
 
@@ -41,6 +47,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op7_repeats": op7_repeats,
     "op8_ngrams": op8_ngrams,
     "op9_html": op9_html,
     "op10_quality": op10_quality,
