@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import html, mixing, ngrams, quality, repeats, simhash, toxicity, warc
+from clientele.llm import html, lines, mixing, ngrams, quality, repeats, simhash, toxicity, warc
 from clientele.llm.frames import documents
 
 
@@ -25,6 +25,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.without_fuzzy_lines(documents(spark, sf_dir, "doc_id", "text"))
+    return cut.select("row.doc_id", "n_lines", "n_removed", F.col("kept_text").alias("text"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -47,6 +52,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_lines": op6_lines,
     "op7_repeats": op7_repeats,
     "op8_ngrams": op8_ngrams,
     "op9_html": op9_html,
