@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import html, lines, mixing, ngrams, quality, repeats, simhash, toxicity, warc
+from clientele.llm import contamination, html, lines, mixing, ngrams, quality, repeats, simhash, toxicity, warc
 from clientele.llm.frames import documents
 
 
@@ -17,6 +17,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -50,6 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
+    "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_lines": op6_lines,
