@@ -89,7 +89,8 @@ def _sent(few: DataFrame) -> DataFrame:
 def _windows(keyed: DataFrame, items: DataFrame) -> DataFrame:
     """(key, start, size, step, shingles): the windows of documents that share a shingle with an item, from (key, text)."""
     every = None
-    for step in [r.step for r in items.select("step").distinct().collect()]:  # five numbers at most
+    steps = [r.step for r in items.select("step").distinct().collect()]  # five numbers at most
+    for step in steps or [SHINGLE]:
         anchors = kept(
             items.filter(F.col("step") == step).select(F.explode("weighted").alias("x"), "size")
             .select(F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("size").alias("item_size")).distinct(),
