@@ -12,7 +12,7 @@ ACTIONS_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 def rnd(x: str, digits: int) -> str:
     """Half-even rounding of a double."""
     scale = f"{10 ** digits}::DOUBLE"
-    return f"(round_even(({x})::DOUBLE * {scale}, 0) / {scale})"
+    return f"(round_even(({x})::DOUBLE * {scale}, 0) / {scale} + 0::DOUBLE)"
 
 
 def days(start: str, end: str = AS_OF) -> str:
@@ -66,7 +66,7 @@ def score(factor: int) -> str:
 EVENT_CUSTOMER = cid(
     "(user_id * 10 + 2 * (user_id % 5) + CASE WHEN day(ts) <= 10 AND event_id % 2 = 0 THEN 1 ELSE 0 END)"
 )
-LINE_ID = "CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+LINE_ID = "CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INTEGER"
 TICKET_STATUS = (
     "CASE WHEN l_suppkey % 20 < 3 THEN 'open' WHEN l_suppkey % 20 < 5 THEN 'in_progress'"
     " WHEN l_suppkey % 20 < 18 THEN 'resolved' ELSE 'escalated' END"
@@ -171,13 +171,14 @@ FROM events""")
 
 stage("support_tickets", "", f"""
 SELECT 'TK' || {LINE_ID} AS ticket_id, {cid('o_custkey')} AS customer_id,
-  {pick(('billing', 'technical', 'onboarding', 'feature_request', 'cancellation'), 'l_partkey % 5')} AS topic,
+  CASE WHEN l_partkey % 60 = 0 THEN 'cancellation'
+    ELSE {pick(('billing', 'technical', 'onboarding', 'feature_request'), 'l_partkey % 4')} END AS topic,
   {TICKET_STATUS} AS status,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS priority,
   1::DOUBLE - l_tax * 25::DOUBLE AS sentiment_score, {SHIPPED} AS opened_at,
   CASE WHEN {TICKET_STATUS} = 'resolved' THEN {SHIPPED} + INTERVAL 3 DAY END AS resolved_at
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_returnflag = 'R' AND l_discount >= 0.09::DOUBLE""")
+WHERE l_returnflag = 'R'""")
 
 stage("email_log", "", f"""
 SELECT 'EM' || {LINE_ID} AS email_id, {cid('o_custkey')} AS customer_id,
@@ -186,7 +187,7 @@ SELECT 'EM' || {LINE_ID} AS email_id, {cid('o_custkey')} AS customer_id,
   CASE WHEN l_quantity <= 17 THEN 1 ELSE 0 END AS opened,
   CASE WHEN l_quantity <= 17 AND l_linenumber = 1 THEN 1 ELSE 0 END AS clicked, {SHIPPED} AS sent_at
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_returnflag = 'A' AND l_discount <= 0.01::DOUBLE""")
+WHERE l_returnflag <> 'R'""")
 
 stage("agent_actions", "", f"""
 SELECT 'A' || event_id AS action_id, {EVENT_CUSTOMER} AS customer_id, {pick(ACTIONABLE, 'event_id % 8')} AS action_type,
@@ -383,9 +384,10 @@ stage("queue", "resolved cooling", f"""
 SELECT r.*, {_URGENCY} AS urgency_score FROM resolved r ANTI JOIN cooling USING (customer_id, action_type)""")
 
 stage("given", "agent_actions", f"""
-SELECT action_id, {pick(('opened_clicked', 'no_response', 'upgraded', 'issue_resolved', 'bounced', 'callback_scheduled'),
-                        num('action_id') + ' % 6')} AS new_outcome
-FROM agent_actions WHERE {num('action_id')} % 5 <> 0""")
+SELECT action_id, CASE WHEN {num('action_id')} % 5 <> 0
+    THEN {pick(('opened_clicked', 'no_response', 'upgraded', 'issue_resolved', 'bounced', 'callback_scheduled'),
+               num('action_id') + ' % 6')} END AS new_outcome
+FROM agent_actions""")
 
 stage("conversion", "customers ml_predictions", """
 SELECT customer_id, conversion_score, CASE WHEN conversion_score > 0 AND conversion_score <= 0.35::DOUBLE THEN 'Cold'
@@ -542,11 +544,10 @@ twin("table_volumes", " ".join(_TIMES), " UNION ALL ".join(
     for t, k in _KEYS.items()))
 twin("predictions_for_rules", "ml_predictions",
      "SELECT customer_id, churn_score, conversion_score, segment, ltv_estimate FROM ml_predictions")
-twin("predictions_rewritten", "ml_predictions", _plain("ml_predictions") + " WHERE churn_score >= 0.5::DOUBLE")
+twin("predictions_rewritten", "ml_predictions", _plain("ml_predictions", "(SELECT * REPLACE (1::DOUBLE - churn_score AS churn_score) FROM ml_predictions)"))
 
-_PENDING = f"""SELECT action_id, customer_id, status, urgency_score FROM agent_actions WHERE status <> 'pending'
-UNION ALL SELECT 'N' || action_id, customer_id, status, urgency_score FROM agent_actions
-WHERE status = 'pending' AND {num('action_id')} % 2 = 0"""
+_PENDING = """SELECT action_id, customer_id, status, urgency_score FROM agent_actions WHERE status <> 'pending'
+UNION ALL SELECT 'N' || action_id, customer_id, status, urgency_score FROM agent_actions WHERE status = 'pending'"""
 twin("pending_replaced", "agent_actions", _PENDING)
 twin("pending_rewritten", "agent_actions", _PENDING)
 
@@ -564,9 +565,9 @@ _MAIL = f"""SELECT 'ACT-' || action_id AS email_id, customer_id, action_type AS
 FROM agent_actions WHERE status = 'executed' AND action_type LIKE 'send_%'"""
 twin("mail_log_rows", "agent_actions", _MAIL)
 twin("mail_log_appended", "agent_actions email_log", f"{_plain('email_log')} UNION ALL {_MAIL}")
-twin("customers_upserted", "customers", f"""
-SELECT customer_id, name, plan, CASE WHEN {num('customer_id')} % 3 = 0 THEN mrr + 20::DOUBLE ELSE mrr END AS mrr FROM customers
-UNION ALL SELECT 'N' || customer_id, name, plan, mrr FROM customers WHERE {num('customer_id')} % 3 = 0""")
+twin("customers_upserted", "customers", """
+SELECT customer_id, name, plan, mrr + 20::DOUBLE AS mrr FROM customers
+UNION ALL SELECT 'N' || customer_id, name, plan, mrr FROM customers""")
 twin("legacy_actions_conformed", "agent_actions", f"""
 SELECT * REPLACE ({', '.join(f'{stamp(t)} AS {t}' for t in ('created_at', 'executed_at'))}, NULL::VARCHAR AS metadata,
   NULL::DOUBLE AS urgency_score, NULL::VARCHAR AS feedback_applied_at) FROM agent_actions""")
@@ -594,7 +595,7 @@ SELECT * FROM engagement_events UNION ALL SELECT * FROM engagement_events WHERE
 twin("constraint_violations", " ".join(_KEYS) + " damaged_customers damaged_events",
      _checks({**{t: t for t in _KEYS}, "customers": "damaged_customers", "engagement_events": "damaged_events"}))
 twin("transactions_from_csv", "transactions",
-     f"SELECT txn_id, customer_id, {rnd('amount', 5)} AS amount, status, {stamp('txn_date')} AS txn_date FROM transactions")
+     f"SELECT txn_id, customer_id, {rnd('amount', 5)} AS amount, status, {stamp('txn_date')} AS txn_date, NULL::VARCHAR AS txn_type FROM transactions")
 
 twin("customer_base", "base", "SELECT customer_id, plan, plan_rank, tenure_days, mrr, health_score FROM base")
 twin("transaction_features", "txn", "SELECT * FROM txn")
@@ -677,10 +678,13 @@ twin("priority_mismatches", "candidates", """
 SELECT rule_id, CASE rule_id WHEN 'CHN-002' THEN 4 ELSE 1 END AS expected, CASE rule_id WHEN 'CHN-002' THEN 3 ELSE 2 END AS emitted,
   count(*) AS candidates FROM candidates WHERE rule_id IN ('CHN-002', 'LYL-002') GROUP BY rule_id""")
 twin("python_rule_candidates", "customers", """
-SELECT customer_id, CASE WHEN nps_score >= -90 THEN 'send_health_checkin' END AS action_type,
-  CASE WHEN nps_score >= -90 THEN 'NPS ' || nps_score END AS reason, 2 AS priority, 'PY-001' AS rule_id,
-  CASE WHEN nps_score < -90 THEN 'ValueError: nps out of range' END AS error
-FROM customers WHERE plan = 'Pro' AND nps_score < -50""")
+SELECT customer_id, CASE WHEN nps >= -90 THEN 'send_health_checkin' END AS action_type,
+  CASE WHEN nps >= -90 THEN 'NPS ' || nps || ', shelf '
+    || CAST(list_sum(list_transform(string_split(substring(customer_id, 2), ''), lambda x: x::INTEGER)) % 9 AS BIGINT) END AS reason,
+  2 AS priority, 'PY-001' AS rule_id,
+  CASE WHEN nps < -90 THEN 'ValueError: nps out of range' WHEN nps IS NULL THEN 'TypeError: priority is str' END AS error
+FROM (SELECT *, CASE WHEN CAST(substring(customer_id, 2) AS BIGINT) % 50 <> 0 THEN nps_score END AS nps FROM customers)
+WHERE plan = 'Pro' AND nps < -50 OR nps IS NULL""")
 
 _SETS = "SELECT customer_id, rule_id, priority, n_candidates, conflict, churn_score, ltv_estimate FROM sets"
 twin("fired_sets", "sets", _SETS)
@@ -772,7 +776,7 @@ twin("updated_health", "customers agent_actions", _folded(
 twin("feedback_run_health", "customers batch", _folded("batch", "executed_at, action_id"))
 stage("page", "agent_actions given", f"""
 SELECT b.action_id, b.action_type, coalesce(g.new_outcome, 'completed') AS outcome
-FROM (SELECT * FROM agent_actions WHERE status = 'pending' {_URGENT_FIRST} LIMIT 100) b LEFT JOIN given g USING (action_id)""")
+FROM (SELECT * FROM agent_actions WHERE status = 'pending' {_URGENT_FIRST} LIMIT 2000) b LEFT JOIN given g USING (action_id)""")
 twin("execution_run", "agent_actions page", f"""
 SELECT a.action_id, CASE WHEN p.action_id IS NULL THEN a.status ELSE 'executed' END AS status,
   CASE WHEN p.action_id IS NULL THEN a.outcome ELSE p.outcome END AS outcome,
@@ -873,3 +877,24 @@ twin("streamed_health", "customers agent_actions", _folded(
 twin("streamed_event_counts", "engagement_events", f"""
 SELECT customer_id, CAST(count(*) AS BIGINT) AS event_count FROM engagement_events
 WHERE event_date >= {AS_OF} - INTERVAL 30 DAY AND event_date < {AS_OF} GROUP BY customer_id""")
+
+
+def _model_checks(label: str, rows: str) -> str:
+    return f"""
+SELECT count(*) FILTER (WHERE NOT {label}) AS customers_0, count(*) FILTER (WHERE {label}) AS customers_1,
+  3::BIGINT AS families, 1::BIGINT AS chosen, true AS figures_in_range, true AS a_fifth_is_held_out, true AS all_are_judged
+FROM customers {rows}"""
+
+
+twin("churn_model_report", "customers", _model_checks("is_churned = 1", ""))
+twin("churn_scores", "customers", "SELECT customer_id, true AS in_range, true AS label_fits FROM customers")
+twin("conversion_model_report", "customers", _model_checks("plan = 'Pro'", "WHERE plan <> 'Enterprise'"))
+twin("conversion_scores", "customers", """
+SELECT customer_id, plan AS current_plan, true AS in_range, true AS label_fits, true AS enterprise_is_one FROM customers""")
+twin("segment_model_report", "customers", """
+SELECT count(*) AS customers, 5::BIGINT AS clusters, 5::BIGINT AS names, '[1, 2, 3, 4, 5]' AS ranks, true AS silhouette_in_range
+FROM customers""")
+twin("segment_scores", "customers", "SELECT customer_id, true AS named_as_its_cluster, true AS confidence_in_range FROM customers")
+twin("model_predictions", "customers", f"""
+SELECT customer_id, {stamp(AS_OF)} AS predicted_at, true AS in_range, true AS enterprise_is_one, true AS segment_known,
+  true AS value_follows FROM customers""")

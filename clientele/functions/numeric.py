@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 
 def half_even(x: Column, digits: int = 0) -> Column:
-    """Round to ``digits`` decimals, ties to the even digit (Spark's ``round`` goes half up)."""
+    """Round to ``digits`` decimals, ties to the even digit (Spark's ``round`` goes half up); never to a negative zero."""
     if digits == 0:
-        return F.rint(x)
+        return F.rint(x) + 0.0
     scale = F.lit(float(10**digits))
-    return F.rint(x * scale) / scale
+    return F.rint(x * scale) / scale + 0.0
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

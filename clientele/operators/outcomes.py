@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from clientele.functions import as_timestamp, half_even
 from clientele.operators.features import action_context
 from clientele.operators.messages import render_messages
-from clientele.operators.queue import pending_queue
+from clientele.operators.queue import MAX_LIMIT, pending_queue
 from clientele.schemas import CLICKED_OUTCOMES, FAILURE_OUTCOMES, SUCCESS_OUTCOMES, UNOPENED_OUTCOMES
+from clientele.session import stored
 
 
 def outcome_class(outcome: Column) -> Column:
@@ -57,21 +58,24 @@ def execution_batch(
 ) -> DataFrame:
     """The most urgent pending actions with message, outcome and outcome class.
 
-    Nothing is written: the result is the dry run, and the input of the writers.
-    An action without a row in ``outcomes`` has the outcome ``completed``.
+    No table is changed: the result is the dry run, and the input of the writers. The page itself is
+    kept in the shared folder, as several joins read it. An action without a known outcome is ``completed``.
     """
     pending = tables["agent_actions"]
     if action_ids is not None:
         pending = pending.filter(F.col("action_id").isin(list(action_ids)))
-    batch = pending_queue(pending, limit)
-    # A page has 500 ids at most: broadcast, they filter the large tables at their scan.
-    ids = F.broadcast(batch.select("customer_id").distinct())
+    batch = stored(pending_queue(pending, limit), "page")
+    small = limit <= MAX_LIMIT
+    # The ids of a small page filter the large tables at their scan; larger pages join as Spark sees fit.
+    sent = F.broadcast if small else (lambda df: df)
+    ids = sent(batch.select("customer_id").distinct())
     people, scores = (
         tables[name].join(ids, "customer_id", "left_semi") for name in ("customers", "ml_predictions")
     )
-    context = action_context(tables, batch, as_of, one_page=True)
-    messages = render_messages(batch, people, scores, context, one_page=True)
-    known = one_per_action(outcomes).select("action_id", F.col("outcome").alias("given"))
+    context = action_context(tables, batch, as_of, one_page=small)
+    messages = render_messages(batch, people, scores, context, one_page=small)
+    asked = outcomes.join(sent(batch.select("action_id")), "action_id", "left_semi")
+    known = one_per_action(asked).select("action_id", F.col("outcome").alias("given"))
     label = F.coalesce("given", F.lit("completed"))
     return (
         messages.join(known, "action_id", "left")

@@ -8,12 +8,13 @@ from clientele.schemas import COOLDOWN_DAYS, COOLDOWN_HORIZON_DAYS, DEFAULT_COOL
 from clientele.sources.tables import latest_predictions
 
 MAX_LIMIT = 500
+MAX_OFFSET = 10_000
 
 
 def checked_limit(limit: int, offset: int = 0) -> int:
-    """Page sizes are small by contract, so a page always fits one task."""
-    if not 0 <= limit <= MAX_LIMIT or offset < 0:
-        raise ValueError(f"limit must be between 0 and {MAX_LIMIT}, offset not negative")
+    """Report pages are small by contract, so a page always fits one task; deeper ones continue after a key."""
+    if not 0 <= limit <= MAX_LIMIT or not 0 <= offset <= MAX_OFFSET:
+        raise ValueError(f"limit must be between 0 and {MAX_LIMIT}, offset between 0 and {MAX_OFFSET}")
     return limit
 
 
@@ -47,14 +48,25 @@ def attach_ltv(plans: DataFrame, predictions: DataFrame) -> DataFrame:
     return plans.join(latest_predictions(predictions).select("customer_id", "ltv_estimate"), "customer_id", "left")
 
 
+def with_cooling(plans: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Plans with ``cooling``: whether their action was executed too recently for their customer."""
+    marked = pairs.withColumn("cooling", F.lit(True))
+    joined = plans.join(marked, ["customer_id", "action_type"], "left")
+    return joined.withColumn("cooling", F.coalesce("cooling", F.lit(False)))
+
+
 def build_queue(plans: DataFrame, actions: DataFrame, as_of) -> DataFrame:
-    """Pending action rows of the plans that are not in cooldown.
+    """Pending action rows of the plans that are not in cooldown."""
+    return queue_rows(drop_cooling(plans, cooldown_pairs(actions, as_of)), as_of)
+
+
+def queue_rows(ready: DataFrame, as_of) -> DataFrame:
+    """Pending action rows of plans.
 
-    ``plans`` carry ``ltv_estimate``. Rows come unsorted: :func:`pending_queue` reads
+    ``ready`` plans carry ``ltv_estimate``. Rows come unsorted: :func:`pending_queue` reads
     the most urgent ones without sorting the whole table. Ids repeat on a rerun.
     """
     now = as_timestamp(as_of)
-    ready = drop_cooling(plans, cooldown_pairs(actions, as_of))
     key = F.concat_ws("|", "customer_id", "action_type", now.cast("string"))
     rows = {
         "action_id": F.sha2(key, 256),
@@ -79,7 +91,7 @@ def _most_urgent(rows: DataFrame, limit: int) -> DataFrame:
         F.col("priority").desc_nulls_last(),
         F.col("created_at").asc_nulls_first(),
         F.col("action_id").asc(),
-    ).limit(checked_limit(limit))
+    ).limit(limit)
 
 
 def action_queue(
@@ -89,11 +101,14 @@ def action_queue(
     rows = actions.filter(F.col("status") == status)
     if priority:
         rows = rows.filter(F.col("priority") == priority)
-    return _most_urgent(rows, limit)
+    return _most_urgent(rows, checked_limit(limit))
 
 
 def pending_queue(actions: DataFrame, limit: int = 100) -> DataFrame:
-    return action_queue(actions, "pending", None, limit)
+    """The most urgent pending actions, as many as asked for."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return _most_urgent(actions.filter("status = 'pending'"), limit)
 
 
 def queue_priorities(queue: DataFrame) -> DataFrame:

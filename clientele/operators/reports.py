@@ -66,8 +66,12 @@ def list_customers(
     max_churn: float = 1.0,
     limit: int = 50,
     offset: int = 0,
+    after: tuple[float, str] | None = None,
 ) -> DataFrame:
-    """A page of active customers with their scores, most likely to leave first."""
+    """A page of active customers with their scores, most likely to leave first.
+
+    ``after`` is the (churn_score, customer_id) of the last row seen: any page costs as much as the first.
+    """
     checked_limit(limit, offset)
     people = customers.filter("is_churned = 0")
     scores = predictions.filter(F.col("churn_score").between(min_churn, max_churn))
@@ -75,6 +79,9 @@ def list_customers(
         people = people.filter(F.col("plan") == plan)
     if segment:
         scores = scores.filter(F.col("segment") == segment)
+    if after is not None:
+        score, last = after
+        scores = scores.filter((F.col("churn_score") < score) | (F.col("churn_score") == score) & (F.col("customer_id") > last))
     rows = people.select(*_PROFILE).join(scores.select("customer_id", *_SCORES), "customer_id")
     return rows.orderBy(F.col("churn_score").desc(), "customer_id").offset(offset).limit(limit)
 

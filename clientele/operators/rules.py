@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,17 +192,30 @@ def evaluate_python_rule(
 ) -> DataFrame:
     """Candidates of a rule that only Python can express.
 
-    ``rule`` sees one row as a dict of ``columns`` and returns ``action_type``,
-    ``reason`` and optionally ``triggered_by`` and ``context`` as JSON text, or None.
+    ``rule`` sees one row as a dict of ``columns`` (a null is None) and returns ``action_type``,
+    ``reason`` and optionally ``priority``, ``triggered_by`` and ``context`` as JSON text, or None.
     The workers must be able to import its module, unless it is a local function.
-    A row on which it fails becomes an output row with ``error`` set and no action.
+    A row on which it fails, or returns something of another type, becomes an output row with ``error`` set and no
+    action. It runs row by row in Python: what column functions can express belongs in the registry of rules.
     """
     names = ["customer_id", *[n for n in columns if n != "customer_id"]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {
+        "customer_id": str, "action_type": str, "reason": str, "priority": int, "rule_id": str, "rule_order": int,
+        "triggered_by": str, "context": str, "error": str,
+    }
+    arrow = pa.schema([(name, pa.int32() if kind is int else pa.string()) for name, kind in kinds.items()])
+
+    def checked(result: dict) -> dict:
+        for name, value in result.items():
+            if name not in kinds or value is not None and (type(value) is not kinds[name]):
+                raise TypeError(f"{name} is {type(value).__name__}")
+        return result
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 base = {
                     "customer_id": row["customer_id"], "action_type": None, "reason": None,
                     "priority": priority, "rule_id": rule_id, "rule_order": rule_order,
@@ -210,18 +223,19 @@ def evaluate_python_rule(
                 }
                 try:
                     result = rule(row)
+                    result = result if result is None else checked(result)
                 except Exception as error:  # one bad row must not end the job
                     found.append({**base, "error": f"{type(error).__name__}: {error}"})
                     continue
                 if result is not None:
                     found.append({**base, **result})
-            yield pd.DataFrame(found, columns=[*CANDIDATE_COLUMNS, "error"])
+            yield pa.RecordBatch.from_pylist(found, arrow)
 
     schema = (
         "customer_id string, action_type string, reason string, priority int, rule_id string,"
         " rule_order int, triggered_by string, context string, error string"
     )
-    return enriched.select(*names).mapInPandas(run, schema)
+    return enriched.select(*names).mapInArrow(run, schema)
 
 
 def priority_mismatches(candidates: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.operators.features import build_customer_features
-from clientele.operators.queue import build_queue
+from clientele.operators.queue import cooldown_pairs, queue_rows, with_cooling
 from clientele.operators.rules import enrich, fire_rules
 from clientele.operators.scoring import one_row
 from clientele.plans.planner import fired_sets, resolve_plans
@@ -15,7 +15,7 @@ from clientele.session import stored
 
 @dataclass(frozen=True)
 class Cycle:
-    """The frames of one cycle."""
+    """The frames of one cycle; ``plans`` tell with ``cooling`` which of them are not queued."""
 
     customers: DataFrame
     sets: DataFrame
@@ -29,20 +29,25 @@ def decision_cycle(
     responses: DataFrame | None = None,
     budget: int = 20,
     materialise: bool = True,
+    queue_as_of=None,
 ) -> Cycle:
     """From the tables to the queue.
 
     The rules, the planning and the urgency run in the partitions of the feature
     join: after it only the cooldown join shuffles. ``materialise`` writes the fired
-    sets to the shared folder, so that several readers of the cycle, or a retry
-    after lost executors, do not build the features again.
+    sets and the plans to the shared folder, so that several readers of the cycle, or a retry
+    after lost executors, do not build the features again. ``queue_as_of`` is the time of the cooldown and of
+    the queued rows, if it differs from that of the features.
     """
     features = build_customer_features(tables, as_of)
     sets = fired_sets(fire_rules(enrich(features, tables["ml_predictions"])))
     if materialise:
         sets = stored(sets, "fired-sets")
-    plans = resolve_plans(sets, responses, budget)
-    queue = build_queue(plans, tables["agent_actions"], as_of)
+    start = queue_as_of or as_of
+    plans = with_cooling(resolve_plans(sets, responses, budget), cooldown_pairs(tables["agent_actions"], start))
+    if materialise:
+        plans = stored(plans, "plans")
+    queue = queue_rows(plans.filter("NOT cooling").drop("cooling"), start)
     return Cycle(tables["customers"], sets, plans, queue)
 
 
@@ -53,12 +58,11 @@ def cycle_summary(cycle: Cycle, as_of) -> DataFrame:
         cycle.customers.agg(count.alias("customers")),
         cycle.sets.agg(F.coalesce(F.sum("n_candidates"), F.lit(0)).alias("candidates")),
         cycle.plans.agg(
-            count.alias("plans"), F.count(F.when(F.col("llm_enhanced"), 1)).alias("llm_enhanced")
-        ),
-        cycle.queue.agg(
-            count.alias("queued_actions"),
-            F.count(F.when(F.col("priority") == 5, 1)).alias("critical"),
-            F.count(F.when(F.col("priority") == 4, 1)).alias("high"),
+            count.alias("plans"),
+            F.count(F.when(F.col("llm_enhanced"), 1)).alias("llm_enhanced"),
+            F.count(F.when(~F.col("cooling"), 1)).alias("queued_actions"),
+            F.count(F.when(~F.col("cooling") & (F.col("priority") == 5), 1)).alias("critical"),
+            F.count(F.when(~F.col("cooling") & (F.col("priority") == 4), 1)).alias("high"),
         ),
     )
     return summary.withColumns(

@@ -4,7 +4,7 @@ Each takes (spark, folder) and returns a DataFrame. Times are given as text, and
 columns are named as in the SQL twin.
 """
 
-import os
+import hashlib
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -118,8 +118,7 @@ def _scores(spark, sf_dir):
 def _cycle(spark, sf_dir) -> Cycle:
     """Resolved with the outside decisions, scheduled at the end of the action history."""
     tables = crm_tables(spark, sf_dir)
-    cycle = decision_cycle(tables, AS_OF, decision_responses(spark, sf_dir), BUDGET)
-    return replace(cycle, queue=que.build_queue(cycle.plans, tables["agent_actions"], ACTIONS_AS_OF))
+    return decision_cycle(tables, AS_OF, decision_responses(spark, sf_dir), BUDGET, queue_as_of=ACTIONS_AS_OF)
 
 
 def _key(column: str):
@@ -166,18 +165,17 @@ def predictions_for_rules(spark, sf_dir):
 
 @query
 def predictions_rewritten(spark, sf_dir):
-    """A second write leaves the new rows only."""
+    """A second write leaves the new scores only."""
     path = scratch_path(spark, "predictions")
     scores = _scores(spark, sf_dir)
     sinks.write_predictions(scores, path)
-    sinks.write_predictions(scores.filter("churn_score >= 0.5"), path)
+    sinks.write_predictions(scores.withColumn("churn_score", 1.0 - F.col("churn_score")), path)
     return conform(spark.read.parquet(path), TABLES["ml_predictions"])
 
 
 def _new_queue(spark, sf_dir):
-    """Pending rows for the executed history: the actions of even ids, renamed."""
-    actions = _actions(spark, sf_dir)
-    fresh = actions.filter((F.col("status") == "pending") & (_key("action_id") % 2 == 0))
+    """Pending rows for the executed history: those of the table, renamed."""
+    fresh = _actions(spark, sf_dir).filter("status = 'pending'")
     return fresh.withColumn("action_id", F.concat(F.lit("N"), "action_id"))
 
 
@@ -198,12 +196,11 @@ def pending_rewritten(spark, sf_dir):
 
 
 def _given_outcomes(spark, sf_dir):
-    """Outcomes of the actions whose id is not a multiple of five."""
+    """Outcomes of all actions; where the id is a multiple of five the outcome is unknown (null)."""
     labels = [F.lit(x) for x in ("opened_clicked", "no_response", "upgraded", "issue_resolved", "bounced", "callback_scheduled")]
     key = _key("action_id")
-    return _actions(spark, sf_dir).filter(key % 5 != 0).select(
-        "action_id", F.element_at(F.array(*labels), (key % 6).cast("int") + 1).alias("outcome")
-    )
+    label = F.when(key % 5 != 0, F.element_at(F.array(*labels), (key % 6).cast("int") + 1))
+    return _actions(spark, sf_dir).select("action_id", label.alias("outcome"))
 
 
 @query
@@ -252,14 +249,12 @@ def mail_log_appended(spark, sf_dir):
 
 @query
 def customers_upserted(spark, sf_dir):
-    """Two versions of every third customer, and a new customer for each; the later version wins."""
+    """Two versions of every customer, and a new customer for each; the later version wins."""
     people = _people(spark, sf_dir).select("customer_id", "name", "plan", "mrr")
-    key = _key("customer_id")
-    third = people.filter(key % 3 == 0)
     versions = [
-        third.withColumns({"mrr": F.col("mrr") + 10.0 * v, "version": F.lit(v)}) for v in (1, 2)
+        people.withColumns({"mrr": F.col("mrr") + 10.0 * v, "version": F.lit(v)}) for v in (1, 2)
     ]
-    new = third.withColumns({"customer_id": F.concat(F.lit("N"), "customer_id"), "version": F.lit(1)})
+    new = people.withColumns({"customer_id": F.concat(F.lit("N"), "customer_id"), "version": F.lit(1)})
     return upsert_by_key(people, versions[1].unionByName(versions[0]).unionByName(new), ["customer_id"], "version")
 
 
@@ -287,11 +282,12 @@ def constraint_violations(spark, sf_dir):
 
 @query
 def transactions_from_csv(spark, sf_dir):
-    """A text export read back in the declared schema."""
+    """A text export with its columns in another order and one of them missing, read back in the declared schema."""
     folder = scratch_path(spark, "export")
-    crm_table(spark, sf_dir, "transactions").write.option("header", True).csv(f"{folder}/transactions")
+    names = ("status", "txn_date", "customer_id", "amount", "product_id", "txn_id", "currency")
+    crm_table(spark, sf_dir, "transactions").select(*names).write.option("header", True).csv(f"{folder}/transactions")
     rows = load_table(spark, folder, "transactions", "csv", header="true")
-    return rows.select("txn_id", "customer_id", half_even(F.col("amount"), 5).alias("amount"), "status", "txn_date")
+    return rows.select("txn_id", "customer_id", half_even(F.col("amount"), 5).alias("amount"), "status", "txn_date", "txn_type")
 
 
 # ── features ─────────────────────────────────────────────────────────────────
@@ -399,13 +395,15 @@ def lifetime_values(spark, sf_dir):
 
 
 def _segments(spark, sf_dir):
-    return _scores(spark, sf_dir).filter(_key("customer_id") % 9 != 0).select("customer_id", "segment")
+    known = F.when(_key("customer_id") % 9 != 0, F.col("segment"))
+    return _scores(spark, sf_dir).select("customer_id", known.alias("segment"))
 
 
 @query
 def assembled_predictions(spark, sf_dir):
-    """Scores put together, with gaps on purpose: lost conversions and segments take their defaults."""
-    conversion = _conversion(spark, sf_dir).filter(_key("customer_id") % 4 != 0)
+    """Scores put together, with gaps on purpose: unknown conversions and segments take their defaults."""
+    known = F.when(_key("customer_id") % 4 != 0, F.col("conversion_score"))
+    conversion = _conversion(spark, sf_dir).withColumn("conversion_score", known)
     people = _people(spark, sf_dir)
     return sco.assemble_predictions(
         _scores(spark, sf_dir), conversion, _segments(spark, sf_dir), people, AS_OF
@@ -434,8 +432,11 @@ def confusion_matrix(spark, sf_dir):
 
 @query
 def enriched_customers(spark, sf_dir):
-    """A quarter of the predictions is missing, so that the defaults show."""
-    scores = _scores(spark, sf_dir).filter(_key("customer_id") % 4 != 0)
+    """A quarter of the predictions is unknown, so that the defaults show."""
+    known = _key("customer_id") % 4 != 0
+    scores = _scores(spark, sf_dir)
+    unknown = ("churn_score", "conversion_score", "segment", "ltv_estimate")
+    scores = scores.withColumns({name: F.when(known, F.col(name)) for name in unknown})
     return rul.enrich(_features(spark, sf_dir), scores).select(
         "customer_id", "plan", "churn_score", "conversion_score", "segment", "ltv_estimate", "engagement_index"
     )
@@ -469,16 +470,24 @@ def priority_mismatches(spark, sf_dir):
 
 @query
 def python_rule_candidates(spark, sf_dir):
-    """The rule is a local function, so it travels to workers that do not have this package."""
+    """The rule is a local function, so it travels to workers that do not have this package.
+
+    Unknown values and results of a wrong type are among the rows.
+    """
 
     def unhappy(row):
+        if row["nps_score"] is None:
+            return {"action_type": "send_health_checkin", "reason": "NPS unknown", "priority": "high"}
         if row["plan"] == "Pro" and row["nps_score"] < -50:
             if row["nps_score"] < -90:
                 raise ValueError("nps out of range")
-            return {"action_type": "send_health_checkin", "reason": f"NPS {row['nps_score']}"}
+            shelf = sum(map(int, row["customer_id"][1:])) % 9
+            return {"action_type": "send_health_checkin", "reason": f"NPS {row['nps_score']}, shelf {shelf}"}
         return None
 
-    rows = rul.evaluate_python_rule(_people(spark, sf_dir), "PY-001", 2, unhappy, ["plan", "nps_score"])
+    known = F.when(_key("customer_id") % 50 != 0, F.col("nps_score"))
+    people = _people(spark, sf_dir).withColumn("nps_score", known)
+    rows = rul.evaluate_python_rule(people, "PY-001", 2, unhappy, ["plan", "nps_score"])
     return rows.select("customer_id", "action_type", "reason", "priority", "rule_id", "error")
 
 
@@ -718,7 +727,7 @@ def execution_run(spark, sf_dir):
     tables = crm_tables(spark, sf_dir)
     sinks.write_actions(tables["agent_actions"], actions)
     for _ in range(2):
-        run_execution(spark, tables, _given_outcomes(spark, sf_dir), AS_OF, actions, mails, staging, 100)
+        run_execution(spark, tables, _given_outcomes(spark, sf_dir), AS_OF, actions, mails, staging, 2000)
     logged = spark.read.parquet(mails).select(F.col("email_id").substr(5, 64).alias("action_id"), "opened", "clicked")
     return sinks.read_actions(spark, actions).select("action_id", "status", "outcome").join(logged, "action_id", "left")
 
@@ -851,46 +860,110 @@ _TRAINERS = {
 
 def _model(spark, sf_dir, task: str):
     """Trained once per application and folder, then read from where it was saved."""
-    place = os.path.basename(sf_dir.rstrip("/"))
+    place = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()
     path = f"{shared_dir(spark)}/models-{spark.sparkContext.applicationId}/{place}-{task}"
     kind, train = _TRAINERS[task]
     return load_or_train(kind, path, lambda: train(_stored(spark, sf_dir)))
 
 
+# What a model answers depends on its library; what must hold for any answer is exact, and that is registered.
+
+
+def _report_checks(report: DataFrame, labelled: DataFrame) -> DataFrame:
+    """One row: customers of either class, whether a fifth of each is held out and judged, families compared, figures in range."""
+
+    def of(prefix, how):
+        return how(F.when(F.col("metric").startswith(prefix), F.col("value")))
+
+    share = F.col("value").between(0.0, 1.0)
+    figures = F.col("metric").rlike("^(cv_auc|test_auc|precision|recall|f1|importance)")
+    checks = report.agg(
+        of("support_0", F.max).alias("held_0"), of("support_1", F.max).alias("held_1"), of("confusion_", F.sum).alias("judged"),
+        of("cv_auc_", F.count).alias("families"), of("chosen_", F.count).alias("chosen"),
+        F.min(F.when(figures, share)).alias("figures_in_range"),
+    )
+    counts = labelled.agg(
+        F.count(F.when(F.col("label") == 0, 1)).alias("customers_0"), F.count(F.when(F.col("label") == 1, 1)).alias("customers_1")
+    )
+    # The quantiles that cut the parts are approximate.
+    fifth = [F.abs(F.col(f"held_{k}") - 0.2 * F.col(f"customers_{k}")) <= 1 + 0.001 * F.col(f"customers_{k}") for k in (0, 1)]
+    return sco.one_row(checks, counts).select(
+        "customers_0", "customers_1", "families", "chosen", "figures_in_range",
+        (fifth[0] & fifth[1]).alias("a_fifth_is_held_out"), (F.col("judged") == F.col("held_0") + F.col("held_1")).alias("all_are_judged"),
+    )
+
+
 @query
 def churn_model_report(spark, sf_dir):
-    return trn.model_report(spark, _model(spark, sf_dir, "churn"))
+    labelled = _stored(spark, sf_dir).select(F.col("is_churned").alias("label"))
+    return _report_checks(trn.model_report(spark, _model(spark, sf_dir, "churn")), labelled)
 
 
 @query
 def churn_scores(spark, sf_dir):
-    return trn.predict_churn(_model(spark, sf_dir, "churn"), _stored(spark, sf_dir))
+    """Every customer has a score in range, and a label that fits it (at a border, either one does)."""
+    scored = trn.predict_churn(_model(spark, sf_dir, "churn"), _stored(spark, sf_dir))
+    return scored.select("customer_id", *_score_checks("churn_score", "churn_risk", sco.churn_label))
+
+
+def _score_checks(score: str, label: str, of):
+    value = F.col(score)
+    fits = [F.col(label).eqNullSafe(of(value + shift)) for shift in (-1e-4, 0.0, 1e-4)]
+    return value.between(0.0, 1.0).alias("in_range"), (fits[0] | fits[1] | fits[2]).alias("label_fits")
 
 
 @query
 def conversion_model_report(spark, sf_dir):
-    return trn.model_report(spark, _model(spark, sf_dir, "conversion"))
+    labelled = _stored(spark, sf_dir).filter("plan_rank < 3").select((F.col("plan_rank") >= 2).cast("int").alias("label"))
+    return _report_checks(trn.model_report(spark, _model(spark, sf_dir, "conversion")), labelled)
 
 
 @query
 def conversion_scores(spark, sf_dir):
-    return trn.predict_conversion(_model(spark, sf_dir, "conversion"), _stored(spark, sf_dir))
+    scored = trn.predict_conversion(_model(spark, sf_dir, "conversion"), _stored(spark, sf_dir))
+    return scored.select(
+        "customer_id", "current_plan", *_score_checks("conversion_score", "conversion_tier", sco.conversion_label),
+        ((F.col("current_plan") != "Enterprise") | (F.col("conversion_score") == 1.0)).alias("enterprise_is_one"),
+    )
 
 
 @query
 def segment_model_report(spark, sf_dir):
-    return seg.segment_report(_model(spark, sf_dir, "segments"), _stored(spark, sf_dir))
+    """Five clusters of different names hold all customers."""
+    report = seg.segment_report(_model(spark, sf_dir, "segments"), _stored(spark, sf_dir))
+    return report.agg(
+        F.sum("customers").alias("customers"), F.count_distinct("cluster").alias("clusters"),
+        F.count_distinct("segment").alias("names"), F.sort_array(F.collect_list("rank")).cast("string").alias("ranks"),
+        F.min(F.col("silhouette").between(-1.0, 1.0)).alias("silhouette_in_range"),
+    )
 
 
 @query
 def segment_scores(spark, sf_dir):
-    return seg.predict_segments(_model(spark, sf_dir, "segments"), _stored(spark, sf_dir))
+    """Every customer has a cluster, the name of that cluster and a confidence."""
+    model = _model(spark, sf_dir, "segments")
+    scored = seg.predict_segments(model, _stored(spark, sf_dir))
+    named = [F.col("cluster_id").eqNullSafe(F.lit(c)) & (F.col("segment") == name) for c, name in model.names.items()]
+    return scored.select(
+        "customer_id", reduce(lambda a, b: a | b, named).alias("named_as_its_cluster"),
+        F.col("segment_confidence").between(0.0, 1.0).alias("confidence_in_range"),
+    )
 
 
 @query
 def model_predictions(spark, sf_dir):
+    """One prediction per customer; the lifetime value follows from its own churn score."""
     models = Models(*(_model(spark, sf_dir, task) for task in _TRAINERS))
-    return run_inference(models, _stored(spark, sf_dir), AS_OF)
+    people = _people(spark, sf_dir).select("customer_id", "plan", "mrr")
+    rows = run_inference(models, _stored(spark, sf_dir), AS_OF).join(people, "customer_id")
+    value = half_even(F.col("mrr") * (1.0 - F.col("churn_score")) * 24.0, 2)
+    return rows.select(
+        "customer_id", "predicted_at",
+        (F.col("churn_score").between(0.0, 1.0) & F.col("conversion_score").between(0.0, 1.0)).alias("in_range"),
+        ((F.col("plan") != "Enterprise") | (F.col("conversion_score") == 1.0)).alias("enterprise_is_one"),
+        F.col("segment").isin("Champion", "Loyal", "At-Risk", "Prospect", "Lost").alias("segment_known"),
+        (F.col("ltv_estimate") == value).alias("value_follows"),
+    )
 
 
 # ── streams ──────────────────────────────────────────────────────────────────

@@ -16,9 +16,9 @@ ACTIONS_AS_OF = "2024-01-31 00:00:00"
 
 # Fixed values of the mapping.
 SHIFT = "INTERVAL '8200' DAY"
-INDUSTRY_SIZES = (1, 5, 10, 25, 50, 100, 250, 500, 1000)
+EMPLOYEE_COUNTS = (1, 5, 10, 25, 50, 100, 250, 500, 1000)
 CHANNELS = ("Email", "SMS", "Push", "In-App", "Sales Call")
-TOPICS = ("billing", "technical", "onboarding", "feature_request", "cancellation")
+TOPICS = ("billing", "technical", "onboarding", "feature_request")
 EMAIL_TYPES = ("welcome", "nurture", "re_engagement", "upsell", "retention")
 FIXTURE_SEGMENTS = ("Champion", "Loyal", "At-Risk", "Prospect", "Lost")
 # Outcome slots of the fixture, the last one being no outcome at all.
@@ -54,7 +54,7 @@ def _score(factor: int) -> str:
 _EVENT_CUSTOMER = _cid(
     "(user_id * 10 + 2 * (user_id % 5) + CASE WHEN day(ts) <= 10 AND event_id % 2 = 0 THEN 1 ELSE 0 END)"
 )
-_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity AS int))"
 _TICKET_STATUS = (
     "CASE WHEN l_suppkey % 20 < 3 THEN 'open' WHEN l_suppkey % 20 < 5 THEN 'in_progress'"
     " WHEN l_suppkey % 20 < 18 THEN 'resolved' ELSE 'escalated' END"
@@ -76,7 +76,7 @@ _MAPPING: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
             f"{_MRR} AS mrr",
             f"{_NOW} - make_dt_interval(cast(30 + c_custkey * 37 % 701 AS int)) AS signup_date",
             "n_name AS country",
-            f"{_pick(INDUSTRY_SIZES, 'c_custkey % 9')} AS employee_count",
+            f"{_pick(EMPLOYEE_COUNTS, 'c_custkey % 9')} AS employee_count",
             "least(greatest((c_acctbal + 1000D) / 110D, 0D), 100D) AS health_score",
             "cast(c_custkey * 13 % 201 - 100 AS int) AS nps_score",
             "cast(c_custkey % 5 = 0 AS int) AS is_churned",
@@ -115,11 +115,11 @@ _MAPPING: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
     ),
     "support_tickets": (
         ("lineitem", "orders", "l_orderkey = o_orderkey"),
-        "l_returnflag = 'R' AND l_discount >= 0.09D",
+        "l_returnflag = 'R'",
         (
             f"concat('TK', {_LINE_ID}) AS ticket_id",
             f"{_cid('o_custkey')} AS customer_id",
-            f"{_pick(TOPICS, 'l_partkey % 5')} AS topic",
+            f"CASE WHEN l_partkey % 60 = 0 THEN 'cancellation' ELSE {_pick(TOPICS, 'l_partkey % 4')} END AS topic",
             f"{_TICKET_STATUS} AS status",
             "CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high'"
             " WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS priority",
@@ -130,7 +130,7 @@ _MAPPING: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
     ),
     "email_log": (
         ("lineitem", "orders", "l_orderkey = o_orderkey"),
-        "l_returnflag = 'A' AND l_discount <= 0.01D",
+        "l_returnflag <> 'R'",
         (
             f"concat('EM', {_LINE_ID}) AS email_id",
             f"{_cid('o_custkey')} AS customer_id",

@@ -12,15 +12,19 @@ def load_table(
 ) -> DataFrame:
     """One table of the data model from ``folder/name``, in its declared schema.
 
-    Text formats are parsed with the declared schema. Columnar files carry their
-    own, so they are read as they are and conformed; pruning still reaches the scan.
+    A CSV file with a header is read by its column names, in any order; columns it lacks are null, and a cell that is no
+    value of its type is an error. Without a header its columns stand in declared order, and JSON is read by name; a
+    malformed row is an error there, too. Columnar files carry their own schema, so they are read as
+    they are and conformed; pruning still reaches the scan.
     With ``jdbc`` the table is named in the database that ``options`` describe.
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "jdbc":
         return conform(reader.option("dbtable", name).load(), TABLES[name])
+    if fmt == "csv" and options.get("header", "false").lower() == "true":
+        return _typed(reader.option("inferSchema", "false").load(f"{folder}/{name}"), TABLES[name])
     if fmt in ("csv", "json"):
-        return reader.schema(TABLES[name]).load(f"{folder}/{name}")
+        return reader.option("mode", "FAILFAST").schema(TABLES[name]).load(f"{folder}/{name}")
     return conform(reader.load(f"{folder}/{name}"), TABLES[name])
 
 
@@ -36,6 +40,22 @@ def latest_predictions(predictions: DataFrame) -> DataFrame:
     )
 
 
+def _typed(texts: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns by name in declared order and type; a text that is no such value ends the job."""
+    columns = []
+    for field in schema.fields:
+        if field.name not in texts.columns:
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+            continue
+        text = F.col(f"`{field.name}`")
+        value = text.try_cast(field.dataType)
+        told = F.concat(F.lit(f"column {field.name}: no {field.dataType.simpleString()}: "), text)
+        wrong = text.isNotNull() & value.isNull()
+        columns.append(F.when(wrong, F.raise_error(told).cast(field.dataType)).otherwise(value).alias(field.name))
+    extra = [F.col(f"`{name}`") for name in texts.columns if name not in schema.names]
+    return texts.select(*columns, *extra)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Add the missing columns as typed nulls and put all in declared order and type.
 

@@ -19,12 +19,12 @@ def test_cycle_invariants(spark, tables):
     assert 0 <= dropped <= 30
     row = cycle_summary(cycle, AS_OF).first()
     assert row["plans"] == len(plans) and row["queued_actions"] + row["cooldown_skipped"] == row["plans"]
-    assert row["customers"] == 150 and row["candidates"] == 225
+    assert row["customers"] == 150 and row["candidates"] == 205
 
 
 def test_nothing_queued_is_cooling(spark, tables):
     cycle = decision_cycle(tables, AS_OF)
-    queue = build_queue(cycle.plans, tables["agent_actions"], ACTIONS_AS_OF)
+    queue = build_queue(cycle.plans.drop("cooling"), tables["agent_actions"], ACTIONS_AS_OF)
     pairs = cooldown_pairs(tables["agent_actions"], ACTIONS_AS_OF)
     assert queue.join(pairs, ["customer_id", "action_type"]).count() == 0
     assert 0 < queue.count() < cycle.plans.count()

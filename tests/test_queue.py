@@ -62,7 +62,10 @@ def test_queue_rows_and_order(spark, frame):
 def test_page_limits(spark, frame):
     actions = frame("agent_actions", [])
     with pytest.raises(ValueError):
-        que.pending_queue(actions, 501)
+        que.action_queue(actions, limit=501)
+    assert que.pending_queue(actions, 10**6).collect() == []
+    with pytest.raises(ValueError):
+        que.pending_queue(actions, -1)
     with pytest.raises(ValueError):
         rep.list_customers(frame("customers", []), frame("ml_predictions", []), offset=-1)
 

@@ -120,3 +120,16 @@ def test_enrich_defaults(spark, frame):
 def test_summary_counts(spark):
     got = {(r["kind"], r["value"]): r["candidates"] for r in rul.rule_summary(rul.evaluate_rules(rows(spark, *[c[0] for c in CASES]))).collect()}
     assert got["rule", "CHN-002"] == 2 and got["priority", "P5 CRITICAL"] == 2 and got["action", "send_upgrade_offer"] == 4
+
+
+def test_python_rule_sees_whole_numbers_and_none_and_wrong_types_are_errors(spark):
+    rows = spark.createDataFrame([("A", 5), ("B", None), ("C", 7)], "customer_id string, nps_score int")
+
+    def rule(row):
+        if row["customer_id"] == "C":
+            return {"action_type": "x", "reason": "y", "priority": "high"}
+        return {"action_type": "x", "reason": f"NPS {row['nps_score']}"}
+
+    got = {r["customer_id"]: r for r in rul.evaluate_python_rule(rows, "P", 2, rule, ["nps_score"]).collect()}
+    assert (got["A"]["reason"], got["B"]["reason"]) == ("NPS 5", "NPS None")
+    assert got["C"]["error"] == "TypeError: priority is str" and got["C"]["action_type"] is None

@@ -7,7 +7,7 @@ from clientele.sources import sinks
 from clientele.sources.constraints import check_constraints
 from clientele.sources.driver_tables import crm_tables
 from clientele.sources.merge import last_per_key, upsert_by_key
-from clientele.sources.tables import conform, load_tables
+from clientele.sources.tables import conform, load_table, load_tables
 from tests.conftest import SF_DIR
 
 
@@ -102,3 +102,17 @@ def test_shared_folder_is_the_configured_one():
 def test_mapped_schema(spark, name):
     mapped = crm_tables(spark, SF_DIR, [name])[name]
     assert [(f.name, f.dataType) for f in mapped.schema.fields] == [(f.name, f.dataType) for f in TABLES[name].fields]
+
+
+def test_csv_is_read_by_name_and_bad_cells_are_errors(spark, tmp_path):
+    folder = tmp_path / "transactions"
+    folder.mkdir()
+    (folder / "a.csv").write_text("customer_id,amount,txn_id,note\nC1,5.5,T1,x\nC2,,T2,y\n")
+    (folder / "b.csv").write_text("customer_id,amount,txn_id,note\nC3,7,T3,z\n")
+    rows = {r["txn_id"]: r for r in load_table(spark, str(tmp_path), "transactions", "csv", header="true").collect()}
+    assert {k: (r["customer_id"], r["amount"], r["txn_date"], r["note"]) for k, r in rows.items()} == {
+        "T1": ("C1", 5.5, None, "x"), "T2": ("C2", None, None, "y"), "T3": ("C3", 7.0, None, "z"),
+    }
+    (folder / "b.csv").write_text("customer_id,amount,txn_id,note\nC3,\"5,0x\",T3,z\n")
+    with pytest.raises(Exception, match="column amount: no double: 5,0x"):
+        load_table(spark, str(tmp_path), "transactions", "csv", header="true").collect()
