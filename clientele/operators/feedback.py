@@ -14,6 +14,8 @@ from clientele.functions import as_timestamp, hours_before, literal_map
 from clientele.schemas import HEALTH_DELTAS
 
 LOW, HIGH = 0.0, 100.0
+# Each level makes one step of up to so many; the last fold then has a few steps per customer and partition.
+FOLD_ROWS, FOLD_LEVELS = 10_000, 2
 
 
 def pending_feedback(actions: DataFrame, as_of, hours: int = 24) -> DataFrame:
@@ -25,8 +27,13 @@ def pending_feedback(actions: DataFrame, as_of, hours: int = 24) -> DataFrame:
     )
 
 
-def without_logged(batch: DataFrame, log: DataFrame) -> DataFrame:
-    """The batch without the actions that a feedback log notes as applied."""
+def without_logged(batch: DataFrame, log: DataFrame, as_of=None, hours: int | None = None) -> DataFrame:
+    """The batch without the actions that a feedback log notes as applied.
+
+    ``as_of`` and ``hours`` are those of the batch: only that part of the log is read, as the log notes when an action was executed.
+    """
+    if hours is not None:
+        log = log.filter(F.col("executed_at") >= hours_before(as_of, hours))
     return batch.join(log.select("action_id"), "action_id", "left_anti").select(*batch.columns)
 
 
@@ -55,33 +62,34 @@ def _composed(steps: Column) -> Column:
     )
 
 
-def fold_steps(steps: DataFrame, order: tuple[str, ...], slices: int | None = None) -> DataFrame:
-    """One combined step per customer from ``shift``, ``floor``, ``ceiling`` rows.
+def fold_steps(
+    steps: DataFrame, order: tuple[str, ...], slices: int | None = None, keys: tuple[str, ...] = ("customer_id",)
+) -> DataFrame:
+    """One combined step per key from ``shift``, ``floor``, ``ceiling`` rows.
 
-    Rows are range-partitioned by customer and order, which also splits the rows of
-    one large customer; each slice is folded on its own and at most one step per
-    slice is folded again.
+    Rows are range-partitioned by key and order, which also splits the rows of one large customer, and numbered
+    in that order. Runs of at most FOLD_ROWS numbers are folded, then runs of those, so no array is longer
+    than that, whatever the size of a partition or a customer.
     """
-    ranged = steps.repartitionByRange(*((slices,) if slices else ()), "customer_id", *order)
-    sliced = (
-        ranged.withColumn("slice", F.spark_partition_id())
-        .groupBy("customer_id", "slice")
-        .agg(F.array_sort(F.collect_list(F.struct(*order, "shift", "floor", "ceiling"))).alias("steps"))
-        .select("customer_id", F.struct("slice", _composed(F.col("steps")).alias("step")).alias("part"))
-    )
-    parts = sliced.groupBy("customer_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    whole = _composed(F.transform("parts", lambda p: p["step"]))
-    return parts.select("customer_id", whole.alias("step")).select("customer_id", "step.*")
-
-
-def health_steps(batch: DataFrame, slices: int | None = None) -> DataFrame:
-    """The combined health step of each customer; ties in time are ordered by action id."""
+    ranged = steps.repartitionByRange(*((slices,) if slices else ()), *keys, *order).sortWithinPartitions(*keys, *order)
+    folded = ranged.select(*keys, F.monotonically_increasing_id().alias("place"), "shift", "floor", "ceiling")
+    run = F.array_sort(F.collect_list(F.struct("place", "shift", "floor", "ceiling"))).alias("run")
+    for _ in range(FOLD_LEVELS):
+        grouped = folded.groupBy(*keys, F.expr(f"place DIV {FOLD_ROWS}").alias("next")).agg(run)
+        folded = grouped.select(*keys, F.col("next").alias("place"), _composed(F.col("run")).alias("step"))
+        folded = folded.select(*keys, "place", "step.*")
+    whole = folded.groupBy(*keys).agg(run).select(*keys, _composed(F.col("run")).alias("step"))
+    return whole.select(*keys, "step.*")
+
+
+def health_steps(batch: DataFrame, slices: int | None = None, keys: tuple[str, ...] = ("customer_id",)) -> DataFrame:
+    """The combined health step of each key; ties in time are ordered by action id."""
     delta = health_delta(F.col("outcome"))
     steps = batch.filter((delta != 0) & F.col("customer_id").isNotNull()).select(
-        "customer_id", "executed_at", "action_id",
+        *keys, "executed_at", "action_id",
         delta.alias("shift"), F.lit(LOW).alias("floor"), F.lit(HIGH).alias("ceiling"),
     )
-    return fold_steps(steps, ("executed_at", "action_id"), slices)
+    return fold_steps(steps, ("executed_at", "action_id"), slices, keys)
 
 
 def moved_health(health: Column) -> Column:
@@ -104,13 +112,16 @@ def apply_steps(customers: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def mark_applied(actions: DataFrame, batch: DataFrame, applied_at) -> DataFrame:
-    """The action table with every row of the batch marked, also those that changed nothing."""
+    """The action table with every row of the batch marked, also those that changed nothing.
+
+    Only executed actions without a mark can be in a batch: the others pass by the join.
+    """
+    open_ = (F.col("status") == "executed") & F.col("feedback_applied_at").isNull()
     done = batch.select("action_id").distinct().withColumn("done", F.lit(True))
-    joined = actions.join(done, "action_id", "left")
-    stamp = F.when(F.col("done"), as_timestamp(applied_at)).otherwise(F.col("feedback_applied_at"))
-    return joined.select(
-        *[stamp.alias(n) if n == "feedback_applied_at" else F.col(n) for n in actions.columns]
-    )
+    joined = actions.filter(open_).join(done, "action_id", "left")
+    stamp = F.when(F.col("done"), as_timestamp(applied_at)).cast(actions.schema["feedback_applied_at"].dataType)
+    marked = joined.select(*[stamp.alias(n) if n == "feedback_applied_at" else F.col(n) for n in actions.columns])
+    return actions.filter(~F.coalesce(open_, F.lit(False))).unionByName(marked)
 
 
 def feedback_summary(batch: DataFrame) -> DataFrame:

@@ -36,17 +36,19 @@ def one_per_action(outcomes: DataFrame) -> DataFrame:
 def apply_outcomes(actions: DataFrame, outcomes: DataFrame, executed_at) -> DataFrame:
     """The action table after pending actions received their outcomes.
 
-    Actions that are not pending, and outcomes of unknown actions, change nothing.
+    Actions that are not pending, and outcomes of unknown actions, change nothing: the history passes by the join.
     """
     new = one_per_action(outcomes).select("action_id", F.col("outcome").alias("new_outcome"), F.lit(True).alias("has_outcome"))
-    joined = actions.join(new, "action_id", "left")
-    hit = F.col("has_outcome") & (F.col("status") == "pending")
+    pending = F.col("status").eqNullSafe("pending")
+    joined = actions.filter(pending).join(new, "action_id", "left")
+    hit = F.coalesce("has_outcome", F.lit(False))
     changed = {
         "status": F.when(hit, "executed").otherwise(F.col("status")),
         "outcome": F.when(hit, F.col("new_outcome")).otherwise(F.col("outcome")),
         "executed_at": F.when(hit, as_timestamp(executed_at)).otherwise(F.col("executed_at")),
     }
-    return joined.select(*[changed.get(n, F.col(n)).alias(n) for n in actions.columns])
+    done = joined.select(*[changed.get(n, F.col(n)).alias(n) for n in actions.columns])
+    return actions.filter(~pending).unionByName(done)
 
 
 def execution_batch(

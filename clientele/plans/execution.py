@@ -55,7 +55,7 @@ def run_feedback(
     """
     recent = pending_feedback(actions, as_of, hours)
     batch = sinks.write_once(
-        without_logged(recent, sinks.read_feedback_log(spark, log_path)), f"{staging}/batch"
+        without_logged(recent, sinks.read_feedback_log(spark, log_path), as_of, hours), f"{staging}/batch"
     )
     people = sinks.write_once(apply_health(customers, batch), f"{staging}/customers")
     sinks.append_feedback_log(spark, batch, as_of, log_path)

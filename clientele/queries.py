@@ -971,13 +971,13 @@ def model_predictions(spark, sf_dir):
 
 @query
 def streamed_health(spark, sf_dir):
-    """The month's outcomes arrive in three parts, the last one with copies of the first."""
+    """The month's outcomes arrive in three parts, the latest days first, the last part with copies of the first."""
     source, state = scratch_path(spark, "outcomes"), scratch_path(spark, "health")
     executed = _actions(spark, sf_dir).filter("status = 'executed' AND feedback_applied_at IS NULL").select(
         "action_id", "customer_id", "outcome", "executed_at"
     )
     day = F.dayofmonth("executed_at")
-    arrivals = [day <= 10, (day > 10) & (day <= 20), (day > 20) | (day <= 3)]
+    arrivals = [day > 20, (day > 10) & (day <= 20), (day <= 10) | (day > 27)]
     for arrival in arrivals:
         executed.filter(arrival).write.mode("append").parquet(source)
         stream = spark.readStream.schema(executed.schema).parquet(source)
@@ -991,7 +991,9 @@ def streamed_health(spark, sf_dir):
 def streamed_event_counts(spark, sf_dir):
     source, state = scratch_path(spark, "events"), scratch_path(spark, "daily")
     events = crm_table(spark, sf_dir, "engagement_events").select("event_id", "customer_id", "event_date")
-    events.write.parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    start_engagement(stream, state).awaitTermination()
+    # A third of the events is delivered a second time.
+    for part in (events, events.filter(_key("event_id") % 3 == 0)):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        start_engagement(stream, state).awaitTermination()
     return rolling_counts(daily_counts(spark, state), AS_OF)

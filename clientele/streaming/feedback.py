@@ -1,4 +1,9 @@
-"""Outcome events update health once per action, however often they arrive."""
+"""Outcome events update health once per action, in event order, however often and however late they arrive.
+
+Below ``state`` lie the events by micro-batch and day, and the combined health step of every customer and day. A
+micro-batch folds the days it touches anew, with all their events, and the newest fold of a day counts. So a late
+outcome finds its place before those of later days, and a batch reads the days it touches, not the history.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,30 +15,28 @@ from clientele.operators.feedback import apply_steps, fold_steps, health_steps
 def _first_copy(batch: DataFrame) -> DataFrame:
     """One row per action; copies merge before the shuffle, the earliest stays."""
     event = F.struct("executed_at", "customer_id", "outcome")
-    kept = batch.filter("action_id IS NOT NULL").groupBy("action_id").agg(F.min(event).alias("event"))
+    kept = batch.filter("action_id IS NOT NULL AND executed_at IS NOT NULL").groupBy("action_id").agg(F.min(event).alias("event"))
     return kept.select("action_id", "event.*")
 
 
 def start_feedback(outcomes: DataFrame, state: str) -> StreamingQuery:
     """Fold a stream of (action_id, customer_id, outcome, executed_at) until it has no more input.
 
-    Each micro-batch owns one folder per table below ``state``: its new events, and
-    one small health step per customer they touch. A replayed batch overwrites its
-    own folders, so a failure at any point changes nothing twice. The stream's
-    checkpoint lies next to them, as the two are only valid together.
+    Each micro-batch owns one folder per table below ``state``: its events, and one health step per customer for each
+    of their days. A replayed batch overwrites its own folders, so a failure at any point changes nothing
+    twice. Copies of an outcome carry its time, so they meet on its day. The stream's checkpoint lies next to the
+    tables, as they are only valid together.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = _first_copy(batch)
-        if batch_id > 0:
-            earlier = spark.read.parquet(f"{state}/events").filter(F.col("batch_id") < batch_id)
-            # The history is probed with the ids of this batch and is not shuffled itself.
-            seen = earlier.select("action_id").join(fresh.select("action_id"), "action_id", "left_semi")
-            fresh = fresh.join(seen, "action_id", "left_anti")
-        events = f"{state}/events/batch_id={batch_id}"
-        fresh.write.mode("overwrite").parquet(events)
-        steps = health_steps(spark.read.parquet(events))
+        fresh = _first_copy(batch).withColumn("day", F.to_date("executed_at"))
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{state}/events/batch_id={batch_id}")
+        arrived = spark.read.parquet(f"{state}/events").filter(F.col("batch_id") <= batch_id)
+        # The days of one micro-batch: partition names, at most a few.
+        days = [r["day"] for r in arrived.filter(F.col("batch_id") == batch_id).select("day").distinct().collect()]
+        once = _first_copy(arrived.filter(F.col("day").isin(days)))
+        steps = health_steps(once.withColumn("day", F.to_date("executed_at")), keys=("customer_id", "day"))
         steps.write.mode("overwrite").parquet(f"{state}/steps/batch_id={batch_id}")
 
     return (
@@ -44,7 +47,19 @@ def start_feedback(outcomes: DataFrame, state: str) -> StreamingQuery:
     )
 
 
-def current_health(spark: SparkSession, customers: DataFrame, state: str) -> DataFrame:
-    """Customers with every micro-batch so far folded into their health, in batch order."""
+def day_steps(spark: SparkSession, state: str) -> DataFrame:
+    """The newest fold of every day: customer_id, day, shift, floor, ceiling."""
     steps = spark.read.parquet(f"{state}/steps")
-    return apply_steps(customers, fold_steps(steps, ("batch_id",)))
+    newest = steps.groupBy("day").agg(F.max("batch_id").alias("batch_id"))
+    return steps.join(newest, ["day", "batch_id"], "left_semi").drop("batch_id")
+
+
+def compact_steps(spark: SparkSession, state: str, path: str) -> DataFrame:
+    """The newest folds written to ``path`` by day, and read from there."""
+    day_steps(spark, state).write.mode("overwrite").partitionBy("day").parquet(path)
+    return spark.read.parquet(path)
+
+
+def current_health(spark: SparkSession, customers: DataFrame, state: str) -> DataFrame:
+    """Customers with every outcome so far folded into their health, day by day."""
+    return apply_steps(customers, fold_steps(day_steps(spark, state), ("day",)))

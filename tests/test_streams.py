@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from clientele.operators.feedback import apply_health
 from clientele.sources.driver_tables import AS_OF, crm_table
-from clientele.streaming.engagement import daily_counts, rolling_counts, start_engagement
+from clientele.streaming.engagement import compact_daily, daily_counts, rolling_counts, start_engagement
 from clientele.streaming.feedback import current_health, start_feedback
 from tests.conftest import SF_DIR
 
@@ -23,9 +23,10 @@ def test_outcomes_count_once_however_often_they_arrive(spark, tmp_path):
         start_feedback(stream, state).awaitTermination()
 
     early, late = events.filter(F.dayofmonth("executed_at") <= 15), events.filter(F.dayofmonth("executed_at") > 15)
-    early.write.mode("append").parquet(source)
+    # Late days first: their outcomes have to be applied after those that arrive next.
+    late.write.mode("append").parquet(source)
     run()
-    late.unionByName(early).unionByName(late.limit(20)).write.mode("append").parquet(source)
+    early.unionByName(late).unionByName(early.limit(20)).write.mode("append").parquet(source)
     run()
     run()
     expected = health(apply_health(people, events))
@@ -41,7 +42,11 @@ def test_late_events_are_counted(spark, tmp_path):
         events.filter(part).write.mode("append").parquet(source)
         stream = spark.readStream.schema(events.schema).parquet(source)
         start_engagement(stream, state).awaitTermination()
+    events.limit(300).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    start_engagement(stream, state).awaitTermination()
     daily = daily_counts(spark, state)
+    assert compact_daily(spark, state, str(tmp_path / "compact")).count() == daily.count()
     assert daily.agg(F.sum("events")).first()[0] == events.count()
     expected = events.filter("event_date >= '2024-01-11'").groupBy("customer_id").count().collect()
     assert {(r[0], r[1]) for r in rolling_counts(daily, AS_OF).collect()} == {(r[0], r[1]) for r in expected}
