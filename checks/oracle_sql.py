@@ -443,7 +443,7 @@ _TEXTS = {
     "send_retention_email": (
         "first_name || ', ' || stay || '% off if you stay with us'",
         ["'Hello ' || first_name || ','", "'your ' || plan || ' plan can do more for you than it did lately.'",
-         "'Take ' || stay || '% off the next three months with SAVE' || stay || '-' || tail || '.'",
+         "'Take ' || stay || '% off the next three months with SAVE' || stay || '-' || tail || ' within 7 days.'",
          "'Tell us what we should do better: a person answers every reply.'"],
         "email", "'Take ' || stay || '% off'", "stay"),
     "send_reengagement_email": (
@@ -459,7 +459,7 @@ _TEXTS = {
     "send_loyalty_reward": (
         f"{_YEARS} || ' years together, ' || first_name || ': thank you'",
         ["'Hello ' || first_name || ','", f"'you have been with us for ' || {_YEARS} || ' years.'",
-         "'Your renewal is 10% cheaper with SAVE10-' || tail || ', and support puts you first.'"],
+         "'Your renewal is 10% cheaper with SAVE10-' || tail || ', and support puts you first for 3 months.'"],
         "email", "'Use the reward'", "10"),
     "send_health_checkin": (
         "'Does ' || plan || ' work for you?'",
@@ -469,7 +469,7 @@ _TEXTS = {
     "escalate_to_csm": (
         f"'[URGENT] ' || customer_id || ' may leave: churn ' || {pct('churn_score')}",
         ["who", f"'Pays $' || {whole('mrr')} || ' a month, lifetime value $' || format('{{:,}}', CAST(round_even(ltv_estimate, 0) AS BIGINT))",
-         "'Call within a day, go through the tickets, offer a review; note the result within two days.'"],
+         "'Call within a day, go through the tickets, offer a review, and up to 30% off if nothing else helps; note the result within two days.'"],
         "slack_csm", "'Note the result'", "0"),
     "proactive_support_call": (
         f"'[' || CASE WHEN {_URGENT} THEN 'URGENT' ELSE 'SCHEDULED' END || '] Call ' || customer_id",
@@ -480,7 +480,7 @@ _TEXTS = {
     "enroll_nurture_sequence": (
         "'Start the nurture sequence for ' || customer_id",
         ["who", f"'Conversion ' || {pct('conversion_score')}",
-         "'Five mails over three weeks: start, use cases, a story, an offer, a personal note'"],
+         "'Five mails: day 1 a start, day 3 use cases, day 7 a story, day 14 an offer of 15% off, day 21 a personal note'"],
         "internal_task", "'Start'", "0"),
 }
 
@@ -490,7 +490,7 @@ def _by_action(part) -> str:
 
 
 MESSAGE = f"""
-{_by_action(lambda t: t[0])} ELSE 'Action: ' || action_type || ' for ' || customer_id END AS subject,
+{_by_action(lambda t: t[0])} ELSE 'To do for ' || customer_id || ': ' || action_type END AS subject,
 {_by_action(lambda t: ' || chr(10) || '.join(f'({line})' for line in t[1]))} ELSE 'To review: ' || reason END AS body,
 {_by_action(lambda t: f"'{t[2]}'")} ELSE 'internal_task' END AS channel,
 {_by_action(lambda t: t[3])} ELSE 'Review' END AS cta,
@@ -652,17 +652,29 @@ FROM ml_predictions p JOIN customers c USING (customer_id) JOIN conversion v USI
 twin("inference_summary", "ml_predictions conversion", f"""
 SELECT count(*) AS customers_scored, {rnd('avg(churn_score)', 3)} AS avg_churn_score,
   count(*) FILTER (WHERE churn_score > 0.6::DOUBLE) AS high_risk, {rnd('sum(ltv_estimate)', 2)} AS total_ltv,
-  (SELECT count(*) FROM conversion WHERE conversion_tier = 'Hot') AS hot_conversions
+  (SELECT count(*) FROM conversion WHERE conversion_tier = 'Hot') AS hot_conversions,
+  count(*) FILTER (WHERE segment = 'Champion') AS in_champion, count(*) FILTER (WHERE segment = 'Loyal') AS in_loyal,
+  count(*) FILTER (WHERE segment = 'At-Risk') AS in_at_risk, count(*) FILTER (WHERE segment = 'Prospect') AS in_prospect,
+  count(*) FILTER (WHERE segment = 'Lost') AS in_lost, count(*) FILTER (WHERE segment = 'Unknown') AS in_unknown
 FROM ml_predictions""")
 stage("judged", "customers ml_predictions", """
 SELECT is_churned AS label, CASE WHEN churn_score >= 0.5::DOUBLE THEN 1 ELSE 0 END AS predicted
 FROM customers JOIN ml_predictions USING (customer_id)""")
-twin("classification_report", "judged", f"""
+stage("class_report", "judged", f"""
 SELECT class, {rnd('hit::DOUBLE / greatest(called, 1)::DOUBLE', 6)} AS precision, {rnd('hit::DOUBLE / greatest(support, 1)::DOUBLE', 6)} AS recall,
   {rnd('CASE WHEN hit > 0 THEN 2::DOUBLE * hit::DOUBLE / (called + support)::DOUBLE ELSE 0::DOUBLE END', 6)} AS f1, support
 FROM (SELECT class, count(*) FILTER (WHERE label = class AND predicted = class) AS hit,
     count(*) FILTER (WHERE predicted = class) AS called, count(*) FILTER (WHERE label = class) AS support
   FROM judged CROSS JOIN (SELECT unnest([0, 1]) AS class) GROUP BY class)""")
+twin("classification_report", "class_report", "SELECT * FROM class_report")
+_AVERAGES = {
+    "accuracy": ["sum(recall * support) / sum(support)"] * 3,
+    "macro": [f"avg({m})" for m in ("precision", "recall", "f1")],
+    "weighted": [f"sum({m} * support) / sum(support)" for m in ("precision", "recall", "f1")],
+}
+twin("classification_averages", "class_report", " UNION ALL ".join(
+    f"SELECT '{kind}' AS average, " + ", ".join(f"{rnd(x, 6)} AS {m}" for m, x in zip(("precision", "recall", "f1"), of))
+    + " FROM class_report" for kind, of in _AVERAGES.items()))
 twin("confusion_matrix", "judged", "SELECT label, predicted, count(*) AS customers FROM judged GROUP BY label, predicted")
 
 twin("enriched_customers", "features ml_predictions", f"""
@@ -695,13 +707,28 @@ _PLANS = (
 twin("passthrough_plans", "passthrough", f"{_PLANS} FROM passthrough")
 twin("review_candidates", "reviewed", "SELECT customer_id, n_candidates, conflict, churn_score, ltv_estimate FROM reviewed")
 _LINES = "string_agg('* ' || rule_id || ' proposes ' || action_type || ' at priority ' || priority || ': ' || reason, chr(10) ORDER BY rule_order)"
+_ASK = """Choose one of:
+- escalate_to_csm: a success manager takes over
+- send_retention_email: a personal offer to stay
+- send_reengagement_email: wake up a silent account
+- send_upgrade_offer: sell the next plan
+- enroll_nurture_sequence: a series of mails for prospects
+- proactive_support_call: plan a call by support
+- send_loyalty_reward: thank a loyal customer of high value
+- send_health_checkin: ask without pressure how it goes
+- no_action: all is well, leave the customer alone
+If proposals conflict, take the one with the highest impact.
+A high lifetime value at risk raises the priority.
+Do not escalate free customers of low revenue: write to them.
+Within the first 30 days rather nurture than retain.
+Answer as one JSON object and nothing else: action_type, reason, priority (1 to 5), confidence (0 to 1), notes."""
 twin("decision_prompts", "reviewed candidates enriched", f"""
 SELECT customer_id, 'Customer ' || customer_id || chr(10) || 'Plan ' || plan || ', $' || {fixed('mrr', 2)} || ' a month, ' || tenure_days || ' days with us'
   || chr(10) || 'Segment ' || segment || ', health ' || {whole('health_score')} || ' of 100, NPS ' || nps_score
   || chr(10) || 'Churn ' || {fixed('churn_score', 3)} || ', conversion ' || {fixed('conversion_score', 3)} || ', lifetime value $' || {whole('ltv_estimate')}
   || chr(10) || 'Events in 30 days ' || event_count_30d || ', open tickets ' || open_tickets || ', sentiment ' || {fixed('avg_sentiment', 2)}
   || ', last event ' || days_since_last_event || ' days ago' || chr(10) || 'Proposals:' || chr(10) || lines || chr(10)
-  || 'Choose one of: {", ".join(COOLDOWN)}. Answer as one JSON object with action_type, reason, priority (1 to 5), confidence (0 to 1), notes.' AS prompt
+  || '{_ASK}' AS prompt
 FROM enriched JOIN (SELECT customer_id, {_LINES} AS lines FROM candidates GROUP BY customer_id) USING (customer_id)
 WHERE customer_id IN (SELECT customer_id FROM reviewed)""")
 twin("parsed_decisions", "parsed", """

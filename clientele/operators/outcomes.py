@@ -131,4 +131,5 @@ def execution_report(executed: DataFrame) -> DataFrame:
     named = rolled.filter("total > 0").withColumn(
         "action_type", F.when(F.col("is_total") == 1, "ALL").otherwise(F.col("action_type"))
     )
-    return named.withColumns(shares).drop("is_total")
+    # One row per kind of action: those with the most successes first, the total last.
+    return named.withColumns(shares).orderBy("is_total", F.col("success").desc(), "action_type").drop("is_total")

@@ -125,12 +125,16 @@ def assemble_predictions(
 
 
 def inference_summary(predictions: DataFrame, conversion: DataFrame) -> DataFrame:
-    """Volumes of one scoring run; high risk here means strictly above 0.6."""
+    """Volumes of one scoring run, also by segment; high risk here means strictly above 0.6."""
     scored = predictions.agg(
         F.count(F.lit(1)).alias("customers_scored"),
         half_even(F.avg("churn_score"), 3).alias("avg_churn_score"),
         F.count(F.when(F.col("churn_score") > 0.6, 1)).alias("high_risk"),
         half_even(F.sum("ltv_estimate"), 2).alias("total_ltv"),
+        *[
+            F.count(F.when(F.col("segment") == name, 1)).alias(f"in_{name.lower().replace('-', '_')}")
+            for name in (*SEGMENTS, "Unknown")
+        ],
     )
     hot = conversion.agg(F.count(F.when(F.col("conversion_tier") == "Hot", 1)).alias("hot_conversions"))
     return one_row(scored, hot)
@@ -152,6 +156,18 @@ def confusion_counts(scored: DataFrame, label: str, score: str, threshold: float
     ).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("customers"))
 
 
+def classification_averages(report: DataFrame) -> DataFrame:
+    """Accuracy, and the plain and the support-weighted mean of the classes of a :func:`classification_report`."""
+    total = F.sum("support")
+    means = {"macro": lambda name: F.avg(name), "weighted": lambda name: F.sum(F.col(name) * F.col("support")) / total}
+    figures = ("precision", "recall", "f1")
+    sums = report.agg(*[half_even(mean(name), 6).alias(f"{kind}_{name}") for kind, mean in means.items() for name in figures])
+    # The support-weighted recall is the share of right answers.
+    rows = [F.struct(F.lit("accuracy").alias("average"), *[F.col("weighted_recall").alias(name) for name in figures])]
+    rows += [F.struct(F.lit(kind).alias("average"), *[F.col(f"{kind}_{name}").alias(name) for name in figures]) for kind in means]
+    return sums.select(F.inline(F.array(*rows)))
+
+
 def classification_report(scored: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """Precision, recall, F1 and support of each class at a threshold, from one pass."""
     counts = confusion_counts(scored, label, score, threshold)

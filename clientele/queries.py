@@ -421,6 +421,12 @@ def classification_report(spark, sf_dir):
     return sco.classification_report(scored, "is_churned", "churn_score")
 
 
+@query
+def classification_averages(spark, sf_dir):
+    scored = _people(spark, sf_dir).join(_scores(spark, sf_dir), "customer_id")
+    return sco.classification_averages(sco.classification_report(scored, "is_churned", "churn_score"))
+
+
 @query
 def confusion_matrix(spark, sf_dir):
     scored = _people(spark, sf_dir).join(_scores(spark, sf_dir), "customer_id")
