@@ -61,8 +61,36 @@ def _doc_runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[starts], np.diff(np.append(starts, len(doc)))
 
 
+def _packed(keys: np.ndarray, values: np.ndarray, parts: int) -> pd.DataFrame:
+    """Values with the documents' keys as a few rows, one for each part of the keys."""
+    order = np.lexsort((values, keys, keys.view(np.uint64) % np.uint64(parts)))
+    keys, values = keys[order], values[order]
+    rows = []
+    for part, places in _by_bucket((keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)):
+        own, runs = _doc_runs(keys[places])
+        rows.append((part, own.tobytes(), pack(runs.astype(np.uint32)), pack(values[places])))
+    return pd.DataFrame(rows, columns=["part", "keys", "runs", "found"])
+
+
+PACKED = "part int, keys binary, runs binary, found binary"
+
+
+def _by_document(packed: DataFrame, kind) -> DataFrame:
+    """(key, found) with one row per document: its values, which are no more than its words."""
+
+    def gathered(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.repeat(np.frombuffer(k, np.int64), unpack(r, np.uint32)) for k, r in zip(frame["keys"], frame["runs"])])
+        values = np.concatenate([unpack(f, kind) for f in frame["found"]])
+        order = np.argsort(keys, kind="stable")
+        own, runs = _doc_runs(keys[order])
+        parts = np.split(values[order], np.cumsum(runs)[:-1]) if len(own) else []
+        return pd.DataFrame({"key": own, "found": pd.Series([p.tobytes() for p in parts], dtype=object)})
+
+    return packed.filter("part >= 0").groupBy("part").applyInPandas(gathered, "key bigint, found binary")
+
+
 def _repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """(key, anchors: array of hashes) of the documents that have repeated anchors, and one row (null, heavy prefixes)."""
+    """The repeated anchors by document, packed; in part -1 the heavy prefixes."""
 
     def sent(batches):
         hashes, held, size = WordHashes(), [], 0
@@ -112,21 +140,17 @@ def _repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
         total = np.bincount(places, weights=counts[asked], minlength=len(distinct))
         repeated = np.concatenate([np.flatnonzero(answered), asked[total[places] >= 2]])
         heavy = distinct[total >= GROUP_ENTRIES]
-        order = repeated[np.argsort(keys[repeated], kind="stable")]
-        own, runs = _doc_runs(keys[order])
-        parts = np.split(anchors[order], np.cumsum(runs)[:-1]) if len(own) else []
-        rows = [(int(k), p.tobytes()) for k, p in zip(own, parts)]
+        found = _packed(keys[repeated], anchors[repeated], buckets)
         if len(heavy):
-            rows.append((None, heavy.tobytes()))
-        return pd.DataFrame({"key": pd.array([r[0] for r in rows], dtype="Int64"), "anchors": [r[1] for r in rows]})
+            found.loc[len(found)] = (-1, b"", b"", pack(heavy))
+        return found
 
     pieces = texts.mapInArrow(sent, "bucket int, anchors binary, keys binary, runs binary, counts binary")
-    found = kept(pieces.groupBy("bucket").applyInPandas(counted, "key bigint, anchors binary"), "anchors")
-    return found
+    return kept(pieces.groupBy("bucket").applyInPandas(counted, PACKED), "anchors")
 
 
 def _repeat_starts(candidates: DataFrame, buckets: int, heavy: np.ndarray) -> DataFrame:
-    """From (key, doc_id, text, anchors) to (key, starts): packed distances of the places where a repeat starts."""
+    """From (key, doc_id, text, anchors) to the places where a repeat starts, by document, packed."""
 
     def sent(batches):
         hashes, held, docs, size = WordHashes(), [], [], 0
@@ -174,8 +198,7 @@ def _repeat_starts(candidates: DataFrame, buckets: int, heavy: np.ndarray) -> Da
             columns = (batch.column(name).to_pylist() for name in ("doc_id", "key", "text", "anchors"))
             for doc_id, key, text, anchors in zip(*columns):
                 words = hashes.of((text or b"").split())
-                repeated = np.concatenate([np.frombuffer(a, np.uint64) for a in anchors])
-                places = np.flatnonzero(np.isin(window_anchors(words), repeated))
+                places = np.flatnonzero(np.isin(window_anchors(words), np.frombuffer(anchors, np.uint64)))
                 held.append((gram_hashes(words, WINDOW)[places], gram_hashes(words, PREFIX)[places], places))
                 docs.append((NO_ID if doc_id is None else doc_id, key))
                 size += len(places)
@@ -205,14 +228,10 @@ def _repeat_starts(candidates: DataFrame, buckets: int, heavy: np.ndarray) -> Da
         # A repeated row is the same document and place, not a later one.
         later = order[(ids[head] != ids[order]) | (keys[head] != keys[order]) | (places[head] != places[order])]
         found = np.concatenate([np.flatnonzero(known), later])
-        found = found[np.lexsort((places[found], keys[found]))]
-        own, runs = _doc_runs(keys[found])
-        parts = np.split(places[found], np.cumsum(runs)[:-1]) if len(own) else []
-        starts = [pack(np.diff(np.unique(p), prepend=0).astype(np.uint32)) for p in parts]
-        return pd.DataFrame({"key": own, "starts": pd.Series(starts, dtype=object)})
+        return _packed(keys[found], places[found].astype(np.uint32), buckets)
 
     pieces = candidates.mapInArrow(sent, "bucket int, known boolean, paths binary, ids binary, keys binary, runs binary, places binary")
-    return pieces.groupBy("bucket").applyInPandas(grown, "key bigint, starts binary")
+    return pieces.groupBy("bucket").applyInPandas(grown, PACKED)
 
 
 def covered_words(starts: np.ndarray, count: int) -> np.ndarray:
@@ -235,13 +254,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     buckets = int(max(1, -(-size // (20 * GROUP_ENTRIES))))
     found = _repeated_anchors(keyed.select("key", "text"), buckets)
     # At most one heavy prefix for GROUP_ENTRIES anchors.
-    heavy = [np.frombuffer(r.anchors, np.uint64) for r in found.filter("key IS NULL").collect()]
+    heavy = [unpack(r.found, np.uint64) for r in found.filter("part < 0").select("found").collect()]
     heavy = np.sort(np.concatenate(heavy)) if heavy else np.empty(0, dtype=np.uint64)
-    # A document's own anchors: no longer than its text.
-    by_doc = found.filter("key IS NOT NULL").groupBy("key").agg(F.collect_list("anchors").alias("anchors")).withColumnRenamed("key", "_key")
+    by_doc = _by_document(found, np.uint64).withColumnsRenamed({"key": "_key", "found": "anchors"})
     candidates = keyed.join(by_doc, F.col("key") == F.col("_key")).drop("_key")
     starts = kept(_repeat_starts(candidates, buckets, heavy), "starts")
-    by_doc = starts.groupBy("key").agg(F.collect_list("starts").alias("starts")).withColumnRenamed("key", "_key")
+    by_doc = _by_document(starts, np.uint32).withColumnsRenamed({"key": "_key", "found": "starts"})
 
     def cut(batches):
         for batch in batches:
@@ -249,7 +267,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for doc_id, text, starts in zip(*(batch.column(name).to_pylist() for name in ("doc_id", "text", "starts"))):
                 words = (text or b"").split()
                 if starts:
-                    places = np.unique(np.concatenate([np.cumsum(unpack(s, np.uint32), dtype=np.int64) for s in starts]))
+                    places = np.unique(np.frombuffer(starts, np.uint32)).astype(np.int64)
                     gone = covered_words(places, len(words))
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
                     left = [w for w, g in zip(words, gone.tolist()) if not g]
