@@ -97,7 +97,8 @@ def _windows(keyed: DataFrame, items: DataFrame) -> DataFrame:
             "anchors",
         )
         shingled = with_shingles(keyed.select("key", normal_words(F.col("text")).alias("_words")), step)
-        placed = shingled.select("key", F.size("_words").alias("n"), F.posexplode("_shingles").alias("place", "h"))
+        # The outer form: a plain one adds a filter on the array's size, which would compute the array many times over.
+        placed = shingled.select("key", F.size("_words").alias("n"), F.posexplode_outer("_shingles").alias("place", "h"))
         size = F.least("item_size", "n")
         # Of an item only the first place of a shingle is needed: where the item stands, it is met there.
         start = F.least(F.greatest(F.col("place") + 2 - F.col("at"), F.lit(1)), F.col("n") - size + 1)
