@@ -1,6 +1,7 @@
 """Connected components of a graph given as links between 64-bit nodes."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[moved]], nodes[moved]
 
 
+# Up to so many links (16 bytes each) are joined in one task; more by rounds over all of them. The result is the same.
+ONE_TASK_LINKS = 1_000_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: bigint) that is not itself the smallest of its component, the root.
 
@@ -35,6 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = kept(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     state = _state(links)
+    if state[0] <= ONE_TASK_LINKS:
+        return kept(links.coalesce(1).mapInPandas(_joined, "node bigint, root bigint"), "roots")
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -50,6 +57,13 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _joined(frames):
+    parts = [(f["a"].to_numpy(), f["b"].to_numpy()) for f in frames]
+    if parts:
+        root, node = forest(*(np.concatenate(side) for side in zip(*parts)))
+        yield pd.DataFrame({"node": node, "root": root})
+
+
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first()
     return tuple(row)

@@ -107,7 +107,10 @@ def _windows(keyed: DataFrame, items: DataFrame) -> DataFrame:
     # A document has at most one window for each of its words and each item length.
     by_doc = every.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "length", "item_size", "step")).alias("windows"))
     by_doc = kept(by_doc.withColumnRenamed("key", "_key"), "windows")
-    found = keyed.join(_sent(by_doc), F.col("key") == F.col("_key")).select("key", "text", "windows").dropDuplicates(["key"])
+    # A row here is as long as its windows are many: those are counted.
+    windows = by_doc.agg(F.sum(F.size("windows"))).first()[0] or 0
+    small = F.broadcast(by_doc) if windows <= BROADCAST_ROWS else by_doc
+    found = keyed.join(small, F.col("key") == F.col("_key")).select("key", "text", "windows").dropDuplicates(["key"])
     found = found.select("key", "windows", normal_words(F.col("text")).alias("_words"))
     result = None
     for step in range(1, SHINGLE + 1):

@@ -21,18 +21,30 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash, kept for the words seen most recently; the size is bounded."""
+    """64-bit hashes of words: a word's place in a table of hashes is kept, and all start anew beyond LIMIT words."""
 
     LIMIT = 1_000_000
 
+    def __init__(self):
+        super().__init__()
+        self._table = np.empty(1024, dtype=np.uint64)
+
     def __missing__(self, word: bytes) -> int:
+        place = len(self)
+        if place == len(self._table):
+            self._table = np.concatenate([self._table, np.empty_like(self._table)])
+        self._table[place] = xxhash.xxh64_intdigest(word)
+        self[word] = place
+        return place
+
+    def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+        # Small numbers go through Python faster than the hashes themselves.
+        return self._table_at(np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    def _table_at(self, places: np.ndarray) -> np.ndarray:
+        return self._table[places]
 
 
 _STEP = 0x9E3779B97F4A7C15

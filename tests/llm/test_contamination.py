@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from clientele.llm import contamination
 
 
@@ -51,7 +53,9 @@ def cases():
     return docs, items
 
 
-def test_pairs(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", few)
     docs, items = cases()
     expected = plain_pairs(docs, items)
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")

@@ -87,7 +87,9 @@ def test_nulls_copies_and_clashing_columns(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == [] and simhash.near_dedup(docs.limit(0)).collect() == []
 
 
-def test_components_of_long_chains_and_hubs(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_components_of_long_chains_and_hubs(spark, monkeypatch, most):
+    monkeypatch.setattr("clientele.llm.components.ONE_TASK_LINKS", most)
     chain = [(k, k + 1) for k in range(300)]
     hub = [(1000, 2000 + k) for k in range(500)] + [(999, 2100)]
     random.Random(1).shuffle(chain)
