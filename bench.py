@@ -20,7 +20,8 @@ HEADLINE = (
     "resolved_plans", "plans_after_cooldown", "queued_actions", "decision_cycle_summary",
     "rendered_messages", "execution_batch", "execution_report", "updated_health", "marked_actions",
     "outcomes_applied", "customers_upserted", "constraint_report", "kpi_summary", "segment_metrics",
-    "churn_ranking", "customer_list", "pending_queue", "data_summary",
+    "churn_ranking", "customer_list", "pending_queue", "data_summary", "classification_averages",
+    "python_rule_candidates", "execution_run", "feedback_run_health", "streamed_health", "streamed_event_counts",
 )
 
 
