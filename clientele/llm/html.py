@@ -24,9 +24,11 @@ TEMPLATE_PAGES = 8
 TEMPLATE_SHARE = 0.05
 HELD_COUNTS = 200_000
 
-# Fixed values of HTML: elements without an end tag, elements whose content is no markup, and elements that are blocks.
+# Fixed values of HTML: elements without an end tag, elements whose content is no markup, elements whose content is not shown, and
+# elements that are blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas".split())
+RAW = frozenset("script style textarea title iframe".split())
+EMBEDDED = frozenset("noscript template svg math object canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer"
     " form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select"
@@ -34,6 +36,11 @@ BLOCKS = frozenset(
 )
 SPACES = frozenset("br td th".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption td th tr caption".split())
+# Drawings and formulas have rules of their own: nothing in them is raw, "/>" ends any element, and a tag of HTML ends an unclosed one,
+# except in those of their elements that may hold HTML.
+FOREIGN = frozenset(("svg", "math"))
+HTML_INSIDE = frozenset("foreignobject annotation-xml mi mo mn ms mtext".split())
+HTML_ONLY = BLOCKS | frozenset("b big br code em embed i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 # A start tag of the key ends an open element of these (as far as no block of another kind lies between).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = frozenset(("article", "main"))
@@ -41,7 +48,7 @@ WHOLE = frozenset(("html", "body", "article", "main"))
 # What is no main text, by tag, by role, and by a word of class or id.
 DROPPED_TAGS = frozenset(
     "nav footer aside form head button select option optgroup input label fieldset dialog menu search audio video map".split()
-) | RAW
+) | RAW | EMBEDDED
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation"
@@ -56,6 +63,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)",
     re.S,
 )
+# "/" ends an element unless it belongs to a value without quotes.
+_VALUE_END = re.compile(r"=\s*[^\s\"']*/\Z")
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -73,10 +82,15 @@ class Page:
         self._open: list[int] = [0]
         self._count: Counter = Counter()  # open elements by tag
         self._marks: list[list[str]] = [[]]  # what the open elements hold so far
-        self.first_main: int | None = None
+        self._foreign: list[int] = []  # open drawings and formulas, and as negative numbers their elements that may hold HTML
         self._read(source)
         while len(self._open) > 1:
             self._close()
+        # Elements in an embedded one that has an end are not shown. One without an end hides nothing.
+        self.hidden: list[bool] = [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            self.hidden[k] = self.hidden[self.parent[k]] or self.tag[k] in EMBEDDED and self.dropped[k]
+        self.first_main = next((k for k, tag in enumerate(self.tag) if tag in MAIN and not self.hidden[k]), None)
 
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
@@ -103,8 +117,13 @@ class Page:
             if found[1]:
                 self._end(tag)
                 continue
+            if tag in HTML_ONLY and self._in_foreign():
+                self._close_to(self._foreign[-1])
+            foreign = self._in_foreign()
             self._start(tag, found[3])
-            if tag in RAW:
+            if (foreign or tag in EMBEDDED) and tag not in VOID and found[3].endswith("/") and not _VALUE_END.search(found[3]):
+                self._close(ended=True)
+            elif tag in RAW and not foreign:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = stop.end() if stop else end
                 self._end(tag)
@@ -119,9 +138,9 @@ class Page:
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
-            self._end_open("p", BLOCKS - {"p"})
+            self._end_open("p", (BLOCKS - {"p"}) | EMBEDDED)
         for other in ENDS.get(tag, ()):
-            self._end_open(other, {"ul", "ol", "dl", "table", "select"})
+            self._end_open(other, EMBEDDED | {"ul", "ol", "dl", "table", "select"})
         named = {}
         if "=" in attributes:
             named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
@@ -140,8 +159,6 @@ class Page:
             or tag not in ("html", "body", "main")
             and (named.get("role", "").lower() in DROPPED_ROLES or not DROPPED_WORDS.isdisjoint(words))
         )
-        if self.first_main is None and tag in MAIN:
-            self.first_main = place
         if tag in BLOCKS:
             self.events.append((place, None))
         elif tag in SPACES:
@@ -149,6 +166,10 @@ class Page:
         if tag in VOID:
             self._marks[-1].append(f"<{tag}>")
             return
+        if self._in_foreign() and tag in HTML_INSIDE:
+            self._foreign.append(-place)
+        elif tag in FOREIGN:
+            self._foreign.append(place)
         self._open.append(place)
         self._count[tag] += 1
         self._marks.append([f"<{tag} {named.get('class', '')}>"])
@@ -159,20 +180,34 @@ class Page:
             return None
         for k in reversed(self._open):
             if self.tag[k] == tag:
-                while self._open[-1] != k:
-                    self._close()
-                return self._close()
+                return self._close_to(k)
             if self.tag[k] in border:
                 return None
         return None
 
     def _end(self, tag: str) -> None:
         # An end tag of an inline element does not reach out of its block.
-        self._end_open(tag, () if tag in BLOCKS else BLOCKS)
+        self._end_open(tag, () if tag in BLOCKS or tag in EMBEDDED else BLOCKS)
+
+    def _in_foreign(self) -> bool:
+        return bool(self._foreign) and self._foreign[-1] > 0
+
+    def _close_to(self, place: int) -> None:
+        """Close ``place``, whose end was found, and before it what is open inside."""
+        while self._open[-1] != place:
+            self._close()
+        self._close(ended=True)
 
-    def _close(self) -> None:
+    def _close(self, ended: bool = False) -> None:
         place, marks = self._open.pop(), self._marks.pop()
         self._count[self.tag[place]] -= 1
+        if self._foreign and abs(self._foreign[-1]) == place:
+            self._foreign.pop()
+        if self.tag[place] in EMBEDDED:
+            if ended:
+                del marks[1:]  # what is not shown makes no difference to a template
+            else:
+                self.dropped[place] = False
         self.hash[place] = xxhash.xxh64_intdigest("\x00".join(marks).encode("utf-8", "surrogatepass")) >> 1
         self._marks[-1].append(f"{self.hash[place]:x}")
         if self.tag[place] in BLOCKS:
@@ -182,7 +217,7 @@ class Page:
         """Per element: whether it lies in (or is) a main element, and whether it is or holds the first one, or is the page."""
         inside, holds = [False] * len(self.tag), [tag in WHOLE for tag in self.tag]
         for k in range(1, len(self.tag)):
-            inside[k] = inside[self.parent[k]] or self.tag[k] in MAIN
+            inside[k] = inside[self.parent[k]] or self.tag[k] in MAIN and not self.hidden[k]
         up = self.first_main or 0
         while up > 0:
             holds[up] = True
@@ -194,7 +229,7 @@ class Page:
         inside, holds = self._placed()
         return {
             self.hash[k] for k in range(1, len(self.tag))
-            if self.hash[k] is not None and self.tag[k] in BLOCKS and not holds[k]
+            if self.hash[k] is not None and self.tag[k] in BLOCKS and not holds[k] and not self.hidden[k]
             and not (inside[k] and self.tag[k] in TEXT_BLOCKS)
         }
 
@@ -214,7 +249,7 @@ class Page:
         blocks, piece = [], []
         for k, text in self.events:
             if text is None:
-                if piece:
+                if piece and not self.hidden[k]:
                     blocks.append("".join(piece))
                     piece = []
             elif not gone[k] and (inside[k] or not has_main):

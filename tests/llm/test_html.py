@@ -39,6 +39,28 @@ def test_pages(source, expected):
     assert text(source) == expected
 
 
+@pytest.mark.parametrize(
+    "source, expected",
+    [
+        ("<article><p>a</p><svg class='icon'/><p>b</p></article><p>c</p>", "a\nb"),
+        ("<article><p>a <math display=\"block\" /> b</p><p>c</p></article>", "a b\nc"),
+        ("<article><p>a</p><object data='x'><p>b</p></article><footer>f</footer>", "a\nb"),
+        ("<object data='x'><article><p>a</p></article>", "a"),
+        ("<article><div><canvas></div><p>a</p><noscript><p>b</article>", "a\nb"),
+        ("<article><p>a<svg><title>t<p>b</p><svg><g><text>t</text><p>c</article>", "a\nb\nc"),
+        ("<article><svg><style/><title/><path d=''/></svg><p>a</p></article>", "a"),
+        ("<article><svg><title>t</svg><p>a</p><svg><foreignObject><p>no</p></foreignObject></svg>b</article>", "a\nb"),
+        ("<p>a <object><div>no</div><p>no</object> b</p>", "a b"),
+        ("<template><article>no</article></template><noscript><main>no</main></noscript><article>a</article>", "a"),
+        ("<object data=a/>no</object><p>a<canvas/>b", "ab"),
+        ("<math><mi>no</mi></math>a<script>'<svg>'</script>b<iframe><p>no</iframe>c", "abc"),
+        ("<svg><foreignObject>" + "<div>" * 30_000 + "</svg>a", "a"),
+    ],
+)
+def test_embedded_elements_hide_no_text_behind_them(source, expected):
+    assert text(source) == expected
+
+
 def test_templates_go_but_not_from_articles(spark):
     box = "<div><div>Read our other pages</div><p>Join us today</p></div>"
     rows = [(k, f"http://User@Site.example:80/{k}", f"<body>{box}<p>own {k}</p></body>") for k in range(20)]
