@@ -1,7 +1,8 @@
 """Main text of pages, with site templates removed.
 
 Every element's subtree (tags, classes, text) is hashed. Spark counts, per host, on how many pages a
-subtree stands; those on many pages of a host are its templates, and are deleted from its pages. Elements that are
+subtree stands; those on ``TEMPLATE_PAGES`` pages of a host are its templates, however many pages it has, and are deleted
+from its pages. Elements that are
 menus, headers, footers, sidebars, notices, adverts, forms or comments by tag, role or class go on any page,
 as a site of few pages repeats nothing. If a page has an article (or a main element) only that is
 read. Text blocks inside an article are never templates: sites also repeat articles.
@@ -11,6 +12,7 @@ import html as entities
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,11 +20,11 @@ from pyspark.sql import functions as F
 
 from clientele.llm.frames import kept
 
-# A template stands on at least so many pages, and on this share of the pages of its host. By the share, a host has
-# at most (subtrees of a page / TEMPLATE_SHARE) templates, however many pages it has.
+# A template stands on at least so many pages of its host.
 TEMPLATE_PAGES = 8
-TEMPLATE_SHARE = 0.05
 HELD_COUNTS = 200_000
+# So many templates (8 bytes each) may be sent to all tasks; more are joined to the pages' own subtrees by a shuffle.
+BROADCAST_KEYS = 500_000
 
 # Fixed values of HTML: elements without an end tag, elements whose content is no markup, elements whose content is not shown, and
 # elements that are blocks.
@@ -264,41 +266,53 @@ def host_of(url: str | None) -> str | None:
     return found[1].lower() or None if found else None
 
 
+def site_key(host: str, subtree: int) -> int:
+    """One number for a subtree of a host."""
+    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), subtree) >> 1
+
+
 def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, templates: array of hashes), one row per host that has any."""
+    """(subtree), the ``site_key`` of every subtree that is a template of its host."""
 
     def counted(batches):
         counts: Counter = Counter()
 
         def sent():
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([counts[k] for k in keys], pa.int64())],
-                names=["host", "subtree", "n"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["subtree", "n"])
 
         for batch in batches:
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 host = host_of(url)
                 if host is None:
                     continue
-                counts[host, None] += 1
                 for subtree in Page(source or "").candidates():
-                    counts[host, subtree] += 1
+                    counts[site_key(host, subtree)] += 1
                 if len(counts) > HELD_COUNTS:
                     yield sent()
                     counts.clear()
         if counts:
             yield sent()
 
-    rows = pages.select("url", "html").mapInArrow(counted, "host string, subtree bigint, n bigint")
-    counts = kept(
-        rows.groupBy("host", "subtree").agg(F.sum("n").alias("n")).filter(F.col("subtree").isNull() | (F.col("n") >= TEMPLATE_PAGES)),
-        "subtrees",
-    )
-    sizes = counts.filter("subtree IS NULL").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
-    many = counts.filter("subtree IS NOT NULL").join(sizes, F.col("host") == F.col("_host"))
-    return many.filter(F.col("n") >= F.col("pages") * TEMPLATE_SHARE).groupBy("host").agg(F.collect_set("subtree").alias("templates"))
+    rows = pages.select("url", "html").mapInArrow(counted, "subtree bigint, n bigint")
+    return rows.groupBy("subtree").agg(F.sum("n").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES).select("subtree")
+
+
+def _page_templates(keyed: DataFrame, templates: DataFrame) -> DataFrame:
+    """(_key, templates): the templates on each page that has any, from (key, url, html)."""
+
+    def own(batches):
+        for batch in batches:
+            keys, subtrees = [], []
+            for key, url, source in zip(*(batch.column(name).to_pylist() for name in ("key", "url", "html"))):
+                host = host_of(url)
+                found = [] if host is None else [site_key(host, subtree) for subtree in Page(source or "").candidates()]
+                keys += [key] * len(found)
+                subtrees += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subtrees, pa.int64())], names=["_key", "subtree"])
+
+    rows = keyed.select("key", "url", "html").mapInArrow(own, "_key bigint, subtree bigint")
+    # A page has no more of them than subtrees.
+    return rows.join(templates, "subtree", "left_semi").groupBy("_key").agg(F.collect_set("subtree").alias("templates"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -307,23 +321,32 @@ def main_texts(pages: DataFrame) -> DataFrame:
     A null html is empty, an empty page has an empty text; a page without a host loses no templates; repeated rows
     come back as often as they are there and each count as a page; an empty table gives an empty result.
     """
-    # Stored, so that its size is known: few hosts are sent to all tasks, many are joined by a shuffle with skew handling.
-    templates = kept(site_templates(pages), "templates").withColumnRenamed("host", "_host")
-    # The host of the join is cut out by the same rule as in Python.
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(templates, F.col("host") == F.col("_host"), "left")
+    templates = kept(site_templates(pages), "templates")
+    few = templates.count() <= BROADCAST_KEYS
+    known = np.sort(np.array([r.subtree for r in templates.collect()], dtype=np.int64)) if few else None
+    rows = pages.select("page_id", "url", "html")
+    if not few:
+        # Equal pages have equal templates, so they may share a key.
+        keyed = rows.withColumn("key", F.xxhash64("url", "html"))
+        rows = keyed.join(_page_templates(keyed, templates), F.col("key") == F.col("_key"), "left").select("page_id", "url", "html", "templates")
 
     def extracted(batches):
         for batch in batches:
-            texts = [
-                Page(source or "").text(set(known or ()))
-                for source, known in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist())
-            ]
+            texts = []
+            own = batch.column("templates").to_pylist() if not few else [None] * batch.num_rows
+            for url, source, listed in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), own):
+                page, host = Page(source or ""), host_of(url)
+                subtrees = [] if host is None else list(page.candidates())
+                keys = np.array([site_key(host, subtree) for subtree in subtrees], dtype=np.int64)
+                if few:
+                    place = np.searchsorted(known, keys)
+                    hit = known[np.minimum(place, len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+                else:
+                    hit = np.isin(keys, np.array(listed or [], dtype=np.int64))
+                texts.append(page.text({subtrees[k] for k in np.flatnonzero(hit)}))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.select("page_id", "url", "html", "templates").mapInArrow(
-        extracted, "page_id bigint, url string, text string, n_chars bigint"
-    )
+    return rows.mapInArrow(extracted, "page_id bigint, url string, text string, n_chars bigint")

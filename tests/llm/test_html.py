@@ -75,6 +75,18 @@ def test_templates_go_but_not_from_articles(spark):
     assert html.main_texts(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_a_template_of_one_section_goes_on_a_large_host(spark, monkeypatch, few):
+    monkeypatch.setattr(html, "BROADCAST_KEYS", few)
+    box = "<div><p>News of our section</p></div>"
+    # Ten pages of 400 are below a twentieth; seven pages (one row comes twice) make no template; another host has its own.
+    rows = [(k, f"http://large.example/{k}", f"<body>{box if k < 10 else ''}{'<ul><li>rare</ul>' if k < 6 else ''}<p>own {k}</p></body>") for k in range(400)]
+    rows += [(500, "http://other.example/", f"<body>{box}</body>"), (3, "http://large.example/3", rows[3][2]), (None, "http://large.example/x", "<p>x")]
+    got = sorted(map(tuple, html.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).select("page_id", "text").collect()), key=str)
+    expected = [(k, f"own {k}") for k in range(6, 400)] + [(k, f"rare\nown {k}") for k in [*range(6), 3]] + [(500, "News of our section"), (None, "x")]
+    assert got == sorted(expected, key=str)
+
+
 def test_given_pages(spark):
     rows = spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()
     got = {r.page_id: r.text for r in html.main_texts(spark.read.parquet(f"{SF_DIR}/pages.parquet")).collect()}
