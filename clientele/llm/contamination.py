@@ -9,8 +9,9 @@ All fingerprints within the radius are found this way. What is found is verified
     similarity = sum w(s) min(c, d) / sum w(s) max(c, d)
 
 over the shingles s (five words) with their counts c in the item and d in the window. A shingle that several items
-share weighs w(s) = 1 / (number of items); one the item lacks weighs 1. Windows with the same words are
-looked up and verified once, however many documents hold them.
+share weighs w(s) = 1 / (number of items); one the item lacks weighs as much as the item's do on average, so that items which
+stand in the benchmark many times are judged like others. The similarity is not below that with all weights 1: weights
+may add pairs, and drop none. Windows with the same words are looked up and verified once, however many documents hold them.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -164,11 +165,11 @@ def _hits(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     pairs = pairs.withColumn("counted", counted)
     total = lambda value: F.aggregate("counted", F.lit(0.0), lambda a, x: a + value(x))
-    both = total(lambda x: x["w"] * F.least(x["c"], x["d"]))
-    either = total(lambda x: x["w"] * F.greatest(x["c"], x["d"])) + (
-        F.size("shingles") - F.aggregate("counted", F.lit(0), lambda a, x: a + x["d"])
-    )
-    true = pairs.withColumn("similarity", both / either).filter(F.col("similarity") >= SIMILARITY).select("size", "step", "words", "item_id", "distance", "similarity")
+    foreign = F.size("shingles") - F.aggregate("counted", F.lit(0), lambda a, x: a + x["d"])
+    mean = total(lambda x: x["w"] * x["c"]) / total(lambda x: x["c"])
+    weighted = total(lambda x: x["w"] * F.least(x["c"], x["d"])) / (total(lambda x: x["w"] * F.greatest(x["c"], x["d"])) + mean * foreign)
+    plain = total(lambda x: F.least(x["c"], x["d"])) / (total(lambda x: F.greatest(x["c"], x["d"])) + foreign)
+    true = pairs.withColumn("similarity", F.greatest(weighted, plain)).filter(F.col("similarity") >= SIMILARITY).select("size", "step", "words", "item_id", "distance", "similarity")
     # Few classes are true; the windows of a common one are split by Spark if they are too many for a task.
     hits = windows.select("key", "start", "length", "size", "step", "words").join(kept(true, "matches"), ["size", "step", "words"])
     best = F.struct("similarity", (-F.col("start")).alias("s"), F.col("length").alias("n_words"), (-F.col("distance")).alias("d"))

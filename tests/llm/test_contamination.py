@@ -68,6 +68,38 @@ def test_pairs(spark, monkeypatch, few):
     assert all(expected[p] < 1 for p in missed) and len(missed) <= 0.1 * len(expected)
 
 
+def test_repeated_items_and_templates_drop_no_similar_window(spark):
+    rng = random.Random(11)
+    text = lambda prefix, n: [f"{prefix}{k}x{rng.randrange(1000)}" for k in range(n)]
+    items, docs = [], []
+    for m, size in ((1, 60), (2, 60), (3, 60), (5, 60), (5, 100)):
+        own = text(f"m{m}s{size}", size)
+        items += [(len(items) + k, " ".join(own)) for k in range(m)]
+        own[30] = "changed"
+        docs.append((len(docs), " ".join([*text("before", 9), *own, *text("after", 9)])))
+    form = text("form", 60)
+    for k in range(6):
+        # Half an item is its own, and the change lies there.
+        own = form[:30] + text(f"own{k}", 50) + form[30:]
+        items.append((100 + k, " ".join(own)))
+        own[50] = "changed"
+        docs.append((len(docs), " ".join([*text("before", 9), *own])))
+    expected = {}
+    for doc_id, words in docs:
+        for item, own in items:
+            c, size = set(shingles(own.split())), len(own.split())
+            for start in range(len(words.split()) - size + 1):
+                d = set(shingles(words.split()[start : start + size]))
+                if len(c & d) >= 0.8 * len(c | d):
+                    expected[doc_id, item] = max(expected.get((doc_id, item), 0), len(c & d) / len(c | d))
+    assert len(expected) == 1 + 2 + 3 + 5 + 5 + 6 and expected[1, 1] == 51 / 61
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in contamination.contaminated(frame, benchmark).collect()}
+    assert set(expected) <= set(got) and all(got[p] >= expected[p] - 1e-9 for p in expected)
+    assert contamination.decontaminated(frame, benchmark).count() == 0
+
+
 def test_all_fingerprints_within_the_radius_meet(spark):
     fps = [0x0123456789ABCDEF]
     for k in range(1, 20):
