@@ -4,8 +4,9 @@ A word's embedding is the sum of three hashed rows: of the word, and of its firs
 unseen form of a known stem is not unknown. Filters of several widths run over the whole text, each keeps its largest value
 (max pooling), and a logistic unit reads these. Training takes a bounded sample of labelled documents
 (``SAMPLE_PER_CLASS`` of each label, those first in a hash order); a text is never cut. The model has a fixed size, so it is
-sent to all tasks. A part of the sample is held back from training to place the score (0.5 is the best
-single threshold there) and to calibrate one threshold per language.
+sent to all tasks. All labelled documents that it was not trained on (a part of the sample is held back for small tables) are
+scored in Spark and counted by language, label and score; these counts place the score (0.5 is the best single threshold there) and
+calibrate one threshold per language.
 """
 
 from dataclasses import dataclass, field
@@ -27,6 +28,8 @@ EPOCHS, LEAST_STEPS = 4, 1000
 BATCH_DOCS = 32
 RATE = 0.1
 CHUNK_WORDS = 200_000
+# Scores are counted in steps of 1 / BINS, up to 2 * MOST_BINS of them.
+BINS, MOST_BINS = 64, 2**15
 # Lower case for A-Z, a blank for other ASCII characters that are no letter or digit.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -90,11 +93,11 @@ def new_model(seed: int = 7) -> Model:
 
 
 def _padded(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings of all words with zeros between texts so that no filter spans two; starts; and the words' places."""
+    """Embeddings of all words with zeros before and after each text so that no filter spans two; starts; and the words' places."""
     gap = max(WIDTHS) - 1
     lengths = np.array([len(d) + gap + 1 for d in docs])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    places = np.concatenate([s + np.arange(len(d)) for s, d in zip(starts, docs)]).astype(np.int64)
+    places = np.concatenate([s + gap + np.arange(len(d)) for s, d in zip(starts, docs)]).astype(np.int64)
     x = np.zeros((int(lengths.sum()), DIMENSIONS), dtype=np.float32)
     x[places] = model.embedded(np.concatenate(docs))
     return x, starts, places
@@ -181,43 +184,51 @@ def _best_cut(values: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> floa
     return float((v[best] + below) / 2)
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, langs: list, weights: np.ndarray) -> Model:
-    """Train on four fifths of the sample and calibrate on the rest; weights undo the even sampling of the labels."""
-    model = new_model()
+def fit(docs: list[np.ndarray], toxic: np.ndarray) -> tuple[Model, np.ndarray]:
+    """Train on four fifths of the sample; also gives the places of these, none if the rest lacks a label and all had to be taken."""
     if not toxic.any() or toxic.all():
-        return Model(constant=float(toxic.mean()) if len(toxic) else 0.0)
+        return Model(constant=float(toxic.mean()) if len(toxic) else 0.0), np.empty(0, dtype=np.int64)
+    model = new_model()
     rng = np.random.default_rng(3)
     held = np.zeros(len(docs), dtype=bool)
     for label in (0, 1):
         places = np.flatnonzero(toxic == label)
         held[rng.permutation(places)[: len(places) // 5]] = True
     if not (toxic[held] == 0).any() or not (toxic[held] == 1).any():
-        held[:] = True
         train(docs, toxic.astype(np.float32), model)
-    else:
-        train([d for d, h in zip(docs, held) if not h], toxic[~held].astype(np.float32), model)
-    own = np.flatnonzero(held)
-    values = np.concatenate([logits([docs[i]], model) for i in own])
-    model.cut = _best_cut(values, toxic[own], weights[own])
+        return model, np.empty(0, dtype=np.int64)
+    train([d for d, h in zip(docs, held) if not h], toxic[~held].astype(np.float32), model)
+    return model, np.flatnonzero(~held)
+
+
+def calibrate(model: Model, langs: list, toxic: np.ndarray, bins: np.ndarray, n: np.ndarray, counts: dict) -> None:
+    """Place the score and the thresholds by the counted ``bins``; weights undo that the labels were not left out of the count evenly."""
+    values = (bins + 0.5) / BINS
+    weights = n * np.array([counts[t] / n[toxic == t].sum() for t in toxic.tolist()])
+    model.cut = _best_cut(values, toxic, weights)
     # A slope that brings the median of either label to a clear score.
-    spread = np.median(values[toxic[own] == 1]) - np.median(values[toxic[own] == 0])
+    spread = _median(values[toxic == 1], n[toxic == 1]) - _median(values[toxic == 0], n[toxic == 0])
     model.slope = float(8.0 / max(spread, 1e-3))
-    scores = place_score(values, model)
-    for lang in sorted({langs[i] for i in own} - {None}):
-        mine = np.array([langs[i] == lang for i in own])
-        if 0 < toxic[own][mine].sum() < mine.sum():
-            model.thresholds[lang] = _best_cut(scores[mine], toxic[own][mine], weights[own][mine])
-    return model
+    places: dict = {}
+    for k, lang in enumerate(langs):
+        places.setdefault(lang, []).append(k)
+    for lang, mine in places.items():
+        if lang is not None and 0 < toxic[mine].sum() < len(mine):
+            model.thresholds[lang] = float(place_score(_best_cut(values[mine], toxic[mine], weights[mine]), model))
+
+
+def _median(values: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    so_far = np.cumsum(n[order])
+    return float(values[order][np.searchsorted(so_far, so_far[-1] / 2)])
 
 
 def place_score(values: np.ndarray, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * (values - model.cut), -50, 50)))
 
 
-def scores(texts: list[bytes | None], model: Model, rows: _Rows) -> np.ndarray:
-    """One score per text; long batches are taken in pieces of whole texts."""
-    if model.constant is not None:
-        return np.full(len(texts), model.constant)
+def text_logits(texts: list[bytes | None], model: Model, rows: _Rows) -> np.ndarray:
+    """One value per text; long batches are taken in pieces of whole texts."""
     result, held, size = [], [], 0
     for text in texts:
         held.append(word_rows(text, rows))
@@ -227,7 +238,14 @@ def scores(texts: list[bytes | None], model: Model, rows: _Rows) -> np.ndarray:
             held, size = [], 0
     if held:
         result.append(logits(held, model))
-    return place_score(np.concatenate(result).astype(np.float64), model) if result else np.empty(0)
+    return np.concatenate(result).astype(np.float64) if result else np.empty(0)
+
+
+def scores(texts: list[bytes | None], model: Model, rows: _Rows) -> np.ndarray:
+    """One score per text."""
+    if model.constant is not None:
+        return np.full(len(texts), model.constant)
+    return place_score(text_logits(texts, model, rows), model)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -235,8 +253,29 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
+def _counted(docs: DataFrame, usable: DataFrame, trained: list[int], model: Model) -> list:
+    """(lang, toxic, bin, n) over all labelled documents but the held-out and the ``trained`` ones."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+
+    def valued(batches):
+        rows, own = _Rows(), sent.value
+        for batch in batches:
+            values = text_logits(batch.column("text").to_pylist(), own, rows)
+            bins = np.clip(np.floor(values * BINS), -MOST_BINS, MOST_BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(bins, pa.int32())], names=["doc_id", "lang", "bin"])
+
+    # At most twice SAMPLE_PER_CLASS ids. Texts are scored before the join, so that no text is shuffled.
+    left_out = F.broadcast(spark.createDataFrame([(i,) for i in trained], "doc_id bigint"))
+    rows = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(left_out, "doc_id", "left_anti")
+    rows = rows.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).mapInArrow(valued, "doc_id bigint, lang string, bin int")
+    found = rows.join(usable, "doc_id").groupBy("lang", "toxic", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    sent.unpersist()
+    return sorted(found, key=lambda r: (r.lang or "", r.lang is None, r.toxic, r.bin))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most ``SAMPLE_PER_CLASS`` labelled documents of each label, never on held-out ones."""
+    """Fit on at most ``SAMPLE_PER_CLASS`` labelled documents of each label, calibrate on all others; never on held-out ones."""
     usable = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -247,29 +286,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
         first = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
         chosen = first if chosen is None else chosen.unionByName(first)
     # At most twice SAMPLE_PER_CLASS ids and labels.
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "lang", F.col("text").cast("binary").alias("text"))
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "lang", F.col("text").cast("binary").alias("text"))
 
     def hashed(batches):
         rows = _Rows()
         for batch in batches:
             found = [word_rows(t, rows).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), batch.column("lang"), pa.array(found, pa.binary())], names=["toxic", "lang", "words"]
+                [batch.column("doc_id"), batch.column("toxic"), batch.column("lang"), pa.array(found, pa.binary())],
+                names=["doc_id", "toxic", "lang", "words"],
             )
 
-    found = sample.mapInArrow(hashed, "toxic int, lang string, words binary").collect()
+    found = sample.mapInArrow(hashed, "doc_id bigint, toxic int, lang string, words binary").collect()
     found.sort(key=lambda r: (r.toxic, xxhash.xxh64_intdigest(bytes(r.words)), r.lang or ""))
     words = [np.frombuffer(r.words, dtype=np.int64) for r in found]
     toxic = np.array([r.toxic for r in found], dtype=np.int64)
-    seen = {label: max(1, int((toxic == label).sum())) for label in (0, 1)}
-    weights = np.array([counts[r.toxic] / seen[r.toxic] for r in found])
-    return fit(words, toxic, [r.lang for r in found], weights)
+    model, trained = fit(words, toxic)
+    if model.constant is None:
+        bins = _counted(docs, usable, sorted({found[k].doc_id for k in trained}), model)
+        if {r.toxic for r in bins} != {0, 1}:
+            bins = _counted(docs, usable, [], model)
+        bins = [r for r in bins if r.toxic in (0, 1)]
+        own, at, n = (np.array([r[name] for r in bins], dtype=np.int64) for name in ("toxic", "bin", "n"))
+        calibrate(model, [r.lang for r in bins], own, at, n, counts)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Per document doc_id, held_out, score, predicted (score >= 0.5), its language's threshold and ``flagged`` by it.
 
-    Empty and null texts get the score of a text without words. A language without enough labels has the threshold 0.5.
+    Empty and null texts get the score of a text without words. A language without both labels has the threshold 0.5.
     Repeated rows are scored alike; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
