@@ -76,4 +76,26 @@ k AS (SELECT d.doc_id, len(words) AS n, array_to_string(list_filter(words, lambd
 SELECT doc_id, n::BIGINT AS n_words, gone::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
 """
 
-ORACLE_SQL = {"op2_warc": OP2, "op5_mixing": _mix(), "op7_repeats": OP7}
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+t AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+s AS (SELECT lang, words, unnest([1, 2, 3, 4]) AS size FROM w WHERE len(words) > 0),
+g AS (SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS pos FROM s WHERE len(words) >= size),
+f AS (SELECT lang, size, array_to_string(words[pos:pos + size - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+x AS (SELECT c.lang, c.size, c.phrase, a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(words[1:k], ' ')
+             JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(words[k + 1:c.size], ' ')),
+m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, f, string_split(phrase, ' ') AS words, size, unnest(range(2, size)) AS part FROM f WHERE size > 2),
+i AS (SELECT lang, f, words, part, unnest(range(1, size - part + 2)) AS pos FROM o),
+u AS (SELECT lang, array_to_string(words[pos:pos + part - 1], ' ') AS phrase, max(f) AS longer FROM i GROUP BY ALL),
+e AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank
+      FROM m LEFT JOIN u ON u.lang = m.lang AND u.phrase = m.phrase
+      WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT e.lang, rank, phrase, a, l, r, n, score FROM e JOIN t ON t.lang = e.lang WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op2_warc": OP2, "op5_mixing": _mix(), "op7_repeats": OP7, "op11_collocations": OP11}

@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import contamination, html, lines, mixing, ngrams, quality, repeats, simhash, toxicity, warc
+from clientele.llm import (
+    collocations, contamination, html, lines, mixing, ngrams, packing, quality, repeats, simhash, spelling, toxicity, warc,
+)
 from clientele.llm.frames import documents
 
 
@@ -51,6 +53,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir, "doc_id", "lang", "source", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir, "lang", "text"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir, "doc_id", "text"))
+    return packed.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -62,4 +77,7 @@ QUERIES = {
     "op8_ngrams": op8_ngrams,
     "op9_html": op9_html,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
+    "op12_packing": op12_packing,
+    "op13_spelling": op13_spelling,
 }
