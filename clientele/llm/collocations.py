@@ -33,9 +33,11 @@ SCALE = 2_000_000
 SPARE = 2
 PARTITION_MASS = 4_000_000
 BUFFER = 3_000_000
+# Occurrences with their words take more room than hashes.
+EXACT_BUFFER = 1_000_000
 SLICE_BYTES = 1 << 20
 TOKENS = 500_000
-WORDS_AT_MOST = 1_000_000
+WORDS_AT_MOST = 400_000
 # The filter has 64 bits for a survivor where they fit, 8 at least, and never more than 64 MB.
 FILTER_BITS = 1 << 29
 SALTS = 64
@@ -287,7 +289,7 @@ def _exact(longest: int, partitions: int, first: int, last: int, log_bits: int,
                     rows[:, k + 1] = numbers[ends - (size - 1 - k)]
                 buffer.append((hashes, rows))
                 held += len(ends)
-            if held >= BUFFER:
+            if held >= EXACT_BUFFER:
                 yield emitted(*now, buffer)
                 buffer, held = [], 0
         if held:

@@ -94,6 +94,7 @@ def small(monkeypatch):
     """Many partitions, slices, buffers and rounds also for short texts."""
     monkeypatch.setattr(c, "PARTITION_MASS", 500)
     monkeypatch.setattr(c, "BUFFER", 300)
+    monkeypatch.setattr(c, "EXACT_BUFFER", 200)
     monkeypatch.setattr(c, "TOKENS", 40)
     monkeypatch.setattr(c, "SLICE_BYTES", 64)
     monkeypatch.setattr(c, "WORDS_AT_MOST", 12)
