@@ -4,11 +4,13 @@ Each source gets a target number of words. A document's expected number of copie
 target over its source's size; the whole part is certain, the rest is the probability to get one copy
 more. Of the documents of a source, those lowest in (random odds / inclusion odds) get that copy, in
 this order and as long as they fit into what is left of the target. One that does not fit is passed
-over for the next that does, so a source misses its target by less than its next short document.
+over for the next that does, through the whole order: a source misses its target by less than its smallest
+document that got no copy. Within a source the inclusion odds are equal, so there the order is that of the random numbers.
 
 Only ids, sizes and hashes move. The order is cut into ranges of about ``RANGE_ROWS`` documents that
-are summed first; only the one range in which the target is reached is ordered document by document.
-So a source with a third of all rows costs no task more than one range.
+are summed first. A round takes the ranges that fit whole, goes through the first one that does not document by document, and
+hands what is left on to the documents behind it that are small enough. So a source with a third of all rows costs no task more
+than one range, and the rounds end when nothing behind fits.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -21,7 +23,6 @@ WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_COPIES = 2
 RANGE_ROWS = 2048
-FILL_ROUNDS = 6
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -81,7 +82,8 @@ def mixed(sized: DataFrame) -> DataFrame:
         _with_targets(sized)
         .withColumn("certain", F.least(F.floor(ratio), F.lit(MOST_COPIES)).cast("bigint"))
         .withColumn("chance", ratio - F.col("certain"))
-        .withColumn("room", F.col("target") - (F.col("certain") * F.col("source_size")).cast("double"))
+        # Sizes are whole, so what is beyond a whole number of words is never filled.
+        .withColumn("room", F.floor(F.col("target") - (F.col("certain") * F.col("source_size")).cast("double")).cast("bigint"))
         # Random odds over inclusion odds; the sure and the impossible need no order.
         .withColumn("rank", F.when(
             (F.col("chance") > 0) & (F.col("chance") < 1),
@@ -89,44 +91,62 @@ def mixed(sized: DataFrame) -> DataFrame:
         ).otherwise(F.col("u")))
         # u and rank order alike within a source, so ranges of u are ranges of the order, of about equal count.
         .withColumn("range", F.floor(F.col("u") * F.ceil(F.col("source_docs") / RANGE_ROWS)).cast("bigint"))
+        .drop("chance", "u", "source_docs")
     )
-    in_order = Window.partitionBy("source").orderBy("range")
-    ranges = (
-        rows.groupBy("source", "range")
-        .agg(F.sum("size").alias("range_size"), F.max("room").alias("room"))
-        .withColumn("end", F.sum("range_size").over(in_order))
+    rows = kept(rows, "ranked")
+    state = rows.groupBy("source").agg(F.max("room").alias("left"), F.lit(-1).cast("bigint").alias("last"))
+    spans, edges = None, None
+    while True:
+        state = kept(state, "left")
+        here = rows.join(_sides(state, "source", "left", "last"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        behind = here.filter((F.col("range") > F.col("last")) & (F.col("size") <= F.col("left")) & (F.col("size") > 0))
+        sums = behind.groupBy("source", "range").agg(F.sum("size").alias("range_size"), F.max("left").alias("left"))
+        sums = sums.withColumn("end", F.sum("range_size").over(Window.partitionBy("source").orderBy("range")))
+        # The first range that does not fit whole; none if all do.
+        first = sums.groupBy("source").agg(
+            F.min(F.when(F.col("end") > F.col("left"), F.struct("range", (F.col("left") - F.col("end") + F.col("range_size")).alias("rest")))).alias("e")
+        )
+        span = kept(
+            first.join(_sides(state, "source", "left", "last"), F.col("source").eqNullSafe(F.col("_source")))
+            .select("source", "last", F.col("left").alias("most"), F.col("e.range").alias("edge"), F.col("e.rest").alias("rest")),
+            "spans",
+        )
+        spans = span if spans is None else spans.unionByName(span)
+        if span.filter("edge IS NOT NULL").isEmpty():
+            break
+        found = kept(_filled(rows, span.filter("edge IS NOT NULL")), "edges")
+        edges = found if edges is None else edges.unionByName(found)
+        state = found.groupBy("source").agg(F.min("left").alias("left"), F.max("range").alias("last")).filter("left > 0")
+    spans = spans.groupBy(F.col("source").alias("_source")).agg(F.collect_list(F.struct("last", "most", "edge")).alias("spans"))
+    rows = rows.join(kept(spans, "spans"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    at_edge = F.coalesce(F.exists("spans", lambda s: s["edge"] == F.col("range")), F.lit(False))
+    taken = F.exists(
+        "spans", lambda s: (F.col("range") > s["last"]) & (F.col("size") <= s["most"]) & (s["edge"].isNull() | (F.col("range") < s["edge"]))
     )
-    # The first range that does not fit whole; none if all fit.
-    edge = (
-        ranges.filter(F.col("end") > F.col("room"))
-        .groupBy("source")
-        .agg(F.min_by(F.struct("range", (F.col("end") - F.col("range_size")).alias("before")), "range").alias("e"))
-        .select(F.col("source").alias("_source"), F.col("e.range").alias("edge"), F.col("e.before").alias("before"))
-    )
-    rows = rows.join(kept(edge, "edges"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    below = rows.filter(F.col("edge").isNull() | (F.col("range") != F.col("edge"))).withColumn(
-        "extra", F.when(F.col("edge").isNull() | (F.col("range") < F.col("edge")), 1).otherwise(0)
-    )
-    at_edge = rows.filter(F.col("range") == F.col("edge")).withColumn("left", F.col("room") - F.col("before"))
     columns = ["doc_id", "source", "size", "tie", "source_size", "target", "certain", "extra"]
-    every = below.select(columns).unionByName(_filled(at_edge).select(columns))
+    every = rows.filter(~at_edge).withColumn("extra", F.when(taken, 1).otherwise(0)).select(columns)
+    every = every if edges is None else every.unionByName(edges.select(columns))
     return every.withColumn("copies", F.col("certain") + F.col("extra")).drop("certain", "extra")
 
 
-def _filled(edge: DataFrame) -> DataFrame:
-    """Takes documents of each source in order while they fit into ``left``; later ones that still fit in further rounds."""
-    order = ("rank", F.col("doc_id").asc_nulls_last(), "size", "tie")
-    by_source = Window.partitionBy("source")
-    so_far = by_source.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("extra", F.lit(0))
-    for _ in range(FILL_ROUNDS):
-        fits = (F.col("extra") == 0) & (F.col("size") <= F.col("left"))
-        edge = edge.withColumn("sum", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(so_far))
-        now = fits & (F.col("sum") <= F.col("left"))
-        edge = edge.withColumn("now", now.cast("int"))
-        edge = edge.withColumn("left", F.col("left") - F.sum(F.col("now") * F.col("size")).over(by_source))
-        edge = edge.withColumn("extra", F.col("extra") + F.col("now"))
-    return edge
+def _sides(state: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row per source, to be joined by ``_source``."""
+    return state.select(F.col(key).alias(f"_{key}"), *columns)
+
+
+def _filled(rows: DataFrame, span: DataFrame) -> DataFrame:
+    """The documents of the edge ranges in order, each taken (``extra`` 1) if it fits into what is left by then."""
+    here = rows.join(_sides(span, "source", "edge", "rest"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("edge")))
+    # A range has about RANGE_ROWS documents, whatever the size of its source.
+    own = F.struct("rank", F.col("doc_id").isNull().alias("last"), "doc_id", "size", "tie", "source_size", "target", "certain")
+    ordered = here.groupBy("source", "range", "rest").agg(F.array_sort(F.collect_list(own)).alias("docs"))
+    start = F.struct(F.col("rest").alias("left"), F.array().cast("array<int>").alias("extra"))
+    walk = F.aggregate("docs", start, lambda a, x: F.struct(
+        F.when(x["size"] <= a["left"], a["left"] - x["size"]).otherwise(a["left"]).alias("left"),
+        F.array_append(a["extra"], F.when(x["size"] <= a["left"], 1).otherwise(0)).alias("extra"),
+    ))
+    walked = ordered.withColumn("walk", walk).select("source", "range", "walk.left", F.explode(F.arrays_zip("docs", "walk.extra")).alias("d"))
+    return walked.select("source", "range", "left", "d.docs.*", F.col("d.extra").alias("extra"))
 
 
 def mix_report(docs: DataFrame, seed: str = "mix") -> DataFrame:

@@ -1,7 +1,5 @@
 """SQL twins (DuckDB) of the queries that SQL can express."""
 
-from clientele.llm import mixing
-
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = " || ".join(
     f"substr('{_BASE32}', (((('0x' || substr(hex, {5 * k + 1}, 5))::INTEGER) >> {shift}) & 31) + 1, 1)"
@@ -20,21 +18,12 @@ FROM g
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
-def _mix() -> str:
-    rounds, before = [], "r0"
-    for k in range(1, mixing.FILL_ROUNDS + 1):
-        rounds.append(f"""
-s{k} AS (SELECT *, sum(CASE WHEN extra = 0 AND size <= room THEN size ELSE 0 END)
-           OVER (PARTITION BY source ORDER BY rank, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS so_far FROM {before}),
-n{k} AS (SELECT *, CASE WHEN extra = 0 AND size <= room AND so_far <= room THEN 1 ELSE 0 END AS now FROM s{k}),
-r{k} AS (SELECT doc_id, source, size, source_size, target, certain, rank, extra + now AS extra,
-           room - sum(now * size) OVER (PARTITION BY source) AS room FROM n{k})""")
-        before = f"r{k}"
-    return f"""
+# Each source's documents in order, one after the other: a copy more for each that fits into what is left.
+OP5 = f"""
 WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size,
              (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
            FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_docs, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((place - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight, source_size::DOUBLE * 2 AS cap FROM s),
 b AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5 AS total,
         (sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER o, 0) AS left_words,
@@ -43,23 +32,16 @@ b AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5 AS total,
 c AS (SELECT *, left_words * weight >= cap * left_weight AS stops FROM b),
 f AS (SELECT *, total - coalesce(sum(CASE WHEN stops THEN cap END) OVER (), 0) AS free_words,
         sum(CASE WHEN stops THEN 0.0::DOUBLE ELSE weight END) OVER () AS free_weight FROM c),
-t AS (SELECT source, source_size, source_docs, CASE WHEN stops THEN cap ELSE free_words * weight / free_weight END AS target FROM f),
-m AS (SELECT d.*, t.source_size, t.source_docs, t.target, CASE WHEN t.source_size > 0 THEN target / t.source_size ELSE 0 END AS ratio
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, least(floor(ratio), 2)::BIGINT AS certain FROM m),
-p AS (SELECT *, ratio - certain AS chance, target - (certain * source_size)::DOUBLE AS room0 FROM e),
-q AS (SELECT *, CASE WHEN chance > 0 AND chance < 1 THEN (u / (1 - u)) / (chance / (1 - chance)) ELSE u END AS rank,
-        floor(u * ceil(source_docs / {mixing.RANGE_ROWS}))::BIGINT AS part FROM p),
-h AS (SELECT source, part, sum(size) AS part_size, max(room0) AS room0 FROM q GROUP BY source, part),
-i AS (SELECT *, sum(part_size) OVER (PARTITION BY source ORDER BY part) AS until FROM h),
-j AS (SELECT source, min(part) AS edge, min_by(until - part_size, part) AS before FROM i WHERE until > room0 GROUP BY source),
-k AS (SELECT q.*, j.edge, j.before FROM q LEFT JOIN j ON q.source IS NOT DISTINCT FROM j.source),
-r0 AS (SELECT doc_id, source, size, source_size, target, certain, rank, 0 AS extra, room0 - before AS room FROM k WHERE part = edge),
-{",".join(rounds)}
-SELECT doc_id, size, source_size, target, (size * (certain + extra))::BIGINT AS taken FROM {before}
-UNION ALL
-SELECT doc_id, size, source_size, target, (size * (certain + (edge IS NULL OR part < edge)::INTEGER))::BIGINT FROM k
-WHERE edge IS NULL OR part <> edge
+t AS (SELECT source, source_size, CASE WHEN stops THEN cap ELSE free_words * weight / free_weight END AS target FROM f),
+r AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS certain FROM t),
+l AS (SELECT d.source, list({{'id': doc_id, 'size': size}} ORDER BY u, doc_id NULLS LAST, size) AS docs FROM d GROUP BY d.source),
+g AS (SELECT r.*, list_reduce(docs, lambda a, x: CASE WHEN x.size <= a.room
+               THEN {{'room': a.room - x.size, 'docs': list_append(a.docs, {{'id': x.id, 'size': x.size, 'extra': 1}})}}
+               ELSE {{'room': a.room, 'docs': list_append(a.docs, {{'id': x.id, 'size': x.size, 'extra': 0}})}} END,
+             {{'room': floor(target - (certain * source_size)::DOUBLE)::BIGINT, 'docs': []::STRUCT(id BIGINT, size BIGINT, extra INTEGER)[]}}).docs AS docs
+      FROM r JOIN l ON r.source IS NOT DISTINCT FROM l.source),
+x AS (SELECT source_size, target, certain, unnest(docs) AS doc FROM g)
+SELECT doc.id AS doc_id, doc.size AS size, source_size, target, (doc.size * (certain + doc.extra))::BIGINT AS taken FROM x
 """
 
 
@@ -98,4 +80,4 @@ e AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a
 SELECT e.lang, rank, phrase, a, l, r, n, score FROM e JOIN t ON t.lang = e.lang WHERE rank <= 2000
 """
 
-ORACLE_SQL = {"op2_warc": OP2, "op5_mixing": _mix(), "op7_repeats": OP7, "op11_collocations": OP11}
+ORACLE_SQL = {"op2_warc": OP2, "op5_mixing": OP5, "op7_repeats": OP7, "op11_collocations": OP11}
