@@ -1,11 +1,14 @@
 """Main text of pages, with site templates removed.
 
-Every element's subtree (tags, classes, text) is hashed. Spark counts, per host, on how many pages a
+Every element's subtree (tags, classes, text) is hashed. Spark counts, per host, on how many pages (by url) a
 subtree stands; those on ``TEMPLATE_PAGES`` pages of a host are its templates, however many pages it has, and are deleted
 from its pages. Elements that are
 menus, headers, footers, sidebars, notices, adverts, forms or comments by tag, role or class go on any page,
 as a site of few pages repeats nothing. If a page has an article (or a main element) only that is
-read. Text blocks inside an article are never templates: sites also repeat articles.
+read. Sites also repeat articles, under several urls: text blocks inside an article are never templates, and neither is a subtree that
+holds over half of its text, nor anything in it. Inside an article, and for text blocks anywhere, only a whole class name (or one
+followed by the name of a part, as in "share-buttons") counts: "social-science" is no social box. A form that holds over half of
+the page's text is the page.
 """
 
 import html as entities
@@ -49,14 +52,21 @@ MAIN = frozenset(("article", "main"))
 WHOLE = frozenset(("html", "body", "article", "main"))
 # What is no main text, by tag, by role, and by a word of class or id.
 DROPPED_TAGS = frozenset(
-    "nav footer aside form head button select option optgroup input label fieldset dialog menu search audio video map".split()
+    "nav footer aside form head button select option optgroup input dialog menu search audio video map".split()
 ) | RAW | EMBEDDED
+# These belong to a form; an article may use them for its own parts.
+FORM_PARTS = frozenset("label fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation"
     " breadcrumb breadcrumbs header footer masthead cookie cookies consent notice notices gdpr newsletter subscribe signup"
     " popup modal overlay comment comments disqus related share sharing social widget pagination pager skip".split()
 )
+# Names of parts that may follow such a word in one class name.
+PART_NAMES = frozenset(
+    "area articles bar block box button buttons container content form icons inner item items label link links list main notice panel post posts"
+    " row section slot text title unit widget wrap wrapper".split()
+)
 # These words name parts of the page; inside an article they name its own title.
 PAGE_ONLY = frozenset("header masthead banner".split())
 
@@ -72,6 +82,12 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
+def _part_of(name: str) -> str:
+    """The word a class name stands for: itself, or what comes before the name of a part."""
+    words = re.split("[_-]+", name)
+    return words[0] if len(words) > 1 and PART_NAMES.issuperset(words[1:]) else name
+
+
 class Page:
     """The elements of a page in the order of their start tags, with the hashes of their subtrees."""
 
@@ -85,6 +101,7 @@ class Page:
         self._count: Counter = Counter()  # open elements by tag
         self._marks: list[list[str]] = [[]]  # what the open elements hold so far
         self._foreign: list[int] = []  # open drawings and formulas, and as negative numbers their elements that may hold HTML
+        self._forms: list[int] = []
         self._read(source)
         while len(self._open) > 1:
             self._close()
@@ -92,6 +109,19 @@ class Page:
         self.hidden: list[bool] = [False] * len(self.tag)
         for k in range(1, len(self.tag)):
             self.hidden[k] = self.hidden[self.parent[k]] or self.tag[k] in EMBEDDED and self.dropped[k]
+        # Characters of text in each element.
+        self.chars: list[int] = [0] * len(self.tag)
+        for k, text in self.events:
+            if text is not None and not self.hidden[k]:
+                self.chars[k] += len("".join(text.split()))
+        for k in range(len(self.tag) - 1, 0, -1):
+            if self.tag[k] not in RAW:
+                self.chars[self.parent[k]] += self.chars[k]
+            if self.tag[k] == "form" and self.dropped[k]:
+                self.dropped[k] = False  # for now: whether it is the page is seen when all is summed
+                self._forms.append(k)
+        for k in self._forms:
+            self.dropped[k] = 2 * self.chars[k] <= self.chars[0]
         self.first_main = next((k for k, tag in enumerate(self.tag) if tag in MAIN and not self.hidden[k]), None)
 
     def _read(self, source: str) -> None:
@@ -151,13 +181,18 @@ class Page:
         self.tag.append(tag)
         self.parent.append(self._open[-1])
         self.hash.append(None)
-        # An article is judged by whole classes: "comment" is one, "comment-open" is not.
-        border = r"\s+" if tag == "article" else r"[\s_-]+"
-        words = set(re.split(border, f"{named.get('class', '')} {named.get('id', '')}".lower())) if named else set()
+        names = f"{named.get('class', '')} {named.get('id', '')}".lower().split() if named else []
+        if tag == "article":
+            words = set(names)  # "comment" is one, "comment-open" is not
+        elif inside or tag in TEXT_BLOCKS:
+            words = {_part_of(name) for name in names}
+        else:
+            words = {word for name in names for word in re.split("[_-]+", name)}
         if inside:
             words -= PAGE_ONLY
         self.dropped.append(
-            tag not in WHOLE and (tag in DROPPED_TAGS or tag == "header" and not inside)
+            tag not in WHOLE
+            and (tag in DROPPED_TAGS or tag == "header" and not inside or tag in FORM_PARTS and not inside and self._count["form"] > 0)
             or tag not in ("html", "body", "main")
             and (named.get("role", "").lower() in DROPPED_ROLES or not DROPPED_WORDS.isdisjoint(words))
         )
@@ -231,22 +266,24 @@ class Page:
         inside, holds = self._placed()
         return {
             self.hash[k] for k in range(1, len(self.tag))
-            if self.hash[k] is not None and self.tag[k] in BLOCKS and not holds[k] and not self.hidden[k]
-            and not (inside[k] and self.tag[k] in TEXT_BLOCKS)
+            if self.hash[k] is not None and self.tag[k] in BLOCKS and not self.hidden[k]
+            and (self.tag[k] in MAIN or not holds[k] and not (inside[k] and self.tag[k] in TEXT_BLOCKS))
         }
 
     def text(self, templates: set[int]) -> str:
         """The blocks that are left, in page order, one per line."""
         inside, holds = self._placed()
-        gone = [False] * len(self.tag)
+        gone, spared, main = [False] * len(self.tag), [False] * len(self.tag), [0] * len(self.tag)
         has_main = False
         for k in range(1, len(self.tag)):
-            template = (
-                self.hash[k] in templates and self.tag[k] in BLOCKS and not holds[k]
-                and not (inside[k] and self.tag[k] in TEXT_BLOCKS)
-            )
+            up = self.parent[k]
+            recurs = self.hash[k] in templates and self.tag[k] in BLOCKS
+            main[k] = k if self.tag[k] in MAIN and inside[k] and not main[up] else main[up]
+            # A copy of an article, or of the part that holds most of its text.
+            spared[k] = spared[up] or recurs and main[k] > 0 and 2 * self.chars[k] > self.chars[main[k]]
+            template = recurs and not holds[k] and not spared[k] and self.tag[k] not in MAIN and not (inside[k] and self.tag[k] in TEXT_BLOCKS)
             dropped = self.dropped[k] and not (holds[k] and k != self.first_main and self.tag[k] not in MAIN)
-            gone[k] = gone[self.parent[k]] or dropped or template
+            gone[k] = gone[up] or dropped or template
             has_main = has_main or self.tag[k] in MAIN and not gone[k]
         blocks, piece = [], []
         for k, text in self.events:
@@ -293,7 +330,23 @@ def site_templates(pages: DataFrame) -> DataFrame:
         if counts:
             yield sent()
 
-    rows = pages.select("url", "html").mapInArrow(counted, "subtree bigint, n bigint")
+    def each(batches):
+        for batch in batches:
+            keys, subtrees = [], []
+            for key, url, source in zip(*(batch.column(name).to_pylist() for name in ("key", "url", "html"))):
+                host = host_of(url)
+                found = [] if host is None else [site_key(host, subtree) for subtree in Page(source or "").candidates()]
+                keys += [key] * len(found)
+                subtrees += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subtrees, pa.int64())], names=["key", "subtree"])
+
+    # Most urls stand in one row and are counted where they are read; the rows of others count once for all.
+    keyed = pages.select(F.xxhash64("url").alias("key"), "url", "html")
+    several = kept(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "several")
+    side = F.broadcast(several) if several.count() <= BROADCAST_KEYS else several
+    once = keyed.join(side, "key", "left_anti").select("url", "html").mapInArrow(counted, "subtree bigint, n bigint")
+    again = keyed.join(side, "key", "left_semi").mapInArrow(each, "key bigint, subtree bigint").distinct().select("subtree", F.lit(1).cast("bigint").alias("n"))
+    rows = once.unionByName(again)
     return rows.groupBy("subtree").agg(F.sum("n").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES).select("subtree")
 
 
@@ -318,8 +371,9 @@ def _page_templates(keyed: DataFrame, templates: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """Per page page_id, url, text and n_chars.
 
-    A null html is empty, an empty page has an empty text; a page without a host loses no templates; repeated rows
-    come back as often as they are there and each count as a page; an empty table gives an empty result.
+    A null html is empty, an empty page has an empty text; a page without a host loses no templates; very long pages are read whole;
+    repeated rows come back as often as they are there, and all rows of a url count as one page; an empty table gives an empty
+    result. Other columns are not looked at.
     """
     templates = kept(site_templates(pages), "templates")
     few = templates.count() <= BROADCAST_KEYS
