@@ -58,6 +58,30 @@ k AS (SELECT d.doc_id, len(words) AS n, array_to_string(list_filter(words, lambd
 SELECT doc_id, n::BIGINT AS n_words, gone::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
 """
 
+OP10 = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS words,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, row_number() OVER () AS rid FROM documents),
+v AS (SELECT rid, words, unnest(range(1, len(words) - 6)) AS pos FROM d WHERE len(words) >= 8),
+w AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, words[pos:pos + 7]) AS times FROM v),
+r AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(pos, pos + 8)) AS place FROM w WHERE times > 1) GROUP BY rid),
+m AS (SELECT d.rid, doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines FROM d LEFT JOIN r USING (rid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols::DOUBLE / greatest(n_words, 1) AS s,
+        n_dup_lines::DOUBLE / greatest(n_lines, 1) AS l, word_chars::DOUBLE / greatest(n_words, 1) AS c FROM m),
+u AS (SELECT lang, source, floor(least(s, 64) * 1024) / 1024 AS s, floor(least(l, 64) * 1024) / 1024 AS l, floor(least(c, 64) * 1024) / 1024 AS c FROM f WHERE NOT base_failed),
+g AS (SELECT grouping(lang) AS no_lang, grouping(source) AS no_source, lang, source, count(*) AS n, list_sort(list(s)) AS s, list_sort(list(l)) AS l, list_sort(list(c)) AS c
+      FROM u GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+q AS (SELECT no_lang, no_source, lang, source, n, (ceil(n * (1 - 0.85::DOUBLE)))::INTEGER AS lo, (ceil(n * 0.5::DOUBLE))::INTEGER AS mid, (ceil(n * 0.85::DOUBLE))::INTEGER AS hi, s, l, c FROM g WHERE n > 0),
+h AS (SELECT no_lang, no_source, lang, source, n, s[mid] + 3::DOUBLE * greatest(s[hi] - s[mid], 0.02::DOUBLE) AS s_high, l[mid] + 3::DOUBLE * greatest(l[hi] - l[mid], 0.15::DOUBLE) AS l_high,
+        c[mid] + 3::DOUBLE * greatest(c[hi] - c[mid], 1::DOUBLE) AS c_high, c[mid] - 3::DOUBLE * greatest(c[mid] - c[lo], 1::DOUBLE) AS c_low FROM q),
+j AS (SELECT f.*, h.s_high, h.l_high, h.c_high, h.c_low, row_number() OVER (PARTITION BY rid ORDER BY no_lang + no_source) AS k
+      FROM f JOIN h ON (no_source = 0 AND no_lang = 0 AND h.n >= 30 AND h.lang IS NOT DISTINCT FROM f.lang AND h.source IS NOT DISTINCT FROM f.source)
+        OR (no_source = 1 AND no_lang = 0 AND h.n >= 30 AND h.lang IS NOT DISTINCT FROM f.lang) OR no_lang = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND s <= s_high AND l <= l_high AND c <= c_high AND c >= c_low AS kept FROM j WHERE k = 1
+"""
+
 OP11 = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
@@ -80,4 +104,4 @@ e AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a
 SELECT e.lang, rank, phrase, a, l, r, n, score FROM e JOIN t ON t.lang = e.lang WHERE rank <= 2000
 """
 
-ORACLE_SQL = {"op2_warc": OP2, "op5_mixing": OP5, "op7_repeats": OP7, "op11_collocations": OP11}
+ORACLE_SQL = {"op2_warc": OP2, "op5_mixing": OP5, "op7_repeats": OP7, "op10_quality": OP10, "op11_collocations": OP11}

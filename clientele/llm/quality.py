@@ -1,13 +1,14 @@
 """Quality rules with thresholds that adapt to the language and source of a document.
 
-Every document gets its measures with column functions. One mergeable quantile sketch (KLL)
-per language, source and measure then describes what is usual in that group, and a document
-is rejected for a measure that lies far beyond the usual range of its own group. Sketches
-have a bounded size and merge, so a group that holds a third of all rows is still one small
-state per task; the thresholds are one row per group.
+Every document gets its measures with column functions. One mergeable quantile sketch per language, source and
+measure then describes what is usual in that group, and a document is rejected for a measure that lies far beyond the usual range of
+its own group. The sketch is a histogram of steps of 1 / ``STEPS``: it merges by adding, has a bounded size, errs by less than
+a step, and gives the same fences in every run, whatever the order of the rows. A group that holds a third of all rows is one
+small state per task. A group of fewer than ``LEAST_GROUP`` documents takes the fences of its language, a language of fewer
+those of all: no document sets its own fence.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.llm.frames import kept, whole_row
@@ -16,7 +17,8 @@ from clientele.llm.words import BLANKS, words_column
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
-SKETCH_K = 400
+STEPS, LARGEST = 1024, 64
+LEAST_GROUP = 30
 # A fence lies SPANS times the distance from the median to the USUAL quantile beyond the median.
 USUAL, SPANS = 0.85, 3.0
 # Least distance by measure, so that a group of equals does not reject its nearest neighbours.
@@ -96,25 +98,57 @@ def base_failed(q: Column) -> Column:
     return (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > REPEAT_PERCENT * q["n_words"])
 
 
-def fences(measured: DataFrame) -> DataFrame:
-    """One row per language and source: the fences ``<measure>_high`` and ``word_length_low``.
+def sketches(measured: DataFrame) -> DataFrame:
+    """lang, source, measure, step, n: the histogram of each group. Documents that fail the base rule say nothing about what is usual.
 
-    Documents that fail the base rule say nothing about what is usual. A group of which all fail
-    has null fences, and nothing is left to judge by them.
+    A value beyond ``LARGEST`` counts as that.
     """
-    usable = measured.filter(~base_failed(F.col("q"))).select("lang", "source", *[
-        c.alias(name) for name, c in measures(F.col("q")).items()
-    ])
-    sketches = usable.groupBy("lang", "source").agg(*[
-        F.kll_sketch_agg_double(name, F.lit(SKETCH_K)).alias(name) for name in LEAST_SPAN
-    ])
+    usable = measured.filter(~base_failed(F.col("q")))
+    steps = [
+        F.struct(F.lit(name).alias("measure"), F.floor(F.least(c, F.lit(float(LARGEST))) * STEPS).cast("int").alias("step"))
+        for name, c in measures(F.col("q")).items()
+    ]
+    return usable.select("lang", "source", F.inline(F.array(*steps))).groupBy("lang", "source", "measure", "step").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ranked(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_docs and the fences of each group of a histogram."""
+    summed = histogram.groupBy(*keys, "measure", "step").agg(F.sum("n").alias("n"))
+    # A group has at most LARGEST * STEPS steps for a measure.
+    group = Window.partitionBy(*keys, "measure")
+    summed = summed.withColumn("until", F.sum("n").over(group.orderBy("step"))).withColumn("n_docs", F.sum("n").over(group))
+
+    def at(rank: float) -> Column:
+        return F.min(F.when(F.col("until") >= F.ceil(F.col("n_docs") * rank), F.col("step"))) / float(STEPS)
+
+    ranks = summed.groupBy(*keys, "measure").agg(F.max("n_docs").alias("n_docs"), at(1 - USUAL).alias("low"), at(0.5).alias("mid"), at(USUAL).alias("high"))
+    by_name = F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "mid", "high"))))
+    whole = ranks.groupBy(*keys).agg(F.max("n_docs").alias("n_docs"), by_name.alias("r"))
     columns = []
     for name, least in LEAST_SPAN.items():
-        at = {rank: F.kll_sketch_get_quantile_double(name, F.lit(rank)) for rank in (1 - USUAL, 0.5, USUAL)}
-        columns.append((at[0.5] + SPANS * F.greatest(at[USUAL] - at[0.5], F.lit(least))).alias(f"{name}_high"))
+        r = F.col("r")[name]
+        columns.append((r["mid"] + SPANS * F.greatest(r["high"] - r["mid"], F.lit(least))).alias(f"{name}_high"))
         if name in TWO_SIDED:
-            columns.append((at[0.5] - SPANS * F.greatest(at[0.5] - at[1 - USUAL], F.lit(least))).alias(f"{name}_low"))
-    return sketches.select("lang", "source", *columns)
+            columns.append((r["mid"] - SPANS * F.greatest(r["mid"] - r["low"], F.lit(least))).alias(f"{name}_low"))
+    return whole.select(*keys, "n_docs", F.struct(*columns).alias("fences"))
+
+
+def fences(measured: DataFrame) -> DataFrame:
+    """One row per language and source of ``measured`` (stored): the fences ``<measure>_high`` and ``word_length_low``.
+
+    Where no document at all passes the base rule they are null, and nothing is left to judge by them.
+    """
+    histogram = kept(sketches(measured), "sketches")
+    own, lang, every = _ranked(histogram, ["lang", "source"]), _ranked(histogram, ["lang"]), _ranked(histogram.withColumn("all", F.lit(0)), ["all"])
+    # One row per group, language and in all: these joins are small however many documents there are.
+    groups = measured.select("lang", "source").distinct()
+    lang = lang.select(F.col("lang").alias("l_lang"), F.col("n_docs").alias("l_docs"), F.col("fences").alias("l_fences"))
+    own = own.select(F.col("lang").alias("o_lang"), F.col("source").alias("o_source"), F.col("n_docs").alias("o_docs"), F.col("fences").alias("o_fences"))
+    joined = groups.join(own, F.col("lang").eqNullSafe(F.col("o_lang")) & F.col("source").eqNullSafe(F.col("o_source")), "left")
+    joined = joined.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
+    joined = joined.withColumn("all", F.lit(0)).join(every.select("all", F.col("fences").alias("a_fences")), "all", "left")
+    chosen = F.when(F.col("o_docs") >= LEAST_GROUP, F.col("o_fences")).when(F.col("l_docs") >= LEAST_GROUP, F.col("l_fences")).otherwise(F.col("a_fences"))
+    return joined.select("lang", "source", chosen.alias("f")).select("lang", "source", "f.*")
 
 
 def judged(measured: DataFrame) -> DataFrame:
@@ -140,8 +174,8 @@ def judged(measured: DataFrame) -> DataFrame:
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """Per document doc_id, its counts, ``base_failed`` and ``kept``.
 
-    Null texts count as empty and fail, null languages and sources are a group like others, repeated rows are
-    judged one by one, an empty table gives an empty result.
+    Null texts count as empty and fail, null languages and sources are a group like others, very long texts are measured whole, repeated
+    rows are judged one by one, an empty table gives an empty result. A value at a fence is within it.
     """
     measured = kept(
         with_measures(docs.select("doc_id", "lang", "source", "text")).withColumn("row", F.struct("row.doc_id")), "measured"

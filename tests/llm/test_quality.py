@@ -1,5 +1,11 @@
 """Quality measures and verdicts against plain Python."""
 
+import math
+
+from pyspark.sql import functions as F
+
+from checks.compare import connect
+from clientele.llm.oracle_sql import OP10
 
 from clientele.llm import quality
 from tests.conftest import SF_DIR
@@ -20,26 +26,26 @@ def plain_counts(text):
 
 
 def plain_verdicts(rows):
-    """Exact: the groups of the fixtures are smaller than a sketch."""
+    """From all values of a group, its language or all, in steps of the sketch."""
     counted = [(d, (lang, source), plain_counts(t)) for d, lang, source, t in rows]
     failed = [c[0] < 20 or 100 * c[4] > 30 * c[0] for _, _, c in counted]
     shares = [(c[2] / max(c[0], 1), c[3] / max(c[5], 1), c[1] / max(c[0], 1)) for _, _, c in counted]
     groups = {}
     for (_, group, _), bad, share in zip(counted, failed, shares):
         if not bad:
-            groups.setdefault(group, []).append(share)
+            for key in (group, group[:1], ()):
+                groups.setdefault(key, []).append(share)
 
     def rank(values, q):
-        # The sketch's inclusive rank: the least value with at least a share q of the values up to it.
-        values = sorted(values)
-        return next(v for k, v in enumerate(values, 1) if k / len(values) >= q - 1e-12)
+        return sorted(min(v, quality.LARGEST) * quality.STEPS // 1 for v in values)[math.ceil(len(values) * q) - 1] / quality.STEPS
 
     out = []
     for (d, group, c), bad, share in zip(counted, failed, shares):
         good = not bad
+        usual = next((groups[k] for k in (group, group[:1]) if len(groups.get(k, [])) >= quality.LEAST_GROUP), groups.get(()))
         for k, (name, least) in enumerate(quality.LEAST_SPAN.items()):
             if good:
-                values = [s[k] for s in groups[group]]
+                values = [s[k] for s in usual]
                 mid, high, low = rank(values, 0.5), rank(values, quality.USUAL), rank(values, 1 - quality.USUAL)
                 good = share[k] <= mid + quality.SPANS * max(high - mid, least)
                 if name in quality.TWO_SIDED:
@@ -86,3 +92,30 @@ def test_a_symbol_heavy_document_is_rejected_only_where_it_is_unusual(spark):
     docs = spark.createDataFrame(plain + tables + odd, "doc_id bigint, lang string, source string, text string, n int")
     kept = {r.doc_id for r in quality.quality_filter(docs).collect()}
     assert kept == {r[0] for r in plain + tables}
+
+
+def test_documents_agree_with_sql(spark):
+    rows = connect(SF_DIR).execute(
+        f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({OP10})"
+    ).fetchall()
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang", "source", "text")
+    assert verdicts(docs) == sorted(rows, key=str)
+
+
+def test_a_lone_document_does_not_set_its_own_fence(spark):
+    plain = [(k, "en", "prose", " ".join(f"w{k}x{j}" for j in range(30))) for k in range(40)]
+    lone = [(100, "en", "lone", "# " * 290 + " ".join(f"o{j}" for j in range(120))), (101, "xx", "far", "# " * 290 + " ".join(f"o{j}" for j in range(120)))]
+    docs = spark.createDataFrame(plain + lone, "doc_id bigint, lang string, source string, text string")
+    assert {r.doc_id for r in quality.quality_filter(docs).collect()} == set(range(40))
+
+
+def test_fences_of_a_large_group_are_the_same_in_every_run(spark):
+    """100,000 documents of one group, in two orders and partitionings."""
+    q = F.struct(
+        F.lit(1000).cast("bigint").alias("n_words"), (F.hash("id") % 3000 + 5000).cast("bigint").alias("word_chars"),
+        F.pmod(F.hash("id", F.lit(1)), F.lit(400)).cast("bigint").alias("n_symbols"), F.lit(0).cast("bigint").alias("n_dup_lines"),
+        F.lit(0).cast("bigint").alias("n_repeat_words"), F.lit(10).cast("bigint").alias("n_lines"),
+    ).alias("q")
+    rows = spark.range(100_000).select(F.lit("en").alias("lang"), F.lit("a").alias("source"), q)
+    first, again = (quality.fences(x).collect() for x in (rows.repartition(3), rows.orderBy(F.rand(3)).repartition(11)))
+    assert first == again and abs(first[0].symbol_share_high - (0.2 + 3 * 0.14)) < 0.02
