@@ -2,47 +2,46 @@
 
 from pyspark.sql import types as T
 
-_TYPES = {
-    "s": T.StringType(),
-    "d": T.DoubleType(),
-    "i": T.IntegerType(),
-    "t": T.TimestampNTZType(),
-}
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "timestamp_ntz": T.TimestampNTZType()}
 
 
-def _schema(spec: str) -> T.StructType:
-    """Schema from ``name:type`` words; the first column is the primary key."""
-    fields = []
-    for n, word in enumerate(spec.split()):
-        name, kind = word.split(":")
-        fields.append(T.StructField(name, _TYPES[kind], nullable=n > 0))
-    return T.StructType(fields)
+def _schema(ddl: str) -> T.StructType:
+    """Schema from DDL text, read without a session; the first column is the primary key."""
+    columns = [column.split() for column in ddl.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind], nullable=n > 0) for n, (name, kind) in enumerate(columns)])
 
 
 # Column names and types of the seven tables.
 TABLES: dict[str, T.StructType] = {
     "customers": _schema(
-        "customer_id:s name:s email:s company:s industry:s plan:s mrr:d signup_date:t country:s"
-        " employee_count:i health_score:d nps_score:i is_churned:i churn_date:t created_at:t"
+        "customer_id string, name string, email string, company string, industry string, plan string, "
+        "mrr double, signup_date timestamp_ntz, country string, employee_count int, health_score double, "
+        "nps_score int, is_churned int, churn_date timestamp_ntz, created_at timestamp_ntz"
     ),
     "transactions": _schema(
-        "txn_id:s customer_id:s amount:d currency:s txn_type:s product_id:s status:s txn_date:t"
+        "txn_id string, customer_id string, amount double, currency string, txn_type string, "
+        "product_id string, status string, txn_date timestamp_ntz"
     ),
     "engagement_events": _schema(
-        "event_id:s customer_id:s event_type:s channel:s session_duration:i event_date:t metadata:s"
+        "event_id string, customer_id string, event_type string, channel string, session_duration int, "
+        "event_date timestamp_ntz, metadata string"
     ),
     "support_tickets": _schema(
-        "ticket_id:s customer_id:s topic:s status:s priority:s sentiment_score:d opened_at:t resolved_at:t"
+        "ticket_id string, customer_id string, topic string, status string, priority string, "
+        "sentiment_score double, opened_at timestamp_ntz, resolved_at timestamp_ntz"
     ),
     "email_log": _schema(
-        "email_id:s customer_id:s email_type:s subject:s opened:i clicked:i sent_at:t"
+        "email_id string, customer_id string, email_type string, subject string, opened int, clicked int, "
+        "sent_at timestamp_ntz"
     ),
     "agent_actions": _schema(
-        "action_id:s customer_id:s action_type:s reason:s priority:i status:s outcome:s created_at:t"
-        " executed_at:t metadata:s urgency_score:d feedback_applied_at:t"
+        "action_id string, customer_id string, action_type string, reason string, priority int, "
+        "status string, outcome string, created_at timestamp_ntz, executed_at timestamp_ntz, "
+        "metadata string, urgency_score double, feedback_applied_at timestamp_ntz"
     ),
     "ml_predictions": _schema(
-        "prediction_id:s customer_id:s churn_score:d conversion_score:d segment:s ltv_estimate:d predicted_at:t"
+        "prediction_id string, customer_id string, churn_score double, conversion_score double, "
+        "segment string, ltv_estimate double, predicted_at timestamp_ntz"
     ),
 }
 
