@@ -426,15 +426,15 @@ SELECT a.action_id, a.customer_id, CASE WHEN {num('a.action_id')} % 10 = 9 THEN
 FROM agent_actions a JOIN customers c USING (customer_id) JOIN ml_predictions p USING (customer_id) JOIN context x USING (customer_id)""")
 
 _TIP = pick(
-    ("Reports can be exported in one step now.", "The dashboard has been rebuilt while you were away.",
-     "Three features most teams overlook take five minutes to learn."),
-    "CAST('0x' || substring(md5(customer_id), 1, 8) AS BIGINT) % 3",
+    ("Press the question mark on any page to see its shortcuts.", "Invoices can go to a second address.",
+     "What you delete stays in the bin for 30 days.", "Lists can be filtered by several people at once."),
+    "CAST('0x' || substring(md5(customer_id), 1, 8) AS BIGINT) % 4",
 )
 _BENEFITS = (
-    "CASE target WHEN 'Starter' THEN 'no project limit; faster support; shared workspaces'"
-    " WHEN 'Pro' THEN 'deeper analytics; your own integrations; guided onboarding'"
-    " WHEN 'Enterprise' THEN 'single sign-on; service levels; tailored contracts; your own success manager'"
-    " ELSE 'more room to grow' END"
+    "CASE target WHEN 'Starter' THEN 'nightly backups and a calendar view'"
+    " WHEN 'Pro' THEN 'a sandbox to try changes in and ten times the API calls'"
+    " WHEN 'Enterprise' THEN 'data kept in your region and a record of every change'"
+    " ELSE 'all that comes with it' END"
 )
 _YEARS = fixed("tenure_days::DOUBLE / 365::DOUBLE", 1)
 _URGENT = "avg_sentiment < (-0.5)::DOUBLE"
@@ -698,6 +698,18 @@ SELECT customer_id, CASE WHEN nps >= -90 THEN 'send_health_checkin' END AS actio
 FROM (SELECT *, CASE WHEN CAST(substring(customer_id, 2) AS BIGINT) % 50 <> 0 THEN nps_score END AS nps FROM customers)
 WHERE plan = 'Pro' AND nps < -50 OR nps IS NULL""")
 
+twin("batch_rule_candidates", "customers", """
+SELECT customer_id, CASE WHEN NOT bad THEN 'send_loyalty_reward' END AS action_type, CASE WHEN NOT bad THEN 'NPS ' || nps_score END AS reason,
+  2 AS priority, 'PB-001' AS rule_id, CASE WHEN bad THEN 'LookupError: no profile' END AS error
+FROM (SELECT *, customer_id IN ('C0000011', 'C0000042', 'C0000097') AS bad FROM customers)
+WHERE bad OR plan <> 'Free' AND nps_score > 60""")
+twin("rule_candidates_apart", "candidates enriched", """
+SELECT customer_id, action_type, reason, priority, rule_id, CAST(NULL AS VARCHAR) AS error FROM candidates
+UNION ALL
+SELECT customer_id, CASE WHEN days_since_last_event <> 0 THEN 'send_health_checkin' END, CASE WHEN days_since_last_event <> 0 THEN event_count_total || ' events' END,
+  2, 'OWN-001', CASE WHEN days_since_last_event = 0 THEN 'the condition cannot be computed' END
+FROM enriched WHERE days_since_last_event = 0 OR event_count_total::DOUBLE / nullif(days_since_last_event, 0)::DOUBLE > 0.5::DOUBLE""")
+
 _SETS = "SELECT customer_id, rule_id, priority, n_candidates, conflict, churn_score, ltv_estimate FROM sets"
 twin("fired_sets", "sets", _SETS)
 twin("fired_sets_from_candidates", "sets", _SETS)
@@ -707,21 +719,18 @@ _PLANS = (
 twin("passthrough_plans", "passthrough", f"{_PLANS} FROM passthrough")
 twin("review_candidates", "reviewed", "SELECT customer_id, n_candidates, conflict, churn_score, ltv_estimate FROM reviewed")
 _LINES = "string_agg('* ' || rule_id || ' proposes ' || action_type || ' at priority ' || priority || ': ' || reason, chr(10) ORDER BY rule_order)"
-_ASK = """Choose one of:
-- escalate_to_csm: a success manager takes over
-- send_retention_email: a personal offer to stay
-- send_reengagement_email: wake up a silent account
-- send_upgrade_offer: sell the next plan
-- enroll_nurture_sequence: a series of mails for prospects
-- proactive_support_call: plan a call by support
-- send_loyalty_reward: thank a loyal customer of high value
-- send_health_checkin: ask without pressure how it goes
-- no_action: all is well, leave the customer alone
-If proposals conflict, take the one with the highest impact.
-A high lifetime value at risk raises the priority.
-Do not escalate free customers of low revenue: write to them.
-Within the first 30 days rather nurture than retain.
-Answer as one JSON object and nothing else: action_type, reason, priority (1 to 5), confidence (0 to 1), notes."""
+_ASK = """Answer with one JSON object that has action_type, reason, priority (1 to 5), confidence (0 to 1) and notes.
+action_type is one of
+- escalate_to_csm: CHN-001 at priority 5
+- send_retention_email: CHN-002 at priority 4
+- send_reengagement_email: CHN-003 at priority 3
+- send_upgrade_offer: CNV-001 at priority 4, CNV-003 at priority 3
+- enroll_nurture_sequence: CNV-002 at priority 2
+- proactive_support_call: CHN-004 at priority 4
+- send_loyalty_reward: LYL-001 at priority 2
+- send_health_checkin: LYL-002 at priority 1
+- no_action: when no proposal fits
+Keep the proposal of the highest priority unless the figures above speak against its reason."""
 twin("decision_prompts", "reviewed candidates enriched", f"""
 SELECT customer_id, 'Customer ' || customer_id || chr(10) || 'Plan ' || plan || ', $' || {fixed('mrr', 2)} || ' a month, ' || tenure_days || ' days with us'
   || chr(10) || 'Segment ' || segment || ', health ' || {whole('health_score')} || ' of 100, NPS ' || nps_score
@@ -899,6 +908,23 @@ SELECT CASE WHEN churn_score < 0.3::DOUBLE THEN '<30%' WHEN churn_score <= 0.6::
 twin("outcome_distribution", "agent_actions",
      "SELECT outcome, count(*) AS actions FROM agent_actions WHERE status = 'executed' GROUP BY outcome")
 
+twin("pending_page", "agent_actions",
+     _plain("agent_actions", f"(SELECT * FROM agent_actions WHERE status = 'pending' {_URGENT_FIRST} LIMIT 2000)"))
+# What comes in a part is late by the newest time of the parts before it; of a repeated event the first to arrive in time counts.
+twin("streamed_rolling_counts", "engagement_events", """
+, numbered AS (SELECT event_id, customer_id, event_date, floor(date_diff('day', DATE '2024-01-01', event_date::DATE) / 12)
+    + CASE WHEN key % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN key % 17 = 3 THEN 4 ELSE 0 END AS part, key
+  FROM (SELECT *, CAST(substring(event_id, 2) AS BIGINT) AS key FROM engagement_events WHERE customer_id IS NOT NULL)),
+arrived AS (SELECT event_id, customer_id, event_date, part FROM numbered
+  UNION ALL SELECT event_id, customer_id, event_date + INTERVAL 1 DAY, part + 1 FROM numbered WHERE key % 7 = 0),
+newest AS (SELECT part, max(max(event_date)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM arrived GROUP BY part),
+timely AS (SELECT event_id, min_by(customer_id, part) AS customer_id, min_by(event_date, part) AS event_date FROM arrived JOIN newest USING (part)
+  WHERE before IS NULL OR event_date > before - INTERVAL 26 DAY GROUP BY event_id),
+days AS (SELECT customer_id, event_date::DATE AS day, count(*) AS events FROM timely GROUP BY ALL),
+spans AS (SELECT customer_id, events, CAST(unnest(range(day + 1, day + 31, INTERVAL 1 DAY)) AS TIMESTAMP) AS until FROM days)
+SELECT customer_id, strftime(until, '%Y-%m-%d %H:%M:%S') AS until, CAST(sum(events) AS BIGINT) AS event_count FROM spans GROUP BY customer_id, spans.until""".lstrip())
+twin("streamed_health_in_order", "customers agent_actions", _folded(
+    "(SELECT * FROM agent_actions WHERE status = 'executed' AND feedback_applied_at IS NULL)", "executed_at, action_id"))
 twin("streamed_health", "customers agent_actions", _folded(
     "(SELECT * FROM agent_actions WHERE status = 'executed' AND feedback_applied_at IS NULL)", "executed_at, action_id"))
 twin("streamed_event_counts", "engagement_events", f"""

@@ -46,7 +46,7 @@ def _limited(x: Column, floor: Column, ceiling: Column) -> Column:
     return F.least(ceiling, F.greatest(floor, x))
 
 
-def _composed(steps: Column) -> Column:
+def composed(steps: Column) -> Column:
     """One step that does what the steps of an array do one after the other."""
     start = F.struct(
         F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("floor"), F.lit(float("inf")).alias("ceiling")
@@ -76,9 +76,9 @@ def fold_steps(
     run = F.array_sort(F.collect_list(F.struct("place", "shift", "floor", "ceiling"))).alias("run")
     for _ in range(FOLD_LEVELS):
         grouped = folded.groupBy(*keys, F.expr(f"place DIV {FOLD_ROWS}").alias("next")).agg(run)
-        folded = grouped.select(*keys, F.col("next").alias("place"), _composed(F.col("run")).alias("step"))
+        folded = grouped.select(*keys, F.col("next").alias("place"), composed(F.col("run")).alias("step"))
         folded = folded.select(*keys, "place", "step.*")
-    whole = folded.groupBy(*keys).agg(run).select(*keys, _composed(F.col("run")).alias("step"))
+    whole = folded.groupBy(*keys).agg(run).select(*keys, composed(F.col("run")).alias("step"))
     return whole.select(*keys, "step.*")
 
 

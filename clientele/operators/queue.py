@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.functions import as_timestamp, days_before, literal_map, whole_days
+from clientele.operators.pages import ONE_TASK_ROWS, first_rows
 from clientele.schemas import COOLDOWN_DAYS, COOLDOWN_HORIZON_DAYS, DEFAULT_COOLDOWN_DAYS, TABLES
 from clientele.sources.tables import latest_predictions
 
@@ -85,13 +86,14 @@ def queue_rows(ready: DataFrame, as_of) -> DataFrame:
     )
 
 
-def _most_urgent(rows: DataFrame, limit: int) -> DataFrame:
-    return rows.orderBy(
+def _most_urgent(rows: DataFrame, limit: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    order = [
         F.col("urgency_score").desc_nulls_last(),
         F.col("priority").desc_nulls_last(),
         F.col("created_at").asc_nulls_first(),
         F.col("action_id").asc(),
-    ).limit(limit)
+    ]
+    return first_rows(rows, order, limit, "urgency_score", one_task_rows)
 
 
 def action_queue(
@@ -104,11 +106,9 @@ def action_queue(
     return _most_urgent(rows, checked_limit(limit))
 
 
-def pending_queue(actions: DataFrame, limit: int = 100) -> DataFrame:
-    """The most urgent pending actions, as many as asked for."""
-    if limit < 0:
-        raise ValueError("limit must not be negative")
-    return _most_urgent(actions.filter("status = 'pending'"), limit)
+def pending_queue(actions: DataFrame, limit: int = 100, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """The most urgent pending actions, as many as asked for; in order up to ``one_task_rows`` of them."""
+    return _most_urgent(actions.filter("status = 'pending'"), limit, one_task_rows)
 
 
 def queue_priorities(queue: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Business rules as column expressions: one pass over the customers, no shuffle."""
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -238,6 +240,123 @@ def evaluate_python_rule(
     return enriched.select(*names).mapInArrow(run, schema)
 
 
+_RULE_ROW = {
+    "customer_id": "string", "action_type": "string", "reason": "string", "priority": "int", "rule_id": "string",
+    "rule_order": "int", "triggered_by": "string", "context": "string", "error": "string",
+}
+_FROM_RULE = {"action_type": str, "reason": str, "priority": int, "triggered_by": str, "context": str}
+
+
+def evaluate_batch_rule(
+    enriched: DataFrame,
+    rule_id: str,
+    priority: int,
+    rule: Callable[[pd.DataFrame], pd.DataFrame | None],
+    columns: Sequence[str],
+    rule_order: int = 1000,
+) -> DataFrame:
+    """Candidates of a rule over pandas batches: vectorized, and still one bad row costs only itself.
+
+    ``rule`` sees a frame with customer_id and ``columns`` (whole numbers with nulls come as ``Int64``) and returns a frame with the index of
+    the rows that fire: ``action_type``, ``reason`` and optionally ``priority``, ``triggered_by`` and ``context``.
+    It must judge each row by itself, as batches are cut anywhere. Where it raises, or returns rows it was not given or values of another
+    type, the batch is halved until the row is alone; that row becomes an output row with ``error`` set. A batch with k such rows
+    of n is run about 2 k log2(n / k) times more.
+    """
+    names = ["customer_id", *[n for n in columns if n != "customer_id"]]
+    arrow = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in _RULE_ROW.items()])
+    rule_kinds = dict(_FROM_RULE)
+    whole_types = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+
+    def fired(part: pd.DataFrame) -> list[dict]:
+        result = rule(part.copy())
+        if result is None or not len(result):
+            return []
+        if not result.index.is_unique or not result.index.isin(part.index).all():
+            raise ValueError("the rule returned rows it was not given")
+        rows = []
+        for at, values in zip(result.index, result.to_dict("records")):
+            row = {
+                "customer_id": part.at[at, "customer_id"], "action_type": None, "reason": None, "priority": priority,
+                "rule_id": rule_id, "rule_order": rule_order, "triggered_by": "{}", "context": "{}", "error": None,
+            }
+            for name, value in values.items():
+                if name not in rule_kinds:
+                    raise TypeError(f"{name} is no column of a candidate")
+                value = value.item() if hasattr(value, "item") else value
+                if value is not None and value == value:
+                    if type(value) is not rule_kinds[name]:
+                        raise TypeError(f"{name} is {type(value).__name__}")
+                    row[name] = value
+            rows.append(row)
+        return rows
+
+    def halved(part: pd.DataFrame) -> list[dict]:
+        rows, waiting = [], [part]
+        while waiting:
+            now = waiting.pop()
+            try:
+                rows += fired(now)
+            except Exception as error:  # one bad row must not end the job
+                if len(now) == 1:
+                    rows.append({
+                        "customer_id": now["customer_id"].iloc[0], "action_type": None, "reason": None, "priority": priority, "rule_id": rule_id,
+                        "rule_order": rule_order, "triggered_by": "{}", "context": "{}", "error": f"{type(error).__name__}: {error}",
+                    })
+                else:
+                    waiting += [now.iloc[len(now) // 2 :], now.iloc[: len(now) // 2]]
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pylist(halved(batch.to_pandas(types_mapper=whole_types.get)), arrow)
+
+    return enriched.select(*names).mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in _RULE_ROW.items()))
+
+
+@contextmanager
+def _null_for_errors(df: DataFrame):
+    """Expressions analyzed here give null where they would end the job (a division by zero, a cast of a wrong text, an overflow)."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.ansi.enabled")
+    conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        conf.set("spark.sql.ansi.enabled", before)
+
+
+def evaluate_rules_apart(enriched: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """As :func:`evaluate_rules`, with an ``error`` column: a rule that fails on a row costs that row and rule, not the job.
+
+    Rules are analyzed so that a failing expression is null. A rule that cannot tell on a row (its condition is null although the columns
+    in its ``signals`` are not), or that fires with a reason or context it cannot form, gives a row with ``error`` and no action. A
+    condition that is null because a signal is null does not fire, as always. All other rules of the row are not touched.
+    """
+    rules = REGISTRY if rules is None else rules
+    with _null_for_errors(enriched):
+        judged = [
+            F.struct(
+                rule.when().alias("fires"),
+                (rule.when().isNull() & F.concat(*[F.col(s).cast("string") for s in rule.signals]).isNotNull()).alias("unknown"),
+                rule.reason().alias("reason"),
+                F.lit(rule.action_type).alias("action_type"),
+                F.lit(rule.priority if rule.emits is None else rule.emits).alias("priority"),
+                F.lit(rule.rule_id).alias("rule_id"), F.lit(order).alias("rule_order"),
+                F.to_json(F.struct(*rule.signals)).alias("triggered_by"),
+                (F.to_json(F.struct(*[make().alias(n) for n, make in rule.context.items()])) if rule.context else F.lit("{}")).alias("context"),
+            )
+            for order, rule in enumerate(rules)
+        ]
+        rows = enriched.select("customer_id", F.inline(F.filter(F.array(*judged), lambda x: x["fires"] | x["unknown"])))
+    error = F.when(F.col("unknown"), "the condition cannot be computed").when(F.col("reason").isNull(), "the reason cannot be computed")
+    return rows.withColumn("error", error).select(
+        "customer_id", F.when(error.isNull(), F.col("action_type")).alias("action_type"), F.when(error.isNull(), F.col("reason")).alias("reason"),
+        "priority", "rule_id", "rule_order", "triggered_by", "context", "error",
+    )
+
+
 def priority_mismatches(candidates: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Rules whose candidates carry another priority than the registry states."""
     rules = REGISTRY if rules is None else rules

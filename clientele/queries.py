@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,7 @@ from clientele.sources.merge import replace_pending, upsert_by_key
 from clientele.sources.tables import conform, latest_predictions, load_table
 from clientele.streaming.engagement import daily_counts, rolling_counts, start_engagement
 from clientele.streaming.feedback import current_health, start_feedback
+from clientele.streaming.windows import append_to, appended, ordered_health, ordered_steps, rolling_event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -497,6 +499,34 @@ def python_rule_candidates(spark, sf_dir):
     return rows.select("customer_id", "action_type", "reason", "priority", "rule_id", "error")
 
 
+@query
+def batch_rule_candidates(spark, sf_dir):
+    """A rule over pandas batches that raises whenever one of three customers is in the batch."""
+    missing = [f"C{n:07d}" for n in (11, 42, 97)]
+
+    def promoters(part):
+        if part["customer_id"].isin(missing).any():
+            raise LookupError("no profile")
+        hit = part[(part["plan"] != "Free") & (part["nps_score"] > 60)]
+        return pd.DataFrame({"action_type": "send_loyalty_reward", "reason": "NPS " + hit["nps_score"].astype(str)}, index=hit.index)
+
+    rows = rul.evaluate_batch_rule(_people(spark, sf_dir), "PB-001", 2, promoters, ["plan", "nps_score"])
+    return rows.select("customer_id", "action_type", "reason", "priority", "rule_id", "error")
+
+
+@query
+def rule_candidates_apart(spark, sf_dir):
+    """The registry and a rule that divides by the days since the last event, which are 0 for some."""
+    busy = rul.Rule(
+        "OWN-001", 2, "send_health_checkin",
+        when=lambda: F.col("event_count_total") / F.col("days_since_last_event") > 0.5,
+        reason=lambda: F.concat(F.col("event_count_total").cast("string"), F.lit(" events")),
+        signals=("event_count_total", "days_since_last_event"),
+    )
+    rows = rul.evaluate_rules_apart(_enriched(spark, sf_dir), [*rul.REGISTRY, busy])
+    return rows.select("customer_id", "action_type", "reason", "priority", "rule_id", "error")
+
+
 # ── plans ────────────────────────────────────────────────────────────────────
 
 
@@ -612,6 +642,12 @@ def pending_queue(spark, sf_dir):
     return que.pending_queue(_actions(spark, sf_dir), 100)
 
 
+@query
+def pending_page(spark, sf_dir):
+    """A page that is cut by ranges instead of one task's top-k."""
+    return que.pending_queue(_actions(spark, sf_dir), 2000, one_task_rows=100)
+
+
 @query
 def decision_cycle_summary(spark, sf_dir):
     return cycle_summary(_cycle(spark, sf_dir), AS_OF)
@@ -1003,3 +1039,50 @@ def streamed_event_counts(spark, sf_dir):
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
         start_engagement(stream, state).awaitTermination()
     return rolling_counts(daily_counts(spark, state), AS_OF)
+
+
+def _arrivals(spark, rows, row_id, time, end, days, first, very_late):
+    """Writes ``rows`` part by part, ``days`` days each, and returns the folder after each of them.
+
+    A tenth arrives one part late, a seventh once more in the part after its own, under the next day. Of those whose key leaves 3 by 17 and
+    that are ``very_late`` all arrive four parts late. The last part moves the watermark past everything.
+    """
+    source = scratch_path(spark, "arrivals")
+    key = _key(row_id)
+    own = F.floor(F.datediff(time, F.lit(first)) / days) + F.when(key % 10 == 0, 1).otherwise(0)
+    own = own + (F.when(key % 17 == 3, 4).otherwise(0) if very_late else F.lit(0))
+    numbered = rows.withColumn("part", own)
+    again = numbered.filter(key % 7 == 0).withColumns({"part": F.col("part") + 1, time: F.col(time) + F.expr("INTERVAL 1 DAY")})
+    every = stored(numbered.unionByName(again), "numbered")
+    for part in sorted(r["part"] for r in every.select("part").distinct().collect()):
+        every.filter(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        yield source
+    last = {row_id: F.lit("end"), "customer_id": F.lit("-"), time: F.lit(end).cast("timestamp_ntz")}
+    spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).write.mode("append").parquet(source)
+    yield source
+
+
+@query
+def streamed_rolling_counts(spark, sf_dir):
+    """Sliding windows of 30 days over event time; rows are late, too late, out of order and repeated under another day."""
+    events = crm_table(spark, sf_dir, "engagement_events").select("event_id", "customer_id", "event_date").filter("customer_id IS NOT NULL")
+    state = scratch_path(spark, "rolling")
+    for source in _arrivals(spark, events, "event_id", "event_date", "2025-01-01", 12, "2024-01-01", very_late=True):
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        append_to(rolling_event_counts(stream, delay="26 days"), state).awaitTermination()
+    return appended(spark, state).filter("customer_id <> '-'")
+
+
+@query
+def streamed_health_in_order(spark, sf_dir):
+    """Outcomes that arrive late, out of order and again under another day, in a stream that is started anew for each part."""
+    executed = _actions(spark, sf_dir).filter("status = 'executed' AND feedback_applied_at IS NULL").select(
+        "action_id", "customer_id", "outcome", "executed_at"
+    )
+    state = scratch_path(spark, "ordered")
+    for source in _arrivals(spark, executed, "action_id", "executed_at", "2025-01-01", 10, "2024-01-01", very_late=False):
+        stream = spark.readStream.schema(executed.schema).parquet(source)
+        append_to(ordered_steps(stream, delay="30 days"), state).awaitTermination()
+    return ordered_health(spark, _people(spark, sf_dir), state).select(
+        "customer_id", half_even(F.col("health_score"), 6).alias("health_score")
+    )

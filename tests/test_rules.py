@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,50 @@ def test_python_rule_sees_whole_numbers_and_none_and_wrong_types_are_errors(spar
     got = {r["customer_id"]: r for r in rul.evaluate_python_rule(rows, "P", 2, rule, ["nps_score"]).collect()}
     assert (got["A"]["reason"], got["B"]["reason"]) == ("NPS 5", "NPS None")
     assert got["C"]["error"] == "TypeError: priority is str" and got["C"]["action_type"] is None
+
+
+def test_batch_rule_isolates_the_rows_that_fail(spark):
+    calls = []
+    data = spark.createDataFrame([(f"C{k:03d}", k if k % 5 else None, "Pro") for k in range(400)], "customer_id string, nps_score int, plan string").coalesce(1)
+
+    def rule(part):
+        if part["customer_id"].isin(["C007", "C100", "C399"]).any():
+            raise ValueError("bad row")
+        hit = part[part["nps_score"] > 390]
+        return pd.DataFrame({"action_type": "x", "reason": "NPS " + hit["nps_score"].astype(str), "priority": 3}, index=hit.index)
+
+    got = {r["customer_id"]: r for r in rul.evaluate_batch_rule(data, "B", 1, rule, ["nps_score", "plan"]).collect()}
+    assert {c for c, r in got.items() if r["error"]} == {"C007", "C100", "C399"}
+    assert got["C007"]["error"] == "ValueError: bad row" and got["C007"]["action_type"] is None
+    assert {c for c, r in got.items() if not r["error"]} == {f"C{k}" for k in range(391, 399) if k % 5}
+    assert got["C391"]["reason"] == "NPS 391" and got["C391"]["priority"] == 3 and calls == []
+
+
+def test_batch_rule_results_of_another_shape_are_errors(spark):
+    data = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "customer_id string, nps_score int")
+
+    def rule(part):
+        out = pd.DataFrame({"action_type": "x", "reason": "y"}, index=part.index)
+        if (part["nps_score"] == 2).any():
+            out["priority"] = "high"
+        return out.rename(index={part.index[0]: 99}) if (part["nps_score"] == 3).any() else out
+
+    got = {r["customer_id"]: r["error"] for r in rul.evaluate_batch_rule(data, "B", 1, rule, ["nps_score"]).collect()}
+    assert got["A"] is None and got["B"] == "TypeError: priority is str" and got["C"].startswith("ValueError")
+    assert rul.evaluate_batch_rule(data, "B", 1, lambda part: None, ["nps_score"]).collect() == []
+    assert rul.evaluate_batch_rule(data.limit(0), "B", 1, rule, ["nps_score"]).collect() == []
+
+
+def test_a_failing_column_rule_costs_a_row_and_not_the_job(spark):
+    own = [
+        rul.Rule("R-1", 2, "a", lambda: F.col("x") / F.col("y") > 1, lambda: F.lit("ratio"), ("x", "y")),
+        rul.Rule("R-2", 3, "b", lambda: F.col("x") > 0, lambda: F.concat(F.lit("n "), F.col("t").cast("int").cast("string")), ("x", "t")),
+    ]
+    data = spark.createDataFrame([("A", 4, 2, "7"), ("B", 4, 0, "x"), ("C", None, 0, "7"), ("D", 1, 2, "8")], "customer_id string, x int, y int, t string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    got = {(r["customer_id"], r["rule_id"]): (r["action_type"], r["reason"], r["error"]) for r in rul.evaluate_rules_apart(data, own).collect()}
+    assert got == {
+        ("A", "R-1"): ("a", "ratio", None), ("A", "R-2"): ("b", "n 7", None), ("B", "R-1"): (None, None, "the condition cannot be computed"),
+        ("B", "R-2"): (None, None, "the reason cannot be computed"), ("D", "R-2"): ("b", "n 8", None),
+    }
+    assert spark.conf.get("spark.sql.ansi.enabled") == before

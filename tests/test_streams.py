@@ -4,7 +4,8 @@ from clientele.operators.feedback import apply_health
 from clientele.sources.driver_tables import AS_OF, crm_table
 from clientele.streaming.engagement import compact_daily, daily_counts, rolling_counts, start_engagement
 from clientele.streaming.feedback import current_health, start_feedback
-from tests.conftest import SF_DIR
+from clientele.streaming.windows import append_to, appended, ordered_health, ordered_steps, rolling_event_counts
+from tests.conftest import SF_DIR, at
 
 
 def health(df):
@@ -50,3 +51,39 @@ def test_late_events_are_counted(spark, tmp_path):
     assert daily.agg(F.sum("events")).first()[0] == events.count()
     expected = events.filter("event_date >= '2024-01-11'").groupBy("customer_id").count().collect()
     assert {(r[0], r[1]) for r in rolling_counts(daily, AS_OF).collect()} == {(r[0], r[1]) for r in expected}
+
+
+def run_parts(spark, path, schema, parts, stream):
+    """One run of the stream for each part that arrives, each from the checkpoint of the one before."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        append_to(stream(spark.readStream.schema(schema).parquet(f"{path}/in")), f"{path}/state").awaitTermination()
+    return appended(spark, f"{path}/state")
+
+
+def test_rolling_windows_drop_what_is_too_late_and_count_copies_once(spark, tmp_path):
+    parts = [
+        [("E1", "A", at(1, 5)), ("E2", "A", at(3, 6)), ("E3", None, at(3)), (None, "A", at(3))],
+        [("E1", "A", at(2, 5)), ("E4", "A", at(2, 7)), ("E5", "B", at(6))],  # a copy under another day, and a late one in time
+        [("E6", "A", at(1, 1)), ("E7", "B", at(7))],  # older than the newest of before by more than the delay
+        [("end", "-", at(28, month=12))],
+    ]
+    rows = run_parts(
+        spark, str(tmp_path), "event_id string, customer_id string, event_date timestamp_ntz", parts,
+        lambda s: rolling_event_counts(s, "4 days", "2 days", "1 day"),
+    )
+    got = {(r["customer_id"], r["until"].day): r["event_count"] for r in rows.filter("customer_id <> '-'").collect()}
+    assert got == {("A", 2): 1, ("A", 3): 2, ("A", 4): 2, ("A", 5): 1, ("B", 7): 1, ("B", 8): 2, ("B", 9): 1}
+
+
+def test_outcomes_in_event_order_with_copies_under_another_day(spark, frame, tmp_path):
+    people = frame("customers", [dict(customer_id="A", health_score=98.0), dict(customer_id="B", health_score=1.0)])
+    schema = "action_id string, customer_id string, outcome string, executed_at timestamp_ntz"
+    first, second = ("1", "A", "call_completed_churned", at(2, 10)), ("2", "A", "upgraded", at(2, 9))  # clamped at 100 first, then down
+    parts = [
+        [first, ("3", "B", "unsubscribed", at(3))],
+        [second, (first[0], first[1], first[2], at(3, 10)), ("4", "B", "upgraded", at(4)), ("5", "B", "unknown", at(4))],
+        [("end", "-", "unknown", at(28, month=12))],
+    ]
+    run_parts(spark, str(tmp_path), schema, parts, lambda s: ordered_steps(s, "10 days"))
+    assert health(ordered_health(spark, people, str(tmp_path / "state"))) == {"A": 90.0, "B": 10.0}

@@ -25,9 +25,9 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 205
 
 
-SCALABLE = sorted(set(ORACLE_SQL) - {"python_rule_candidates", "streamed_health", "streamed_event_counts"})
+SCALABLE = sorted(n for n in ORACLE_SQL if n not in ("python_rule_candidates", "batch_rule_candidates") and not n.startswith("streamed_"))
 # One row per segment, cluster or result column reaches these windows and aggregates.
-SMALL_WINDOWS = {"segment_counts", "cluster_profiles"}
+SMALL_WINDOWS = {"segment_counts", "cluster_profiles", "segment_model_report"}
 
 
 @pytest.mark.parametrize("name", SCALABLE)
