@@ -1,4 +1,7 @@
-"""Passages that stand earlier in the corpus: suffix trees over word suffixes, split by variable-length prefixes.
+"""Passages that stand earlier in the corpus: word suffixes split by variable-length prefixes, and their nodes at the depth of a window.
+
+The subtrees themselves are not built: below a prefix only the node at the depth of a window is looked up, by a hash of its path. Real
+subtrees need the words behind every suffix in its group, some twenty times what is sent now, which the disk does not hold.
 
 A window of ``WINDOW`` words is a repeat if the same words also start earlier (in a smaller document, or
 earlier in this one). All suffixes of all documents would be one huge tree; three steps keep to the parts that matter.
@@ -8,8 +11,8 @@ earlier in this one). All suffixes of all documents would be one huge tree; thre
    only once lies on a path without a branch, and is left out.
 2. *Groups.* The suffixes of the other windows are split by their first ``PREFIX`` words, and by all words of the window where
    that prefix is too frequent for one group. The number of groups follows the size of the texts.
-3. *Subtrees.* Within a group, suffixes with the same path down to the depth of a window share a deep internal node.
-   The first one in document order stays; at all others a repeat starts. Runs of such starts are the maximal repeats.
+3. *Nodes.* Within a group, suffixes with the same path down to the depth of a window share a deep internal node.
+   The first one in document order stays; at all others a repeat starts. A run of neighbouring starts is a passage that stands earlier.
 
 Tasks combine before the shuffle: of the suffixes of one node a task sends only its first, since the others have
 an earlier one already. So a passage that stands in a third of all documents is one suffix per task. The same
@@ -209,7 +212,7 @@ def _repeat_starts(candidates: DataFrame, buckets: int, heavy: np.ndarray) -> Da
             yield flushed()
 
     def grown(frame: pd.DataFrame) -> pd.DataFrame:
-        """The subtrees of one group: places that share a node with an earlier one."""
+        """The nodes of one group: places that share one with an earlier place."""
         paths, ids, keys, places, known = [], [], [], [], []
         for _, row in frame.iterrows():
             runs = unpack(row["runs"], np.uint32)
@@ -243,10 +246,13 @@ def covered_words(starts: np.ndarray, count: int) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Per document doc_id, n_words, n_removed, kept_text (the words left, joined by one space) and spans, the maximal repeats.
+    """Per document doc_id, n_words, n_removed, kept_text (the words left, joined by one space) and spans.
+
+    A span is a run of words of which every window stands earlier, as long as possible: two passages side by side are two spans, unless the
+    windows across their border stand earlier too.
 
     A null text has no words; texts shorter than a window lose none; a null doc_id comes after all others. Rows equal in doc_id and text are one document:
-    they lose the same words, and none to each other. Rows that share a doc_id only are ordered by a hash. An empty table gives an empty result.
+    they lose the same words, and none to each other. Very long texts are read whole. Rows that share a doc_id only are ordered by a hash. An empty table gives an empty result.
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -269,9 +275,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 if starts:
                     places = np.unique(np.frombuffer(starts, np.uint32)).astype(np.int64)
                     gone = covered_words(places, len(words))
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
                     left = [w for w, g in zip(words, gone.tolist()) if not g]
-                    spans = [{"start": int(a), "n_words": int(b - a)} for a, b in edges]
+                    runs = np.split(places, np.flatnonzero(np.diff(places) > 1) + 1)
+                    spans = [{"start": int(run[0]), "n_words": int(run[-1] - run[0]) + WINDOW} for run in runs]
                 else:
                     left, spans = words, []
                 rows.append({"doc_id": doc_id, "n_words": len(words), "n_removed": len(words) - len(left), "kept_text": b" ".join(left), "spans": spans})

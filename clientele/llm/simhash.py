@@ -29,6 +29,7 @@ SHINGLE_WORDS = 3
 DISTANCE = 3
 SEED = 42
 BUCKET_VARIANTS = 2_000_000
+TASK_VARIANTS = 5_000_000
 CHUNK = 4096
 
 
@@ -143,7 +144,9 @@ def close_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """From distinct fingerprints (fp, stored) to links (a, b) that connect exactly those that distances up to ``distance`` connect."""
     emissions = prints.count() * sum(len(masks(distance, odd)[0]) for odd in (False, True)) // 2
     buckets = max(1, -(-emissions // BUCKET_VARIANTS))
-    sent = prints.select("fp").mapInArrow(_emit(distance, buckets), "bucket int, variants binary, flips binary")
+    # Few fingerprints make many variants: as many tasks as these need.
+    dealt = prints.select("fp").repartition(max(1, -(-emissions // TASK_VARIANTS)))
+    sent = dealt.mapInArrow(_emit(distance, buckets), "bucket int, variants binary, flips binary")
     return sent.groupBy("bucket").applyInPandas(_meet(distance), "a bigint, b bigint")
 
 
@@ -159,7 +162,7 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = D
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
     """Per document doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of its group.
 
-    Null and empty texts have fingerprint zero and link like any other; a null doc_id counts for a group only if it has
+    Null and empty texts have fingerprint zero and link like any other; very long texts are hashed whole; a null doc_id counts for a group only if it has
     no other; repeated rows come back as often as they are there; an empty table gives an empty result.
     """
     grouped = kept(near_groups(docs.select("doc_id", "text"), shingle, distance), "near_groups")

@@ -27,6 +27,8 @@ FILTERS = 8
 EPOCHS, LEAST_STEPS = 4, 1000
 BATCH_DOCS = 32
 RATE = 0.1
+# So many labelled ids (8 bytes each) may be sent to all tasks.
+BROADCAST_KEYS = 500_000
 CHUNK_WORDS = 200_000
 # Scores are counted in steps of 1 / BINS, up to 2 * MOST_BINS of them.
 BINS, MOST_BINS = 64, 2**15
@@ -253,21 +255,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def _counted(docs: DataFrame, usable: DataFrame, trained: list[int], model: Model) -> list:
+def _counted(docs: DataFrame, usable: DataFrame, trained: list[int], model: Model, few: bool) -> list:
     """(lang, toxic, bin, n) over all labelled documents but the held-out and the ``trained`` ones."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(vars(model))  # plain arrays: workers may lack this module
 
     def valued(batches):
-        rows, own = _Rows(), sent.value
+        rows, own = _Rows(), Model(**sent.value)
         for batch in batches:
             values = text_logits(batch.column("text").to_pylist(), own, rows)
             bins = np.clip(np.floor(values * BINS), -MOST_BINS, MOST_BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(bins, pa.int32())], names=["doc_id", "lang", "bin"])
 
-    # At most twice SAMPLE_PER_CLASS ids. Texts are scored before the join, so that no text is shuffled.
+    # At most twice SAMPLE_PER_CLASS ids.
     left_out = F.broadcast(spark.createDataFrame([(i,) for i in trained], "doc_id bigint"))
     rows = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(left_out, "doc_id", "left_anti")
+    if few:
+        rows = rows.join(F.broadcast(usable.select("doc_id")), "doc_id", "left_semi")
+    # With more labels all texts are scored before the join, so that no text is shuffled.
     rows = rows.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).mapInArrow(valued, "doc_id bigint, lang string, bin int")
     found = rows.join(usable, "doc_id").groupBy("lang", "toxic", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
     sent.unpersist()
@@ -280,7 +285,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
+    docs = docs.select("doc_id", "lang", "text")
     counts = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = sum(counts.values()) <= BROADCAST_KEYS
     chosen = None
     for label in (0, 1):
         first = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
@@ -303,9 +310,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
     toxic = np.array([r.toxic for r in found], dtype=np.int64)
     model, trained = fit(words, toxic)
     if model.constant is None:
-        bins = _counted(docs, usable, sorted({found[k].doc_id for k in trained}), model)
+        bins = _counted(docs, usable, sorted({found[k].doc_id for k in trained}), model, few)
         if {r.toxic for r in bins} != {0, 1}:
-            bins = _counted(docs, usable, [], model)
+            bins = _counted(docs, usable, [], model, few)
         bins = [r for r in bins if r.toxic in (0, 1)]
         own, at, n = (np.array([r[name] for r in bins], dtype=np.int64) for name in ("toxic", "bin", "n"))
         calibrate(model, [r.lang for r in bins], own, at, n, counts)
@@ -316,12 +323,13 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Per document doc_id, held_out, score, predicted (score >= 0.5), its language's threshold and ``flagged`` by it.
 
     Empty and null texts get the score of a text without words. A language without both labels has the threshold 0.5.
-    Repeated rows are scored alike; an empty table gives an empty result.
+    Repeated rows are scored alike, equal texts too; very long texts are read whole; other columns are not looked at; an empty table
+    gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def scored(batches):
-        rows, own = _Rows(), sent.value
+        rows, own = _Rows(), Model(**sent.value)
         for batch in batches:
             result = scores(batch.column("text").to_pylist(), own, rows)
             limits = np.array([own.thresholds.get(lang, 0.5) for lang in batch.column("lang").to_pylist()], dtype=np.float64)

@@ -26,7 +26,8 @@ def plain(rows):
 def result(docs):
     out = repeats.without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text", "spans").collect()
     for r in out:
-        assert sum(s.n_words for s in r.spans) == r.n_removed and all(s.n_words >= 20 for s in r.spans)
+        covered = {k for s in r.spans for k in range(s.start, s.start + s.n_words)}
+        assert len(covered) == r.n_removed and all(s.n_words >= 20 for s in r.spans)
     return sorted((tuple(r)[:4] for r in out), key=str)
 
 
@@ -61,3 +62,28 @@ def test_sliding(width):
     values = np.random.default_rng(1).integers(0, 50, 40)
     assert repeats.sliding(values, width, np.minimum).tolist() == [values[k : k + width].min() for k in range(41 - width)]
     assert len(repeats.sliding(values[: width - 1], width, np.minimum)) == 0
+
+
+def test_spans_are_runs_of_windows_that_stand_earlier(spark):
+    """Against all windows; two passages side by side are two spans, as the words across their border stand nowhere earlier."""
+    rng = random.Random(6)
+    a, b, c = ([f"{name}{rng.randrange(1000)}" for _ in range(30)] for name in "abc")
+    rows = [(1, " ".join(a)), (2, "x " + " ".join(b)), (3, " ".join([*c, "y", *a[:25]])), (4, " ".join(["z", *a, *b, *c[:19], "v", *c])), (5, " ".join(a + b))]
+    got = {r.doc_id: [(s.start, s.n_words) for s in r.spans] for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    seen, expected = set(), {}
+    for d, text in rows:
+        words = text.split()
+        starts = []
+        for k in range(len(words) - 19):
+            window = tuple(words[k : k + 20])
+            if window in seen:
+                starts.append(k)
+            seen.add(window)
+        spans = []
+        for k in starts:
+            if spans and spans[-1][0] + spans[-1][1] - 19 == k:
+                spans[-1][1] += 1
+            else:
+                spans.append([k, 20])
+        expected[d] = [tuple(x) for x in spans]
+    assert got == expected and got[4] == [(1, 30), (31, 30), (81, 30)] and got[5] == [(0, 60)]
