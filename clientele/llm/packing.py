@@ -33,12 +33,16 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 24
+# So many generations without a sequence less end an epoch.
+PATIENCE = 8
 ROUNDS = 2
 WELL_FILLED = 0.97
 SEED = 7
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 GROUP_BYTES = 2_000_000
-_PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+_MARKS = b".,;:!?"
+# Letters of Latin-1 in UTF-8: they have no other composed form, and neither the cross nor the division sign is one.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -52,10 +56,24 @@ def tokenizer_text(path: str | None = None) -> str:
         return file.read()
 
 
+class _Numbers(dict):
+    """Words numbered as they come; ``new`` holds those that nobody has looked at yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Token ids of texts (UTF-8). No token spans a blank, so each word is encoded once and looked up afterwards.
 
-    A word of ASCII letters with marks behind it is cut there, as the tokenizer does itself; the parts are far fewer than the words.
+    A word of Latin letters with marks behind it is cut there, as the tokenizer does itself; the parts are far fewer than the words, and
+    are encoded many at a time.
     """
 
     def __init__(self, text: str):
@@ -66,51 +84,68 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self._words: dict[bytes, int] = {}
+        self._words, self._parts = _Numbers(), _Numbers()
         self._halves = np.zeros((0, 2), dtype=np.int64)
         # Part 0 is empty.
-        self._parts: dict[bytes, int] = {b"": 0}
+        self._parts[b""] = 0
         self._starts = np.zeros(2, dtype=np.int64)
         self._ids = np.empty(0, dtype=np.uint32)
 
-    def _add(self, parts: list[bytes], sizes: np.ndarray, ids: np.ndarray):
-        known = len(self._parts)
-        self._parts.update(zip(parts, range(known, known + len(parts))))
-        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
-        self._ids = np.concatenate([self._ids, ids])
-
-    def _learn(self, words: list[bytes]):
-        cut = [_PLAIN.fullmatch(word) for word in words]
-        plain = list({part: None for m in cut if m for part in (m[1].lower(), m[2]) if part not in self._parts})
-        for k in range(0, len(plain), 5000):
-            some = plain[k : k + 5000]
-            ids = self._tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids
-            ids = np.array(ids, dtype=np.uint32)
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of new parts. Whole words (a blank before them) are encoded one by one, plain parts as one text."""
+        whole = np.fromiter((part[:1] == b" " for part in parts), dtype=bool, count=len(parts))
+        sizes = np.zeros(len(parts), dtype=np.int64)
+        plain, other, found = np.flatnonzero(~whole), np.flatnonzero(whole), []
+        for at in range(0, len(plain), 5000):
+            some = plain[at : at + 5000]
+            text = b" ".join([parts[k] for k in some.tolist()]).decode()
+            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             last = np.flatnonzero(self._ends[ids])
             assert len(last) == len(some)
-            self._add(some, np.diff(last, prepend=-1), ids)
-        other = [word for word, m in zip(words, cut) if not m]
-        if other:
-            found = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(sizes.sum()))
-            # A word that is no plain one is a part by a name that no plain part has.
-            self._add([b" " + w for w in other], sizes, flat)
-        halves = [(self._parts[m[1].lower()], self._parts[m[2]]) if m else (self._parts[b" " + w], 0) for w, m in zip(words, cut)]
-        known = len(self._words)
-        self._words.update(zip(words, range(known, known + len(words))))
-        self._halves = np.concatenate([self._halves, np.array(halves, dtype=np.int64)])
+            sizes[some] = np.diff(last, prepend=-1)
+            found.append(ids)
+        one_by_one = self._tokenizer.encode_batch_fast([parts[k][1:].decode() for k in other.tolist()], add_special_tokens=False)
+        lists = [e.ids for e in one_by_one]
+        sizes[other] = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        found.append(np.array([i for ids in lists for i in ids], dtype=np.uint32))
+        # Plain parts first, then the others: back to the order of their numbers.
+        order = np.concatenate([plain, other])
+        starts, own = np.cumsum(sizes) - sizes, sizes[order]
+        ids = np.empty(int(sizes.sum()), dtype=np.uint32)
+        ids[np.repeat(starts[order] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = np.concatenate(found)
+        return sizes, ids
+
+    def _learn(self):
+        """The parts of all new words."""
+        number, halves = self._parts.__getitem__, []
+        for word in self._words.new:
+            letters = word.rstrip(_MARKS)
+            if letters.isalpha():
+                halves += (number(letters.lower()), number(word[len(letters) :]))
+            elif letters and _LATIN.fullmatch(letters):
+                halves += (number(letters.decode().lower().encode()), number(word[len(letters) :]))
+            else:
+                # By a name that no plain part has.
+                halves += (number(b" " + word), 0)
+        self._words.new = []
+        sizes, ids = self._encoded(self._parts.new)
+        self._parts.new = []
+        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
+        self._ids = np.concatenate([self._ids, ids])
+        self._halves = np.concatenate([self._halves, np.array(halves, dtype=np.int64).reshape(-1, 2)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self._words) > CACHE_WORDS:
             self._clear()
-        split = [text.split() for text in texts]
-        new = list({w: None for words in split for w in words if w not in self._words})
-        if new:
-            self._learn(new)
+        number = self._words.__getitem__
+        numbered = []
+        for text in texts:
+            words = text.split()
+            numbered.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
+        if self._words.new:
+            self._learn()
         done = []
-        for words in split:
-            numbers = np.fromiter(map(self._words.__getitem__, words), dtype=np.int64, count=len(words))
+        for numbers in numbered:
             parts = self._halves[numbers].ravel()
             starts = self._starts[parts]
             sizes = self._starts[parts + 1] - starts
@@ -273,13 +308,16 @@ def evolve(population: list[Packing], random: np.random.Generator, generations:
     # Pieces of over half a sequence need one each.
     least = max(least, int((first.sizes * 2 > first.length).sum()))
     population = sorted(population, key=lambda p: p.fitness, reverse=True)
+    idle = 0
     for _ in range(generations):
-        if len(population[0].fill) <= least:
+        if len(population[0].fill) <= least or idle == PATIENCE:
             break
+        best = len(population[0].fill)
         a, b = sorted(random.choice(len(population), size=2, replace=len(population) < 2).tolist())
         child = crossover(population[a], population[b], random) if a != b else mutated(population[a], random)
         child = max(child, mutated(child, random), key=lambda p: p.fitness)
         population = sorted([*population, child], key=lambda p: p.fitness, reverse=True)[:size]
+        idle = 0 if len(population[0].fill) < best else idle + 1
     return population
 
 
@@ -360,7 +398,7 @@ def _evolved(pieces: DataFrame, length: int, first_shard: int, shards: int, isla
     sharded = pieces.select((F.pmod(home, F.lit(shards)) + first_shard).cast("int").alias("shard"), "uid", "length", "group")
     dealt = kept(sharded.groupBy("shard").applyInPandas(_dealt, "shard int, uids binary, sizes binary, groups binary"), "dealt")
     everywhere = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).groupBy("shard", "island")
-    states = dealt.sparkSession.createDataFrame([], STATE)
+    states = dealt.filter("false").selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in STATE.split(", "))])
     for epoch in range(epochs):
         states = kept(everywhere.cogroup(states.groupBy("shard", "island")).applyInPandas(_epoch(length, islands, epoch), STATE), "islands")
     best = states.groupBy("shard").agg(F.min(F.struct("count", (-F.col("evenness")).alias("uneven"), "island", "bins")).alias("best"))

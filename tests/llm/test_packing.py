@@ -47,7 +47,7 @@ def test_given_documents(spark):
 
 @pytest.mark.parametrize("text", [
     "It's  the\x1ccat's house, isn't it?! we'll", "x<|endoftext|>y z<|startoftext|>", "ΑΣ ΑΣ, İstanbul Straße", "áb é ́x",
-    "...,,,!!! ab.cd ab.. ab!? AB 12ab3 ab12", "\t\n\x0b\x0c\r ", "", None, "x" * 5000, "日本語 のテキスト。😀 test", "don't DON'T 's s' 'sx",
+    "...,,,!!! ab.cd ab.. ab!? AB 12ab3 ab12", "\t\n\x0b\x0c\r ", "", None, "x" * 5000, "日本語 のテキスト。😀 test", "don't DON'T 's s' 'sx", "Éan ÉAN, été? Straße!! ×÷ naïve×2 é... ÀÉ. ſ ŉ ǰ,", "e\u0301t e\u0301, \u0301. a\u0301",
 ])
 def test_words_encoded_one_by_one_give_the_ids_of_the_whole(spark, text, monkeypatch):
     rows = spark.createDataFrame([(text,), (text,)], "text string")
@@ -70,13 +70,14 @@ def test_best_fit_takes_the_tightest_bin():
     assert bins.tolist() == [0, 1, 1, 0, 2, 1]
 
 
-def test_evolution_finds_what_best_fit_misses():
+def test_evolution_finds_what_best_fit_misses(monkeypatch):
     # Triples that fill a bin exactly; best fit decreasing breaks some of them.
     random = np.random.default_rng(3)
     a = random.integers(500, 800, 60)
     b = random.integers(500, 800, 60)
     sizes = np.concatenate([a, b, 2048 - a - b])
     start = p._first_population(sizes, np.full(len(sizes), -1), 2048, random)
+    monkeypatch.setattr(p, "PATIENCE", 400)
     best = p.evolve(start, random, generations=400)[0]
     assert len(best.fill) < len(start[0].fill) and best.fill.max() <= 2048
     assert np.array_equal(np.bincount(best.bins, weights=sizes).astype(int), best.fill)
