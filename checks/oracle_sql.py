@@ -603,6 +603,7 @@ twin("engagement_features", "engagement", "SELECT * FROM engagement")
 twin("ticket_features", "tickets", "SELECT * FROM tickets")
 twin("email_features", "mails", "SELECT * FROM mails")
 twin("customer_features", "features", f"SELECT customer_id, {', '.join(FEATURE_NAMES)}, is_churned, has_events FROM features")
+twin("customer_features_daily", "features", f"SELECT customer_id, {', '.join(FEATURE_NAMES)}, is_churned, has_events FROM features")
 twin("feature_profile", "features", " UNION ALL ".join(
     f"SELECT '{group}' AS feature_group, {FEATURE_NAMES.index(n)} AS place, '{n}' AS feature,"
     f" {rnd(f'avg({n}::DOUBLE)', 4)} AS mean, {rnd(f'max({n}::DOUBLE)', 4)} AS max FROM features"
@@ -681,7 +682,17 @@ twin("enriched_customers", "features ml_predictions", f"""
 SELECT f.customer_id, f.plan, coalesce(p.churn_score, 0::DOUBLE) AS churn_score, coalesce(p.conversion_score, 0::DOUBLE) AS conversion_score,
   coalesce(p.segment, 'Unknown') AS segment, coalesce(p.ltv_estimate, 0::DOUBLE) AS ltv_estimate, f.engagement_index
 FROM features f LEFT JOIN (SELECT * FROM ml_predictions WHERE {num('customer_id')} % 4 <> 0) p USING (customer_id)""")
-twin("rule_candidates", "candidates", "SELECT * FROM candidates")
+# Column, type and rules of the other evidence.
+_SIGNALS = (
+    ("mrr", "DOUBLE", "CHN-001"), ("health_score", "DOUBLE", "CHN-002 LYL-001 LYL-002"), ("days_since_last_event", "BIGINT", "CHN-003"),
+    ("event_count_30d", "BIGINT", "CHN-003 CNV-003"), ("cancellation_risk", "BIGINT", "CHN-004"), ("avg_sentiment", "DOUBLE", "CHN-004"),
+    ("open_tickets", "BIGINT", "CHN-004"), ("plan", "VARCHAR", "CNV-001 CNV-002 CNV-003"), ("engagement_index", "DOUBLE", "CNV-001"),
+    ("nps_score", "BIGINT", "LYL-002"),
+)
+_EVIDENCE = ", ".join(
+    f"CASE WHEN rule_id IN ({', '.join(repr(r) for r in rules.split())}) THEN e.{name}::{kind} END AS {name}_signal" for name, kind, rules in _SIGNALS
+)
+twin("rule_candidates", "candidates enriched", f"SELECT c.*, {_EVIDENCE} FROM candidates c JOIN enriched e USING (customer_id)")
 twin("rule_summary", "candidates", """
 SELECT 'action' AS kind, action_type AS value, count(*) AS candidates FROM candidates GROUP BY action_type
 UNION ALL SELECT 'priority', 'P' || priority || ' ' || (['INFO','LOW','MEDIUM','HIGH','CRITICAL'])[priority], count(*) FROM candidates GROUP BY priority
@@ -755,7 +766,8 @@ twin("plans_after_cooldown", "passthrough cooling",
 twin("plan_urgency", "passthrough", f"SELECT customer_id, action_type, {rnd(_URGENCY, 6)} AS urgency_score FROM passthrough")
 twin("queued_actions", "queue", f"""
 SELECT customer_id, action_type, priority, 'pending' AS status, {stamp(ACTIONS_AS_OF)} AS created_at,
-  {rnd('urgency_score', 6)} AS urgency_score, 64 AS id_length FROM queue""")
+  {rnd('urgency_score', 6)} AS urgency_score, sha256(customer_id || '|' || action_type || '|' || {stamp(ACTIONS_AS_OF)}) AS action_id,
+  reason, suggested_plan, churn_signal, notes, candidates FROM queue""")
 twin("queue_priorities", "queue", "SELECT priority, count(*) AS queued FROM queue GROUP BY priority")
 _URGENT_FIRST = "ORDER BY urgency_score DESC NULLS LAST, priority DESC NULLS LAST, created_at ASC NULLS FIRST, action_id"
 twin("pending_queue", "agent_actions",
@@ -822,7 +834,8 @@ FROM agent_actions a LEFT JOIN page p USING (action_id)""")
 twin("marked_actions", "agent_actions batch", f"""
 SELECT action_id, status, {stamp(f"CASE WHEN action_id IN (SELECT action_id FROM batch) THEN {ACTIONS_AS_OF} ELSE feedback_applied_at END")}
   AS feedback_applied_at FROM agent_actions""")
-twin("feedback_after_marking", "batch", "SELECT count(*) - count(*) AS left_over FROM batch")
+twin("feedback_after_marking", "batch", f"""
+SELECT outcome, count(*) AS left_over, min(action_id) AS first_left FROM batch WHERE {num('action_id')} % 2 <> 0 GROUP BY outcome""")
 twin("feedback_logged", "batch", f"""
 SELECT action_id, {stamp('executed_at')} AS executed_at, {stamp(ACTIONS_AS_OF)} AS feedback_applied_at FROM batch""")
 twin("feedback_summary", "batch", f"""

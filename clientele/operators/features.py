@@ -65,6 +65,11 @@ def txn_features(transactions: DataFrame, as_of) -> DataFrame:
         _count_if(F.col("status") == "refunded").alias("refund_count"),
         F.max("txn_date").alias("last_txn"),
     )
+    return finished_txn(sums, as_of)
+
+
+def finished_txn(sums: DataFrame, as_of) -> DataFrame:
+    """Spend features of a customer's txn_count, total_spend, amounts, refund_count and last_txn."""
     return sums.select(
         "customer_id",
         "txn_count",
@@ -95,6 +100,11 @@ def engagement_features(events: DataFrame, as_of) -> DataFrame:
             F.max("event_date").alias("last_event"),
         )
     )
+    return finished_engagement(kinds, as_of)
+
+
+def finished_engagement(kinds: DataFrame, as_of) -> DataFrame:
+    """Activity features of counts per customer, channel and type (any number of rows for each): events, recent, seconds, sessions, last_event."""
     sums = kinds.groupBy("customer_id").agg(
         F.sum("events").alias("event_count_total"),
         F.sum("recent").alias("event_count_30d"),
@@ -114,9 +124,19 @@ def ticket_features(tickets: DataFrame) -> DataFrame:
         F.count("ticket_id").alias("ticket_count"),
         _count_if(F.col("status") == "open").alias("open_tickets"),
         _count_if(F.col("priority") == "critical").alias("critical_tickets"),
-        (stable_sum(F.col("sentiment_score")) / F.nullif(F.count("sentiment_score"), F.lit(0))).alias("avg_sentiment"),
+        stable_sum(F.col("sentiment_score")).alias("sentiment"),
+        F.count("sentiment_score").alias("sentiments"),
         _count_if(F.col("topic") == "cancellation").alias("cancellation_risk"),
     )
+    return finished_tickets(sums)
+
+
+def finished_tickets(sums: DataFrame) -> DataFrame:
+    """Ticket features of a customer's ticket_count, open_tickets, critical_tickets, sentiment, sentiments and cancellation_risk."""
+    sums = sums.select(
+        "customer_id", "ticket_count", "open_tickets", "critical_tickets",
+        (F.col("sentiment") / F.nullif(F.col("sentiments"), F.lit(0))).alias("avg_sentiment"), "cancellation_risk",
+    )
     return sums.withColumn("unresolved_rate", _ratio("open_tickets", "ticket_count"))
 
 
@@ -126,6 +146,10 @@ def email_features(emails: DataFrame) -> DataFrame:
         F.sum("opened").alias("emails_opened"),
         F.sum("clicked").alias("emails_clicked"),
     )
+    return finished_emails(sums)
+
+
+def finished_emails(sums: DataFrame) -> DataFrame:
     return sums.withColumns(
         {
             "open_rate": _ratio("emails_opened", "emails_sent"),
@@ -178,13 +202,17 @@ def build_customer_features(tables: dict[str, DataFrame], as_of) -> DataFrame:
     A customer without any activity gets 0 everywhere, also in
     ``days_since_last_event``; ``has_events`` tells the two kinds of 0 apart.
     """
-    joined = feature_join(
+    return finished_features(feature_join(
         customer_base(tables["customers"], as_of),
         txn_features(tables["transactions"], as_of),
         engagement_features(tables["engagement_events"], as_of),
         ticket_features(tables["support_tickets"]),
         email_features(tables["email_log"]),
-    )
+    ))
+
+
+def finished_features(joined: DataFrame) -> DataFrame:
+    """Nulls filled and the indexes added, once all aggregates are joined."""
     flagged = joined.withColumn("has_events", F.col("event_count_total").isNotNull())
     return fill_numeric(flagged).withColumns(
         {

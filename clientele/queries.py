@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clientele.functions import discount_code, half_even, short_money
+from clientele.operators import daily as dly
 from clientele.operators import features as feat
 from clientele.operators import feedback as fb
 from clientele.operators import outcomes as out
@@ -52,6 +53,12 @@ FEEDBACK_HOURS = 48
 ONE_CUSTOMER = "C0000007"
 ONE_ACTION = "A42"
 
+# The evidence of the rules beside churn, conversion, segment and tenure.
+OTHER_SIGNALS = {
+    "mrr": "double", "health_score": "double", "days_since_last_event": "bigint", "event_count_30d": "bigint", "cancellation_risk": "bigint",
+    "avg_sentiment": "double", "open_tickets": "bigint", "plan": "string", "engagement_index": "double", "nps_score": "bigint",
+}
+
 # Centres for the confidence query, in the order of the scaled signals.
 CENTRES = (
     (0.1, 0.2, 0.1, 0.1, 0.5, 0.5),
@@ -327,6 +334,22 @@ def customer_features(spark, sf_dir):
     return _features(spark, sf_dir).select("customer_id", *feat.feature_columns(), "is_churned", "has_events")
 
 
+@query
+def customer_features_daily(spark, sf_dir):
+    """The same features from daily partials; a third of the facts of two days arrives after the first write."""
+    tables, path = crm_tables(spark, sf_dir, FEATURE_TABLES), scratch_path(spark, "daily-partials")
+    late = ("2024-01-20", "2024-01-21")
+    keys = {"transactions": "txn_id", "engagement_events": "event_id", "support_tickets": "ticket_id", "email_log": "email_id"}
+    first = {
+        fact: tables[fact].filter(~(F.to_date(time).cast("string").isin(*late) & (F.pmod(F.xxhash64(keys[fact]), F.lit(3)) == 0)))
+        for fact, time in dly.DAYS.items()
+    }
+    dly.write_daily(first, path)
+    dly.write_daily(tables, path, late)
+    features = dly.features_from_daily(spark, tables["customers"], tables["engagement_events"], path, AS_OF)
+    return features.select("customer_id", *feat.feature_columns(), "is_churned", "has_events")
+
+
 @query
 def feature_profile(spark, sf_dir):
     rows = feat.feature_profile(_features(spark, sf_dir))
@@ -460,6 +483,7 @@ def rule_candidates(spark, sf_dir):
         _json("triggered_by", "$.conversion_score", "double").alias("conversion_signal"),
         _json("triggered_by", "$.segment").alias("segment_signal"),
         _json("triggered_by", "$.tenure_days", "bigint").alias("tenure_signal"),
+        *[_json("triggered_by", f"$.{name}", kind).alias(f"{name}_signal") for name, kind in OTHER_SIGNALS.items()],
     )
 
 
@@ -627,8 +651,11 @@ def plan_urgency(spark, sf_dir):
 def queued_actions(spark, sf_dir):
     return _cycle(spark, sf_dir).queue.select(
         "customer_id", "action_type", "priority", "status", "created_at",
-        half_even(F.col("urgency_score"), 6).alias("urgency_score"),
-        F.length("action_id").alias("id_length"),
+        half_even(F.col("urgency_score"), 6).alias("urgency_score"), "action_id", "reason",
+        _json("metadata", "$.context.suggested_plan").alias("suggested_plan"),
+        _json("metadata", "$.triggered_by.churn_score", "double").alias("churn_signal"),
+        _json("metadata", "$.llm_notes").alias("notes"),
+        _json("metadata", "$.candidates", "bigint").alias("candidates"),
     )
 
 
@@ -731,10 +758,11 @@ def marked_actions(spark, sf_dir):
 
 @query
 def feedback_after_marking(spark, sf_dir):
-    """Nothing is left to apply once the batch is marked."""
-    marked = fb.mark_applied(_actions(spark, sf_dir), _batch(spark, sf_dir), ACTIONS_AS_OF)
+    """What is left to apply once half of the batch is marked, by outcome."""
+    half = _batch(spark, sf_dir).filter(_key("action_id") % 2 == 0)
+    marked = fb.mark_applied(_actions(spark, sf_dir), half, ACTIONS_AS_OF)
     left = fb.pending_feedback(marked, ACTIONS_AS_OF, FEEDBACK_HOURS)
-    return left.agg(F.count(F.lit(1)).alias("left_over"))
+    return left.groupBy("outcome").agg(F.count(F.lit(1)).alias("left_over"), F.min("action_id").alias("first_left"))
 
 
 def _feedback_run(spark, sf_dir, log: str, staging: str):
