@@ -25,8 +25,8 @@ LEAST_LENGTH = 6
 LEAST_COUNT = 5
 RATIO = 5
 TYPO_EVERY = 199
-# A level's edges are sent to all tasks up to so many rows (about 20 MB); else the states are shuffled to them.
-SENT_EDGES = 200_000
+# A level's edges are sent to all tasks up to so many rows (about 60 MB); else the states are shuffled to them.
+SENT_EDGES = 500_000
 COUNTER_WORDS = 500_000
 SLICE = 1 << 20
 
@@ -125,7 +125,7 @@ def _level(words: DataFrame, states: DataFrame | None, edges: DataFrame, depth:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, near, near_n: both directions of all pairs of ``words`` (word, n; stored) at exactly one edit."""
-    edges = kept(trie_edges(words).repartition("depth", "node"), "trie")
+    edges = kept(trie_edges(words).sortWithinPartitions("depth"), "trie")
     rows = dict(edges.groupBy("depth").count().collect())  # one row for each length of word
     found, states, depth = [], None, 0
     while depth in rows:
