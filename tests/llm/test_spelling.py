@@ -68,7 +68,7 @@ def groups(spark, words):
     return rows_of(s.variant_groups(spark.createDataFrame(list(words.items()), "word string, n bigint")))
 
 
-@pytest.mark.parametrize("sent", [200_000, 0])
+@pytest.mark.parametrize("sent", [500_000, 0])
 def test_all_kinds_of_edits(spark, monkeypatch, sent):
     monkeypatch.setattr(s, "SENT_EDGES", sent)
     words = {
