@@ -10,6 +10,7 @@ Afterwards the sequences with room left are pooled over all shards and evolved a
 are: a shard's rest meets the rest of others, and the shards cost no sequences in the end.
 """
 
+import functools
 import json
 import math
 import re
@@ -70,6 +71,18 @@ class _Numbers(dict):
         return number
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizers(text: str) -> tuple[tokenizers.Tokenizer, tokenizers.Tokenizer, np.ndarray]:
+    """The tokenizer, a bare one, and which ids end a word. Parsing takes a second, so a Python worker keeps them for its next tasks."""
+    tokenizer = tokenizers.Tokenizer.from_str(text)
+    # Lower-case ASCII letters and marks pass the normalizer and the splitting unchanged; without these they go a quarter faster.
+    bare = {**json.loads(text), "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+    names = tokenizer.get_vocab()
+    ends = np.zeros(max(names.values()) + 1, dtype=bool)
+    ends[[number for name, number in names.items() if name.endswith("</w>")]] = True
+    return tokenizer, tokenizers.Tokenizer.from_str(json.dumps(bare)), ends
+
+
 class Encoder:
     """Token ids of texts (UTF-8). No token spans a blank, so each word is encoded once and looked up afterwards.
 
@@ -78,13 +91,7 @@ class Encoder:
     """
 
     def __init__(self, text: str):
-        self._tokenizer = tokenizers.Tokenizer.from_str(text)
-        # Lower-case ASCII letters and marks pass the normalizer and the splitting unchanged; without these they go a quarter faster.
-        bare = {**json.loads(text), "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
-        self._bare = tokenizers.Tokenizer.from_str(json.dumps(bare))
-        names = self._tokenizer.get_vocab()
-        self._ends = np.zeros(max(names.values()) + 1, dtype=bool)
-        self._ends[[number for name, number in names.items() if name.endswith("</w>")]] = True
+        self._tokenizer, self._bare, self._ends = _tokenizers(text)
         self._clear()
 
     def _clear(self):

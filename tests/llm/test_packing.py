@@ -121,3 +121,11 @@ def test_nulls_repeated_rows_clashing_columns_and_the_empty_table(spark):
     check_places(got, 2048)
     assert sorted((r.doc_id or 0, r.piece, r.length) for r in got) == sorted((r[0] or 0, x[0], x[2]) for r in rows for x in plain_pieces(r[1]))
     assert p.pack(docs.limit(0)).count() == 0
+
+
+def test_encoders_of_one_process_parse_the_tokenizer_once():
+    text = p.tokenizer_text()
+    first, second = p.Encoder(text), p.Encoder(str(text.encode(), "utf-8"))
+    assert first._tokenizer is second._tokenizer and first._bare is second._bare
+    assert first.encode([b"One word, \xc3\xa9t\xc3\xa9"])[0].tolist() == second.encode([b"One word, \xc3\xa9t\xc3\xa9"])[0].tolist()
+    assert first._words is not second._words
