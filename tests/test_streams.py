@@ -1,3 +1,7 @@
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from clientele.operators.feedback import apply_health
@@ -76,6 +80,33 @@ def test_rolling_windows_drop_what_is_too_late_and_count_copies_once(spark, tmp_
     assert got == {("A", 2): 1, ("A", 3): 2, ("A", 4): 2, ("A", 5): 1, ("B", 7): 1, ("B", 8): 2, ("B", 9): 1}
 
 
+@pytest.mark.parametrize("length,slide", [("30 days", "1 day"), ("36 hours", "1 day"), ("6 hours", "90 minutes")])
+def test_rolling_windows_of_any_length(spark, tmp_path, length, slide):
+    """Against windows counted one by one; a customer has a few rows of state however many windows hold its events."""
+    rng = random.Random(3)
+    first = dt.datetime(2023, 12, 20)
+    events = [(f"E{k}", rng.choice("AB"), first + dt.timedelta(minutes=rng.randrange(60 * 24 * 25))) for k in range(120)]
+    schema = "event_id string, customer_id string, event_date timestamp_ntz"
+    spark.createDataFrame(events + [("end", "-", at(28, month=12))], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = rolling_event_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "2 days", length, slide)
+    query = append_to(stream, f"{tmp_path}/state")
+    query.awaitTermination()
+    hour = dt.timedelta(hours=1)
+    whole, step = {"30 days": 720 * hour, "36 hours": 36 * hour, "6 hours": 6 * hour}[length], {"1 day": 24 * hour, "90 minutes": 1.5 * hour}[slide]
+    expected = {}
+    for _, customer, time in events:
+        own = (time - dt.datetime(1970, 1, 1)) // step
+        for k in range(own - whole // step + 1, own + 1):
+            key = customer, dt.datetime(1970, 1, 1) + k * step + whole
+            expected[key] = expected.get(key, 0) + 1
+    rows = appended(spark, f"{tmp_path}/state").filter("customer_id <> '-'").collect()
+    assert len(rows) == len(expected) and {(r["customer_id"], r["until"]): r["event_count"] for r in rows} == expected
+    if length == "30 days":
+        # All days of the 25 and the windows that hold them were over 80 rows.
+        states = [[o["numRowsTotal"] for o in p["stateOperators"] if o["operatorName"] != "dedupeWithinWatermark"] for p in query.recentProgress]
+        assert max(map(sum, states)) <= 2 * 3 + 3
+
+
 def test_outcomes_in_event_order_with_copies_under_another_day(spark, frame, tmp_path):
     people = frame("customers", [dict(customer_id="A", health_score=98.0), dict(customer_id="B", health_score=1.0)])
     schema = "action_id string, customer_id string, outcome string, executed_at timestamp_ntz"
