@@ -168,6 +168,12 @@ class Encoder:
         return done
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(text: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, one after the other: words that a task has learned the next one looks up."""
+    return Encoder(text)
+
+
 def _slices(text: bytes):
     at = 0
     while len(text) - at > GROUP_BYTES:
@@ -183,7 +189,7 @@ def _cut(tokenizer, length: int, with_ids: bool):
     """Rows (row, text) to rows (row, piece, start, length, ids_crc32[, ids])."""
 
     def pieces(batches):
-        encoder = Encoder(tokenizer.value)
+        encoder = _encoder(tokenizer.value)
 
         def rows(source, texts):
             out = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}

@@ -2,9 +2,11 @@
 
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -129,3 +131,15 @@ def test_encoders_of_one_process_parse_the_tokenizer_once():
     assert first._tokenizer is second._tokenizer and first._bare is second._bare
     assert first.encode([b"One word, \xc3\xa9t\xc3\xa9"])[0].tolist() == second.encode([b"One word, \xc3\xa9t\xc3\xa9"])[0].tolist()
     assert first._words is not second._words
+
+
+def test_a_worker_learns_a_word_once(monkeypatch):
+    """Two tasks, one after the other: the second looks up what the first has learned, and gives the same pieces."""
+    learned, encoded = [], p.Encoder._encoded
+    monkeypatch.setattr(p.Encoder, "_encoded", lambda self, parts: learned.extend(parts) or encoded(self, parts))
+    p._encoder.cache_clear()
+    sent = SimpleNamespace(value=p.tokenizer_text())
+    batch = pa.RecordBatch.from_pydict({"row": pa.array([0, 1]), "text": pa.array(["One two, three. Café x-1", None], pa.string()).cast(pa.binary())})
+    first, second = (pa.Table.from_batches(p._cut(sent, 4, True)(iter([batch]))) for _ in range(2))
+    assert first == second and first.num_rows > 2
+    assert sorted(learned) == sorted(set(learned))
